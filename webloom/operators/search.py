@@ -18,6 +18,10 @@ from webloom.plans.skew import hot_keys, skew_join
 # Up to this many distinct query words are held in memory by every task; more are shuffled.
 WORDS_IN_MEMORY = 100_000
 
+# Scores that agree to this many digits are equal: the order in which a sum is added up is not
+# fixed, and ties are broken by page.
+_SCORE_DIGITS = 12
+
 # A partial top-k before the shuffle is planned by Spark up to this limit.
 _PARTIAL_TOP_K = 1000
 
@@ -43,6 +47,10 @@ def and_pages_intersect(index: DataFrame, terms: list[str]) -> DataFrame:
     return reduce(DataFrame.intersect, sets) if sets else index.limit(0).select("page_id")
 
 
+def _best_first(score: str) -> list[Column]:
+    return [F.desc_nulls_first(F.round(score, _SCORE_DIGITS)), F.asc("page_id")]
+
+
 def _all_true(n: int) -> Column:
     return reduce(Column.__and__, [F.col(f"has_{i}") for i in range(n)], F.lit(n > 0))
 
@@ -87,8 +95,7 @@ def search_rows(
         "order_key",
         "n_words",
     )
-    order = [F.desc_nulls_first("order_key"), F.asc("page_id"), F.asc("tf_idf")]
-    return _limited(scored, order, n_results).drop("tf_idf")
+    return _limited(scored, [*_best_first("order_key"), F.asc("tf_idf")], n_results).drop("tf_idf")
 
 
 def search_pages(
@@ -101,7 +108,7 @@ def search_pages(
     terms = parse_query(index, query, strip_punct)
     hits = matching_postings(index, terms).join(pages.select("url", "page_rank"), "url")
     scored = hits.groupBy("page_id", "title", "url").agg(_page_score().alias("score"))
-    return _limited(scored, [F.desc_nulls_first("score"), F.asc("page_id")], n_results)
+    return _limited(scored, _best_first("score"), n_results)
 
 
 def _page_score() -> Column:
@@ -186,7 +193,7 @@ def top_k(results: DataFrame, by: str, k: int) -> DataFrame:
     Spark keeps the best k of each task before the shuffle; for a larger k, where it does not,
     each key is first ranked in slices.
     """
-    order = [F.desc_nulls_first("score"), F.asc("page_id")]
+    order = _best_first("score")
     if k > _PARTIAL_TOP_K:
         sliced = Window.partitionBy(by, F.pmod(F.xxhash64("page_id"), F.lit(256))).orderBy(*order)
         results = results.withColumn("rank", F.row_number().over(sliced)).filter(F.col("rank") <= k).drop("rank")

@@ -1,25 +1,22 @@
-"""Schemas of all tables, and readers that never infer one."""
+"""Schemas of all tables as DDL text, and readers that never infer one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
-QUEUE = T.StructType.fromDDL("id BIGINT, url STRING, domain STRING")
-VISITED_URLS = T.StructType.fromDDL("id BIGINT, url STRING, indexation BOOLEAN, page_key STRING, html STRING")
-VISITED_DOMAINS = T.StructType.fromDDL("domain STRING, crawl_delay DOUBLE, last_visit TIMESTAMP")
-PAGE_LINKS = T.StructType.fromDDL("source_url STRING, target_url STRING")
-PAGE_INFORMATIONS = T.StructType.fromDDL("page_id BIGINT, url STRING, title STRING, page_rank DOUBLE")
-INVERTED_INDEX = T.StructType.fromDDL(
-    "word STRING, page_id BIGINT, url STRING, title STRING, tf DOUBLE, tf_idf DOUBLE"
-)
-TERM_DOCUMENTS = T.StructType.fromDDL("word STRING, documents_number BIGINT")
-FETCH_LOG = T.StructType.fromDDL("url STRING, content_type STRING, headers MAP<STRING,STRING>, html STRING")
-ROBOTS = T.StructType.fromDDL("host STRING, content STRING, fetch_failed BOOLEAN")
-STORED_PAGES = T.StructType.fromDDL("page_id BIGINT, url STRING, html STRING")
-
-
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+
+QUEUE = "id BIGINT, url STRING, domain STRING"
+VISITED_URLS = "id BIGINT, url STRING, indexation BOOLEAN, page_key STRING, html STRING"
+VISITED_DOMAINS = "domain STRING, crawl_delay DOUBLE, last_visit TIMESTAMP"
+PAGE_LINKS = "source_url STRING, target_url STRING"
+PAGE_INFORMATIONS = "page_id BIGINT, url STRING, title STRING, page_rank DOUBLE"
+INVERTED_INDEX = "word STRING, page_id BIGINT, url STRING, title STRING, tf DOUBLE, tf_idf DOUBLE"
+TERM_DOCUMENTS = "word STRING, documents_number BIGINT"
+FETCH_LOG = "url STRING, content_type STRING, headers MAP<STRING,STRING>, html STRING"
+ROBOTS = "host STRING, content STRING, fetch_failed BOOLEAN"
+STORED_PAGES = "page_id BIGINT, url STRING, html STRING"
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A stored table. Columns that are not used later are not read."""
     return spark.read.schema(schema).parquet(path)
 
