@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.operators import index as ix
-from webloom.plans.lineage import materialize, spread_small
+from webloom.plans.lineage import materialize, scratch_path, spread_small
+from webloom.sources.layout import write_index
+from webloom.sources.tables import INVERTED_INDEX, read_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +21,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the shape of parsed pages: (page_id, url, title, page_rank, text)."""
-    return table(spark, sf_dir, "documents").select(
+    return as_corpus(table(spark, sf_dir, "documents"))
+
+
+def as_corpus(documents: DataFrame) -> DataFrame:
+    return documents.select(
         F.col("doc_id").alias("page_id"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("url"),
         F.concat("source", F.lit(" "), "lang").alias("title"),
@@ -42,7 +48,9 @@ class Index:
         self.corpus = ix.corpus_size(self.pages)
         self.postings = materialize(postings(spark, sf_dir), "postings")
         self.documents = materialize(ix.term_documents(self.postings), "term_documents")
-        self.scored = materialize(ix.score_postings(self.postings, self.corpus, self.documents), "scored")
+        scored = scratch_path(spark, "scored")
+        write_index(ix.score_postings(self.postings, self.corpus, self.documents), scored)
+        self.scored = read_table(spark, scored, INVERTED_INDEX)
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Index":

@@ -60,8 +60,11 @@ def spread_small(df: DataFrame) -> DataFrame:
     """Share a small table out over all cores before heavy work per row.
 
     A Parquet row group is read by one task, so a file with a single group leaves all other cores
-    idle. Inputs that fill the cores by themselves are returned as they are, without a shuffle.
+    idle. Inputs that fill the cores by themselves, and streams, are returned as they are, without a
+    shuffle.
     """
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")
