@@ -1,0 +1,206 @@
+import random
+import unicodedata
+from collections import Counter
+
+import golden
+import pytest
+from pyspark.sql import functions as F
+
+from webloom.functions import text as tx
+from webloom.operators import index as ix
+from webloom.operators import search as se
+from webloom.plans.lineage import materialize
+from webloom.sources import layout, tables
+
+near = lambda value: pytest.approx(value, abs=1e-6)
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    rows = [(i, url, title, golden.RANKS[url]) for i, url, title in golden.PAGES]
+    return spark.createDataFrame(rows, "page_id LONG, url STRING, title STRING, page_rank DOUBLE")
+
+
+@pytest.fixture(scope="module")
+def index(pages):
+    postings = materialize(ix.build_postings(pages, F.col("title")))
+    return materialize(ix.score_postings(postings, ix.corpus_size(pages)))
+
+
+@pytest.mark.parametrize(
+    "text, words",
+    [
+        ("L’eau/l'air-x*(y)", "l eau l air x y"),
+        ('a:b; "c" — d', 'a:b; "c" — d'),
+        ("Été ÉTÉ été", "ete ete ete"),
+        ("ﬁn ½", "fin 1⁄2"),
+        ("a b\u001cc", "a b c"),
+        ("Straße", "straße"),
+        ("ΑΣ.Β ΣΑΣ", "ας β σας"),
+        ("...", ""),
+        ("", ""),
+        (None, ""),
+        ("́ x", "x"),
+    ],
+)
+def test_terms(run, text, words):
+    assert run(tx.terms(F.col("x")), [text])[0] == words.split()
+
+
+def test_terms_keep_a_space_inside_a_word(run):
+    assert run(tx.terms(F.col("x")), ["a´b"])[0] == ["a b"]
+
+
+def test_terms_of_all_characters(run):
+    def rule(text):
+        for mark in tx.PUNCTUATION:
+            text = text.replace(mark, " ")
+        words = (unicodedata.normalize("NFKD", w.lower()) for w in text.split())
+        stripped = ("".join(c for c in w if not unicodedata.combining(c)) for w in words)
+        return [w for w in stripped if w]
+
+    # Characters younger than this Python's Unicode tables are left out.
+    characters = [chr(c) for c in range(0x30000) if unicodedata.category(chr(c)) not in ("Cs", "Cn")]
+    texts = ["".join(f"x{c}y {c} " for c in characters[i : i + 64]) for i in range(0, len(characters), 64)]
+    got = [word for words in run(tx.terms(F.col("x")), texts) for word in words]
+    want = [word for text in texts for word in rule(text)]
+    assert Counter(want) == Counter(got)
+
+
+def test_query_keeps_punctuation(run):
+    assert run(tx.query_terms(F.col("x")), ["café, d'Été"])[0] == ["cafe,", "d'ete"]
+    assert run(tx.query_terms(F.col("x"), strip_punct=True), ["café, d'Été"])[0] == ["cafe", "d", "ete"]
+
+
+def test_postings_and_scores(index):
+    got = {(r["page_id"], r["word"]): (r["tf"], r["tf_idf"]) for r in index.collect()}
+    assert got.keys() == golden.POSTINGS.keys()
+    for key, (tf, tf_idf) in golden.POSTINGS.items():
+        assert got[key] == (near(tf), near(tf_idf))
+
+
+def test_counts_match_a_shuffle_count(spark):
+    draw = random.Random(7)
+    rows = [(i, " ".join(draw.choices("a b c d é É zz".split(), k=draw.randint(0, 40)))) for i in range(50)]
+    frame = spark.createDataFrame(rows, "page_id LONG, t STRING")
+    exploded = frame.select("page_id", F.explode(tx.terms(F.col("t"))).alias("word"))
+    want = exploded.groupBy("page_id", "word").count().collect()
+    got = ix.term_counts(frame, F.col("t")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_term_counts_do_not_shuffle(spark, pages, capsys):
+    ix.build_postings(pages, F.col("title")).explain("formatted")
+    assert "Exchange" not in capsys.readouterr().out
+
+
+def test_corpus_size_counts_pages_without_terms(pages):
+    assert ix.corpus_size(pages).first()["n_pages"] == 4
+
+
+def test_merge_term_documents(spark):
+    old = spark.createDataFrame([("a", 2), ("b", 1)], tables.TERM_DOCUMENTS)
+    new = spark.createDataFrame([("b", 1), ("c", 3)], tables.TERM_DOCUMENTS)
+    assert sorted(map(tuple, ix.merge_term_documents(old, new).collect())) == [("a", 2), ("b", 2), ("c", 3)]
+
+
+@pytest.mark.parametrize("query", golden.SEARCHES)
+def test_search_rows(index, pages, query):
+    got = [(r["page_id"], r["score"], r["order_key"], r["n_words"]) for r in se.search_rows(index, pages, query).collect()]
+    assert got == [(p, near(s), near(k), n) for p, s, k, n in golden.SEARCHES[query]]
+
+
+@pytest.mark.parametrize("query", golden.PAGE_SEARCHES)
+def test_search_pages(index, pages, query):
+    got = [(r["page_id"], r["score"]) for r in se.search_pages(index, pages, query).collect()]
+    assert got == [(p, near(s)) for p, s in golden.PAGE_SEARCHES[query]]
+
+
+def test_unscored_rows_rank_first(spark, index, pages):
+    extra = spark.createDataFrame([("chat", 9, golden.E, "t", 0.1, None)], tables.INVERTED_INDEX)
+    more = index.unionByName(extra)
+    rows = se.search_rows(more, pages, "chat").collect()
+    assert [(r["page_id"], r["score"], r["order_key"]) for r in rows][0] == (9, None, None)
+    assert [r["page_id"] for r in rows] == [9, 1, 3]
+    assert [r["page_id"] for r in se.search_pages(more, pages, "chat").collect()] == [9, 1, 3]
+
+
+def test_limits(index, pages):
+    assert len(se.search_rows(index, pages, "chat", n_results=1).collect()) == 1
+    assert len(se.search_rows(index, pages, "chat", n_results=-1).collect()) == 2
+    with pytest.raises(ValueError):
+        se.search_rows(index, pages, "chat", n_results=-2)
+
+
+@pytest.mark.parametrize("terms", [["chat"], ["chat", "cafe"], ["chat", "noir", "cafe"], []])
+def test_and_pages_equals_intersect(index, terms):
+    one_pass = {r[0] for r in se.and_pages(index, terms).collect()}
+    assert one_pass == {r[0] for r in se.and_pages_intersect(index, terms).collect()}
+
+
+def test_count_message(index, pages):
+    counts = [se.search_count(se.search_rows(index, pages, q)).first()["message"] for q in ("d'été", "d été", "chat")]
+    assert counts == ["No results", "1 result", "2 results"]
+
+
+@pytest.mark.parametrize("words_in_memory", [100, 0])
+def test_search_batch_equals_single_searches(spark, index, pages, words_in_memory):
+    asked = ["chat", "chat", "Chat  chat", "chat café", "le chat", "d été", "d'été", "", "rien chat"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id LONG, query STRING")
+    rows = se.search_batch(index, pages, queries, words_in_memory=words_in_memory).collect()
+    for i, query in enumerate(asked):
+        mine = sorted((r["rank"], r["page_id"], r["score"]) for r in rows if r["query_id"] == i)
+        single = se.search_pages(index, pages, query).collect()
+        assert mine == [(n + 1, r["page_id"], near(r["score"])) for n, r in enumerate(single)]
+
+
+def test_search_batch_with_a_word_on_every_page(spark):
+    """Brute force over pages that all hold one word, asked by a third of the queries alone."""
+    draw = random.Random(3)
+    texts = {i: {"hot", *draw.choices("abcdefgh", k=4)} for i in range(300)}
+    rows = [(w, i, f"u{i}", f"t{i}", 0.1, (ord(w[0]) + i) / 1000.0) for i, ws in texts.items() for w in ws]
+    index = materialize(spark.createDataFrame(rows, tables.INVERTED_INDEX))
+    pages = spark.createDataFrame([(f"u{i}", 0.001 * i) for i in texts], "url STRING, page_rank DOUBLE")
+    asked = ["hot"] * 20 + [f"hot {a}" for a in "abcdefgh"] + [f"{a} {b} hot" for a in "abcd" for b in "efgh"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id LONG, query STRING")
+    got = Counter()
+    for k in (5, 2000):
+        found = se.search_batch(index, pages, queries, k=k).collect()
+        got = {}
+        for r in sorted(found, key=lambda r: r["rank"]):
+            got.setdefault(r["query_id"], []).append(r["page_id"])
+        for i, query in enumerate(asked):
+            terms = set(query.split())
+            scored = index_scores(rows, pages_rank={i: 0.001 * i for i in texts}, terms=terms, texts=texts)
+            assert got.get(i, []) == scored[:k]
+
+
+def index_scores(rows, pages_rank, terms, texts):
+    import math
+
+    value = {(w, i): s for w, i, _, _, _, s in rows}
+    scores = {
+        i: round(sum(0.7 * math.log10(value[w, i] + 1) for w in terms) + 0.3 * math.log10(pages_rank[i] + 1), 12)
+        for i, words in texts.items()
+        if terms <= words
+    }
+    return sorted(scores, key=lambda i: (-scores[i], i))
+
+
+def test_answer_json(spark, index, pages):
+    queries = spark.createDataFrame([(1, "chat")], "query_id LONG, query STRING")
+    answer = se.answer_json(se.search_batch(index, pages, queries)).first()["answer"]
+    assert answer == (
+        '{"results":[{"title":"Chat noir, chat blanc","url":"https://a.example.com/home"},'
+        '{"title":"Le chat du café","url":"https://b.example.org/x"}]}'
+    )
+
+
+def test_index_layout_pushes_words_down(spark, index, pages, tmp_path, capsys):
+    path = str(tmp_path / "index")
+    layout.write_index(index, path)
+    stored = tables.read_table(spark, path, tables.INVERTED_INDEX)
+    se.and_pages(stored, ["chat", "cafe"]).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PushedFilters: [In(word, [cafe,chat])]" in plan
+    assert "ReadSchema: struct<word:string,page_id:bigint>" in plan

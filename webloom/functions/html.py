@@ -103,10 +103,13 @@ class _Page(HTMLParser):
         text, self._node = "".join(self._node), []
         if not self._collecting or any(self._open[t] for t in _NOT_TEXT):
             return
-        if not any(self._open[t] for t in _VERBATIM):
-            text = f" {text.strip()} "
+        verbatim = any(self._open[t] for t in _VERBATIM)
         for field in self._collecting:
-            self.texts[field].append(text)
+            so_far = self.texts[field]
+            if verbatim:
+                so_far.append(text)
+            elif text.strip():
+                so_far.append(f" {text.strip()}" if so_far else text.strip())
 
     def _read_meta(self, attrs):
         if attrs.get("name") == "robots" and "content" in attrs:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from webloom.functions import urls
 from webloom.operators.robots import DEFAULT_CRAWL_DELAY
 from webloom.plans.lineage import materialize
-from webloom.plans.skew import skew_join
+from webloom.plans.skew import HotKeys, skew_join
 
 
 def frontier_add(
@@ -41,9 +41,9 @@ def frontier_ready(
     queue: DataFrame, domains: DataFrame, as_of: Column, unit: float = DEFAULT_CRAWL_DELAY
 ) -> DataFrame:
     """Queued URLs (id, url, domain) that may be visited now."""
-    return skew_join(queue, busy_domains(domains, as_of, unit), "domain", ["id"], how="left_anti").select(
-        "id", "url", "domain"
-    )
+    busy = busy_domains(domains, as_of, unit)
+    ready = skew_join(queue, busy, "domain", ["id"], HotKeys.of(queue, "domain"), "left_anti")
+    return ready.select("id", "url", "domain")
 
 
 def first_per_domain(batch: DataFrame) -> DataFrame:

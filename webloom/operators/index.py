@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import scoring
 from webloom.functions import text as tx
-from webloom.plans.skew import hot_keys, skew_join
+from webloom.plans.skew import HotKeys, skew_join
 
 
 def page_terms(pages: DataFrame, text: Column, *keep: str) -> DataFrame:
@@ -66,13 +66,12 @@ def idf(documents: DataFrame, corpus: DataFrame) -> DataFrame:
 def score_postings(postings: DataFrame, corpus: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """Postings with their tf_idf.
 
-    The postings are read twice (to count and to score), so pass a stored table. A word that is
-    in a large share of all pages is joined in slices; its document frequency already tells how
-    many.
+    The postings are read twice (to count and to score), so pass stored tables. A word that is in
+    a large share of all pages is joined in slices; its document frequency already tells how many.
     """
     documents = term_documents(postings) if documents is None else documents
     weights = idf(documents, corpus).select("word", "idf")
-    hot = hot_keys(documents, "word", "documents_number")
+    hot = HotKeys.of(postings, "word", documents, "documents_number")
     scored = skew_join(postings, weights, "word", ["page_id"], hot)
     return scored.select(
         "word", "page_id", "url", "title", "tf", (F.col("tf") * F.col("idf")).alias("tf_idf")

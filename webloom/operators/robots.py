@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import text as tx
 from webloom.functions import urls
-from webloom.plans.skew import skew_join
+from webloom.plans.skew import HotKeys, skew_join
 
 DEFAULT_CRAWL_DELAY = 1.0
 
@@ -132,7 +132,7 @@ def robots_allow(links: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     allows everything with the default delay; after a failed fetch nothing is visited.
     """
     asked = links.withColumn("host", urls.netloc(F.col("url")))
-    joined = skew_join(asked, robots_policy(robots, agent), "host", ["url"], how="left")
+    joined = skew_join(asked, robots_policy(robots, agent), "host", ["url"], HotKeys.of(asked, "host"), "left")
     tested = joined.withColumn("tested", _tested_path(F.col("url")))
     matching = F.filter("rules", lambda rule: F.col("tested").startswith(rule["path"]))
     failed = F.coalesce("fetch_failed", F.lit(False))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import scoring
 from webloom.functions import text as tx
-from webloom.plans.skew import hot_keys, skew_join
+from webloom.plans.skew import HotKeys, count_keys, skew_join
 
 # Up to this many distinct query words are held in memory by every task; more are shuffled.
 WORDS_IN_MEMORY = 100_000
@@ -35,6 +35,8 @@ def parse_query(index: DataFrame, query: str, strip_punct: bool = False) -> list
 
 def and_pages(index: DataFrame, terms: list[str]) -> DataFrame:
     """Pages that hold every term: (page_id). One pass over the postings of the terms."""
+    if not terms:
+        return index.limit(0).select("page_id")
     matches = index.filter(F.col("word").isin(terms)).groupBy("page_id").agg(
         *[F.max(F.col("word") == term).alias(f"has_{i}") for i, term in enumerate(terms)]
     )
@@ -155,11 +157,11 @@ def search_batch(
     used = _postings_of(index, words, words_in_memory)
     used = used.join(pages.select("url", "page_rank"), "url")
     frequency = used.groupBy("word").agg(F.count("*").alias("n"))
-    hot = hot_keys(frequency, "word", "n")
+    hot = HotKeys.of(index, "word", frequency)
 
     terms = distinct.select("asked", F.explode("terms").alias("word"), F.size("terms").alias("n_terms"))
     rarest = (
-        skew_join(terms, frequency, "word", ["asked"])
+        skew_join(terms, frequency, "word", ["asked"], HotKeys.of(queries, "word", count_keys(terms, "word")))
         .groupBy("asked")
         .agg(F.min(F.struct("n", "word")).alias("rarest"), F.count("*").alias("found"), F.max("n_terms").alias("n_terms"))
         .filter(F.col("found") == F.col("n_terms"))
@@ -176,7 +178,8 @@ def search_batch(
         .filter(F.col("matched") == F.col("n_terms"))
     )
     best = top_k(matched.select("asked", "page_id", "title", "url", "score"), "asked", k)
-    return skew_join(asked.select("query_id", "asked"), best, "asked", ["query_id"]).drop("asked")
+    hot_queries = HotKeys.of(queries, "asked", count_keys(asked, "asked"))
+    return skew_join(asked.select("query_id", "asked"), best, "asked", ["query_id"], hot_queries).drop("asked")
 
 
 def _postings_of(index: DataFrame, words: DataFrame, words_in_memory: int) -> DataFrame:
@@ -184,7 +187,7 @@ def _postings_of(index: DataFrame, words: DataFrame, words_in_memory: int) -> Da
     postings = index.select("word", "page_id", "url", "title", "tf_idf")
     if words.limit(words_in_memory + 1).count() <= words_in_memory:
         return postings.join(F.broadcast(words), "word", "left_semi")
-    return skew_join(postings, words, "word", ["page_id"], how="left_semi")
+    return skew_join(postings, words, "word", ["page_id"], HotKeys.of(index, "word"), "left_semi")
 
 
 def top_k(results: DataFrame, by: str, k: int) -> DataFrame:

@@ -3,30 +3,28 @@
 AQE splits skewed partitions only where a plain shuffle feeds the join; a side that is the
 result of an aggregation is left alone. Here the split is part of the plan: a hot key is cut in
 as many slices as its share asks for, the rows of the large side go to a slice by a hash, and
-the matching row of the other side is repeated once per slice.
+the matching rows of the other side are repeated once per slice. Without hot keys the join is an
+ordinary one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from webloom.plans.lineage import estimated_bytes
 
 # A key is hot from this share of the rows on, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.001
 
-_SLICES, _SLICE = "__slices", "__slice"
-
+# Fewer rows of a key than this are no burden for one task.
+MIN_HOT_ROWS = 10_000
 
-def hot_keys(counts: DataFrame, key: str, n: str, share: float = HOT_SHARE) -> DataFrame:
-    """Hot keys of a table of key counts, with the slices each one is cut in: (key, __slices).
+# In a table of this size no key is a burden for one task, so its keys are not counted.
+ONE_TASK_BYTES = 64 << 20
 
-    At most ``1 / share`` keys can reach the share, which is what makes the result safe to
-    broadcast whatever the size of the data.
-    """
-    total = counts.agg(F.sum(n)).scalar()
-    return counts.filter(F.col(n) >= F.greatest(total * share, F.lit(2))).select(
-        key, F.ceil(F.col(n) / F.greatest(total * share, F.lit(1))).cast("int").alias(_SLICES)
-    )
+_SLICES, _SLICE = "__slices", "__slice"
 
 
 def count_keys(df: DataFrame, key: str) -> DataFrame:
@@ -34,34 +32,65 @@ def count_keys(df: DataFrame, key: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
 
 
+class HotKeys:
+    """The hot keys of a table of key counts, with the number of slices of each.
+
+    At most ``1 / share`` keys can reach the share, whatever the size of the data. That is why
+    they may pass through the driver and be broadcast.
+    """
+
+    def __init__(self, counts: DataFrame, key: str, n: str, share: float = HOT_SHARE, min_rows: int = MIN_HOT_ROWS):
+        limit = F.greatest(counts.agg(F.sum(n)).scalar() * share, F.lit(min_rows))
+        found = counts.filter(F.col(n) >= limit).select(key, F.ceil(F.col(n) / limit).cast("int"))
+        self.rows = [tuple(row) for row in found.collect()]
+        self.key = key
+        self._type = counts.schema[key].dataType
+
+    @classmethod
+    def of(cls, large: DataFrame, key: str, counts: DataFrame | None = None, n: str = "n") -> HotKeys | None:
+        """Hot keys of a table, from its key counts if those are known; None without any."""
+        if estimated_bytes(large) <= ONE_TASK_BYTES:
+            return None
+        return cls(count_keys(large, key) if counts is None else counts, key, n)
+
+    def __bool__(self) -> bool:
+        return bool(self.rows)
+
+    def _attach(self, df: DataFrame, key: str) -> DataFrame:
+        schema = T.StructType([T.StructField(key, self._type), T.StructField(_SLICES, T.IntegerType())])
+        return df.join(F.broadcast(df.sparkSession.createDataFrame(self.rows, schema)), key, "left")
+
+    def scatter(self, df: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
+        """Each row gets one slice of its key; rows with a NULL key are spread as well."""
+        by_hash = F.xxhash64(*spread_by)
+        slices = F.when(F.col(key).isNull(), 1 << 20).otherwise(self._slices())
+        return self._attach(df, key).withColumn(_SLICE, F.pmod(by_hash, slices).cast("int")).drop(_SLICES)
+
+    def repeat(self, df: DataFrame, key: str) -> DataFrame:
+        """Each row is repeated for every slice of its key."""
+        every = F.sequence(F.lit(0), self._slices() - 1)
+        return self._attach(df, key).withColumn(_SLICE, F.explode(every)).drop(_SLICES)
+
+    @staticmethod
+    def _slices() -> Column:
+        return F.coalesce(F.col(_SLICES), F.lit(1))
+
+
 def skew_join(
     large: DataFrame,
     small: DataFrame,
     key: str,
     spread_by: list[str],
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
     how: str = "inner",
 ) -> DataFrame:
     """Join ``large`` to ``small`` on ``key``, whatever share of ``large`` one key holds.
 
     ``spread_by`` names columns of ``large`` that differ between the rows of a key. ``how`` is
-    inner, left, left_semi or left_anti. Rows with a NULL key are spread as well.
+    inner, left, left_semi or left_anti. Pass ``hot`` from ``HotKeys.of``, without it there is
+    nothing to slice.
     """
-    if hot is None:
-        hot = hot_keys(count_keys(large, key), key, "n")
-    by_hash = F.xxhash64(*spread_by)
-    slices = F.coalesce(F.col(_SLICES), F.lit(1))
-    left = (
-        large.join(F.broadcast(hot), key, "left")
-        .withColumn(
-            _SLICE,
-            F.when(F.col(key).isNull(), F.pmod(by_hash, F.lit(1 << 20))).otherwise(F.pmod(by_hash, slices)),
-        )
-        .drop(_SLICES)
-    )
-    right = (
-        small.join(F.broadcast(hot), key, "left")
-        .withColumn(_SLICE, F.explode(F.sequence(F.lit(0).cast("long"), (slices - 1).cast("long"))))
-        .drop(_SLICES)
-    )
+    if not hot:
+        return large.join(small, key, how)
+    left, right = hot.scatter(large, key, spread_by), hot.repeat(small, key)
     return left.join(right, [key, _SLICE], how).drop(_SLICE)
