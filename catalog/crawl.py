@@ -12,6 +12,7 @@ from webloom.operators import frontier as fr
 from webloom.operators import links as ln
 from webloom.operators import pages as pg
 from webloom.operators import robots as rb
+from webloom.plans.lineage import materialize
 
 AS_OF = "2024-01-01 12:00:08"
 
@@ -149,7 +150,7 @@ def _frontier_domains(spark, sf_dir):
 def _frontier_add(spark, sf_dir):
     """Targets of all links, less the targets of French pages (visited) and German ones (queued)."""
     links = ln.page_links(ln.resolved_links(ln.page_hrefs(c.pages(spark, sf_dir))))
-    links = links.select("url", "target_url")
+    links = materialize(links.select("url", "target_url"), "links")
     visited = links.filter(F.col("url").contains("/fr/")).select(F.col("target_url").alias("url"))
     queued = links.filter(F.col("url").contains("/de/")).select(F.col("target_url").alias("url"))
     return fr.frontier_add(links.select(F.col("target_url").alias("url")), visited, queued)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import scoring
 from webloom.functions import text as tx
+from webloom.plans.lineage import materialize
 from webloom.plans.skew import HotKeys, count_keys, skew_join
 
 # Up to this many distinct query words are held in memory by every task; more are shuffled.
@@ -60,9 +61,9 @@ def _all_true(n: int) -> Column:
 def matching_postings(index: DataFrame, terms: list[str]) -> DataFrame:
     """Postings of the terms on the pages that hold all of them, with one shuffle by page."""
     of_page = Window.partitionBy("page_id")
-    hits = index.filter(F.col("word").isin(terms))
-    for i, term in enumerate(terms):
-        hits = hits.withColumn(f"has_{i}", F.max(F.col("word") == term).over(of_page))
+    hits = index.filter(F.col("word").isin(terms)).select(
+        "*", *[F.max(F.col("word") == term).over(of_page).alias(f"has_{i}") for i, term in enumerate(terms)]
+    )
     return hits.filter(_all_true(len(terms))).drop(*[f"has_{i}" for i in range(len(terms))])
 
 
@@ -143,31 +144,31 @@ def search_batch(
     Equal queries are answered once. The candidates of a query are the pages of its rarest word,
     so a word that is on a third of all pages brings its pages in only where every other word is
     as common. Each candidate is then checked against the other words by (word, page), a key that
-    no word can make hot. Only the best k of each task reach the ranking of a query.
+    no word can make hot. Only the best k of each task reach the ranking of a query. The queries
+    and the postings of their words are stored first, as several steps read them.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
-    asked = queries.select(
-        "query_id", F.sort_array(F.array_distinct(tx.query_terms(F.col("query"), strip_punct))).alias("terms")
-    ).filter(F.size("terms") > 0)
-    asked = asked.withColumn("asked", F.array_join("terms", "\n"))
-    distinct = asked.groupBy("asked").agg(F.first("terms").alias("terms"))
-
-    words = distinct.select(F.explode("terms").alias("word")).distinct()
-    used = _postings_of(index, words, words_in_memory)
-    used = used.join(pages.select("url", "page_rank"), "url")
+    as_terms = F.sort_array(F.array_distinct(tx.query_terms(F.col("query"), strip_punct)))
+    asked = queries.select("query_id", F.array_join(as_terms, "\n").alias("asked")).filter("asked <> ''")
+    asked = materialize(asked, "queries")
+    distinct = asked.select("asked").distinct().withColumn("terms", F.split("asked", "\n"))
+    terms = distinct.select("asked", F.explode("terms").alias("word"), F.size("terms").alias("n_terms"))
+
+    used = _postings_of(index, terms.select("word").distinct(), words_in_memory)
+    used = materialize(used.join(pages.select("url", "page_rank"), "url"), "matches")
     frequency = used.groupBy("word").agg(F.count("*").alias("n"))
-    hot = HotKeys.of(index, "word", frequency)
 
-    terms = distinct.select("asked", F.explode("terms").alias("word"), F.size("terms").alias("n_terms"))
+    hot_terms = HotKeys.of(asked, "word", count_keys(terms, "word"))
     rarest = (
-        skew_join(terms, frequency, "word", ["asked"], HotKeys.of(queries, "word", count_keys(terms, "word")))
+        skew_join(terms, frequency, "word", ["asked"], hot_terms)
         .groupBy("asked")
         .agg(F.min(F.struct("n", "word")).alias("rarest"), F.count("*").alias("found"), F.max("n_terms").alias("n_terms"))
         .filter(F.col("found") == F.col("n_terms"))
         .select("asked", F.col("rarest.word").alias("word"), "n_terms")
     )
-    candidates = skew_join(used.select("word", "page_id"), rarest, "word", ["page_id"], hot)
+    hot_words = HotKeys.of(used, "word", frequency)
+    candidates = skew_join(used.select("word", "page_id"), rarest, "word", ["page_id"], hot_words)
     wanted = candidates.select(
         "asked", "page_id", "n_terms", F.explode(F.split("asked", "\n")).alias("word")
     )
@@ -178,7 +179,7 @@ def search_batch(
         .filter(F.col("matched") == F.col("n_terms"))
     )
     best = top_k(matched.select("asked", "page_id", "title", "url", "score"), "asked", k)
-    hot_queries = HotKeys.of(queries, "asked", count_keys(asked, "asked"))
+    hot_queries = HotKeys.of(asked, "asked")
     return skew_join(asked.select("query_id", "asked"), best, "asked", ["query_id"], hot_queries).drop("asked")
 
 
