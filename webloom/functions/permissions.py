@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions import text as tx
+
 # Content types of documents that are kept.
 PAGE_CONTENT_TYPES = ["text/html", "text/plain"]
 
@@ -43,40 +45,38 @@ def parse_date(text: Column, as_of: Column) -> Column:
     A date without a zone, or with a zone that is only a name, is UTC. A two-digit year is the
     one nearest to ``as_of``.
     """
-    iso = _timestamp(text, _ISO, {"year": 1, "month": 2, "day": 3}, as_of)
-    day_first = _timestamp(text, _DAY_FIRST, {"day": 1, "month": 2, "year": 3}, as_of)
-    month_first = _timestamp(text, _MONTH_FIRST, {"month": 1, "day": 2, "year": 3}, as_of)
-    return F.coalesce(iso, day_first, month_first)
+    parts = F.coalesce(
+        _date_parts(text, _ISO, "$1|$2|$3"),
+        _date_parts(text, _DAY_FIRST, "$3|$2|$1"),
+        _date_parts(text, _MONTH_FIRST, "$3|$1|$2"),
+    )
+    return tx.let(parts, lambda found: _timestamp(found, as_of))
 
 
-def _timestamp(text: Column, pattern: str, groups: dict[str, int], as_of: Column) -> Column:
-    def part(group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
+def _date_parts(text: Column, pattern: str, year_month_day: str) -> Column:
+    """array(year, month, day, hour, minute, second, zone) of a date in one form, else NULL."""
+    joined = F.regexp_replace(text, pattern, year_month_day + "|$4|$5|$6|$7")
+    return F.when(text.rlike(pattern), F.split(joined, r"\|"))
 
-    def number(group: int) -> Column:
-        return F.coalesce(part(group).try_cast("int"), F.lit(0))
 
-    month_name = F.lower(part(groups["month"]))
-    month = F.coalesce(
-        part(groups["month"]).try_cast("int"),
-        F.nullif(F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), month_name), F.lit(0)).cast("int"),
-    )
-    short_year = F.year(as_of) - F.year(as_of) % 100 + number(groups["year"])
-    near_year = (
-        F.when(short_year >= F.year(as_of) + 50, short_year - 100)
-        .when(short_year < F.year(as_of) - 50, short_year + 100)
-        .otherwise(short_year)
-    )
-    year = F.when(F.length(part(groups["year"])) == 2, near_year).otherwise(number(groups["year"]))
-    zone = part(7)
-    offset = F.regexp_extract(zone, r"([+-])(\d{2}):?(\d{2})", 2).try_cast("int") * 60 + F.regexp_extract(
-        zone, r"([+-])(\d{2}):?(\d{2})", 3
-    ).try_cast("int")
-    minutes = F.coalesce(F.when(zone.startswith("-"), -offset).otherwise(offset), F.lit(0))
-    local = F.try_make_timestamp(
-        year, month, number(groups["day"]), number(4), number(5), number(6).cast("decimal(8,6)"), F.lit("UTC")
-    )
-    return F.when(text.rlike(pattern), local - F.make_dt_interval(mins=minutes))
+def _timestamp(parts: Column, as_of: Column) -> Column:
+    def number(at: int) -> Column:
+        return F.coalesce(F.get(parts, F.lit(at)).try_cast("int"), F.lit(0))
+
+    names = F.array(*[F.lit(m) for m in _MONTHS])
+    by_name = F.array_position(names, F.lower(F.get(parts, F.lit(1)))).cast("int")
+    month = F.greatest(number(1), by_name)
+    this_year = F.year(as_of)
+    short = this_year - this_year % 100 + number(0)
+    nearest = short - F.when(short >= this_year + 50, 100).when(short < this_year - 50, -100).otherwise(0)
+    year = F.when(F.length(F.get(parts, F.lit(0))) == 2, nearest).otherwise(number(0))
+    zone = F.get(parts, F.lit(6))
+    digits = F.coalesce(F.regexp_replace(zone, "[^0-9]", "").try_cast("int"), F.lit(0))
+    minutes = F.floor(digits / 100) * 60 + digits % 100
+    offset = F.when(zone.startswith("-"), -minutes).otherwise(minutes).cast("int")
+    seconds = number(5).cast("decimal(8,6)")
+    local = F.try_make_timestamp(year, month, number(2), number(3), number(4), seconds, F.lit("UTC"))
+    return local - F.make_dt_interval(mins=offset)
 
 
 def expired(directives: Column, as_of: Column) -> Column:
@@ -100,10 +100,12 @@ def expired(directives: Column, as_of: Column) -> Column:
 def directive_permissions(directives: Column, as_of: Column) -> Column:
     """struct<index, follow> allowed by one directive text; NULL text allows both."""
     given = F.coalesce(directives, F.lit(""))
-    neither = given.contains("none") | expired(given, as_of)
-    return F.struct(
-        (~(given.contains("noindex") | neither)).alias("index"),
-        (~(given.contains("nofollow") | neither)).alias("follow"),
+    return tx.let(
+        given.contains("none") | expired(given, as_of),
+        lambda neither: F.struct(
+            (~(given.contains("noindex") | neither)).alias("index"),
+            (~(given.contains("nofollow") | neither)).alias("follow"),
+        ),
     )
 
 
@@ -111,7 +113,10 @@ def page_permissions(headers: Column, meta_robots: Column, as_of: Column) -> Col
     """struct<index, follow> allowed by both the headers and the meta tags of a page."""
     of_header = directive_permissions(x_robots_tag(headers), as_of)
     of_meta = directive_permissions(meta_directives(meta_robots), as_of)
-    return F.struct(
-        (of_header["index"] & of_meta["index"]).alias("index"),
-        (of_header["follow"] & of_meta["follow"]).alias("follow"),
+    return F.aggregate(
+        F.array(of_header, of_meta),
+        F.struct(F.lit(True).alias("index"), F.lit(True).alias("follow")),
+        lambda both, one: F.struct(
+            (both["index"] & one["index"]).alias("index"), (both["follow"] & one["follow"]).alias("follow")
+        ),
     )

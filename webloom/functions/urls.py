@@ -54,12 +54,11 @@ def netloc(url: Column) -> Column:
     return url_parts(url)["netloc"]
 
 
-def resolve(page_url: Column, href: Column) -> Column:
-    """Absolute URL of a link; NULL for the forms that are not followed.
+def resolve(page: Column, href: Column) -> Column:
+    """Absolute URL of a link on a page with these URL parts; NULL for links not followed.
 
     Followed are ``/path``, ``//host/path`` and anything that starts with ``http``.
     """
-    page = url_parts(page_url)
     return (
         F.when(href.startswith("//"), F.concat(page["scheme"], F.lit(":"), href))
         .when(href.startswith("/"), F.concat(page["scheme"], F.lit("://"), page["netloc"], href))

@@ -19,7 +19,9 @@ def page_hrefs(pages: DataFrame) -> DataFrame:
 
 def resolved_links(hrefs: DataFrame) -> DataFrame:
     """Links that are followed, as absolute URLs: (..., link)."""
-    return hrefs.withColumn("link", urls.resolve(F.col("url"), F.col("href"))).filter("link IS NOT NULL")
+    followed = hrefs.filter(F.col("href").startswith("/") | F.col("href").startswith("http"))
+    parsed = followed.withColumn("page", urls.url_parts(F.col("url")))
+    return parsed.withColumn("link", urls.resolve(F.col("page"), F.col("href"))).drop("page")
 
 
 def page_links(links: DataFrame) -> DataFrame:

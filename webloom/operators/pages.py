@@ -107,9 +107,10 @@ def crawl_outcome(fetched: DataFrame, as_of: Column) -> DataFrame:
     """
     allowed = pm.page_permissions(F.col("headers"), F.col("meta_robots"), as_of)
     stored = F.col("can_visit") & F.col("fetched") & pm.is_page_content(F.col("content_type"))
-    return fetched.select(
+    decided = fetched.select("url", stored.alias("stored"), allowed.alias("allowed"))
+    return decided.select(
         "url",
-        (stored & allowed["index"]).alias("indexation"),
-        (stored & allowed["follow"]).alias("follow"),
-        F.when(stored, page_key(F.col("url"))).alias("page_key"),
+        (F.col("stored") & F.col("allowed.index")).alias("indexation"),
+        (F.col("stored") & F.col("allowed.follow")).alias("follow"),
+        F.when(F.col("stored"), page_key(F.col("url"))).alias("page_key"),
     )

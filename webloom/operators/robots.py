@@ -114,8 +114,8 @@ def robots_policy(robots: DataFrame, agent: str) -> DataFrame:
     )
 
 
-def _tested_path(url: Column) -> Column:
-    parts = urls.url_parts(unquote(url))
+def _tested_path(parts: Column) -> Column:
+    """Path, params, query and fragment of a URL, as rules are tested against."""
 
     def optional(mark: str, part: str) -> Column:
         return F.when(parts[part] != "", F.concat(F.lit(mark), parts[part])).otherwise("")
@@ -133,7 +133,8 @@ def robots_allow(links: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """
     asked = links.withColumn("host", urls.netloc(F.col("url")))
     joined = skew_join(asked, robots_policy(robots, agent), "host", ["url"], HotKeys.of(asked, "host"), "left")
-    tested = joined.withColumn("tested", _tested_path(F.col("url")))
+    parsed = joined.withColumn("parts", urls.url_parts(unquote(F.col("url"))))
+    tested = parsed.withColumn("tested", _tested_path(F.col("parts")))
     matching = F.filter("rules", lambda rule: F.col("tested").startswith(rule["path"]))
     failed = F.coalesce("fetch_failed", F.lit(False))
     return tested.select(
