@@ -86,8 +86,7 @@ def test_a_sweep_shuffles_once(spark, capsys):
     graph = rk._Graph(numbered, None, 4)
     ranks = spark.range(1000).select("id", F.lit(1.0).alias("rank")).groupBy("id").agg(F.sum("rank").alias("rank"))
     for _ in range(3):
-        parts = graph.contributions(ranks, 0.85)
-        ranks = parts.groupBy("dst").agg(F.sum("part").alias("rank")).withColumnRenamed("dst", "id")
+        ranks = graph.contributions(ranks, 0.85).groupBy("id").agg(F.sum("part").alias("rank"))
     ranks.collect()
     ranks.explain()
     final = capsys.readouterr().out.split("\n+- == Initial Plan ==")[0]

@@ -24,7 +24,8 @@ MIN_HOT_ROWS = 10_000
 # In a table of this size no key is a burden for one task, so its keys are not counted.
 ONE_TASK_BYTES = 64 << 20
 
-_SLICES, _SLICE = "__slices", "__slice"
+SLICE = "__slice"
+_SLICES = "__slices"
 
 
 def count_keys(df: DataFrame, key: str) -> DataFrame:
@@ -64,12 +65,12 @@ class HotKeys:
         """Each row gets one slice of its key; rows with a NULL key are spread as well."""
         by_hash = F.xxhash64(*spread_by)
         slices = F.when(F.col(key).isNull(), 1 << 20).otherwise(self._slices())
-        return self._attach(df, key).withColumn(_SLICE, F.pmod(by_hash, slices).cast("int")).drop(_SLICES)
+        return self._attach(df, key).withColumn(SLICE, F.pmod(by_hash, slices).cast("int")).drop(_SLICES)
 
     def repeat(self, df: DataFrame, key: str) -> DataFrame:
         """Each row is repeated for every slice of its key."""
         every = F.sequence(F.lit(0), self._slices() - 1)
-        return self._attach(df, key).withColumn(_SLICE, F.explode(every)).drop(_SLICES)
+        return self._attach(df, key).withColumn(SLICE, F.explode(every)).drop(_SLICES)
 
     @staticmethod
     def _slices() -> Column:
@@ -93,4 +94,4 @@ def skew_join(
     if not hot:
         return large.join(small, key, how)
     left, right = hot.scatter(large, key, spread_by), hot.repeat(small, key)
-    return left.join(right, [key, _SLICE], how).drop(_SLICE)
+    return left.join(right, [key, SLICE], how).drop(SLICE)
