@@ -14,7 +14,7 @@ from webloom.operators import pages as pg
 from webloom.operators import robots as rb
 from webloom.plans.lineage import materialize
 
-AS_OF = "2024-01-01 12:00:08"
+AS_OF = "2024-01-01 12:00:06"
 
 
 def _as_of():
@@ -119,14 +119,12 @@ def queue(spark, sf_dir):
 
 
 def domains(spark, sf_dir):
-    """Last visit and delay per host, both from the lengths of its URLs."""
-    lengths = queue(spark, sf_dir).groupBy("domain").agg(
-        F.min(F.length("url")).alias("shortest"), F.max(F.length("url")).alias("longest")
-    )
+    """Last visit and delay per host, from the length of its shortest URL and of its name."""
+    lengths = queue(spark, sf_dir).groupBy("domain").agg(F.min(F.length("url")).alias("shortest"))
     noon = F.to_timestamp(F.lit("2024-01-01 12:00:00"))
     return lengths.select(
         "domain",
-        F.col("longest").cast("double").alias("crawl_delay"),
+        (F.length("domain") * 2).cast("double").alias("crawl_delay"),
         (noon - F.make_dt_interval(secs=F.col("shortest").cast("decimal(18,6)"))).alias("last_visit"),
     )
 
@@ -200,8 +198,8 @@ allowed AS (
 
 _QUEUE = f"""
 WITH queue AS (SELECT page_id AS id, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain FROM pages),
-lengths AS (SELECT domain, min(length(url)) AS shortest, max(length(url)) AS longest FROM queue GROUP BY domain),
-domains AS (SELECT domain, longest::DOUBLE AS crawl_delay,
+lengths AS (SELECT domain, min(length(url)) AS shortest FROM queue GROUP BY domain),
+domains AS (SELECT domain, (2 * length(domain))::DOUBLE AS crawl_delay,
                    TIMESTAMP '2024-01-01 12:00:00' - to_seconds(shortest) AS last_visit FROM lengths),
 ready AS (SELECT * FROM queue q WHERE NOT EXISTS (
             SELECT 1 FROM domains d WHERE d.domain = q.domain

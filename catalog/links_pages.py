@@ -127,8 +127,12 @@ edges AS (SELECT url AS source_url, target_url, regexp_extract(netloc, '[^.]+\\.
 
 SQL_HREFS = _HREFS
 
-_UNESCAPED = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
-_TITLE = _UNESCAPED.format("trim(regexp_extract(html, '<title>(.*?)</title>', 1))")
+# The four entities in use; HTML reads them without the final semicolon as well.
+_UNESCAPED = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&quot;?', '\"', 'g'), "
+    "'&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g')"
+)
+SQL_TITLE = _TITLE = _UNESCAPED.format("trim(regexp_extract(html, '<title>(.*?)</title>', 1))")
 _BODY = "regexp_extract(html, '(?s)<body>(.*?)(</body>|$)', 1)"
 _TEXT = _UNESCAPED.format(f"regexp_replace({_BODY}, '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')")
 
