@@ -16,8 +16,10 @@ from webloom.functions import text as tx
 from webloom.plans.lineage import materialize
 from webloom.plans.skew import HotKeys, count_keys, skew_join
 
-# Up to this many distinct query words are held in memory by every task; more are shuffled.
+# Up to this many distinct query words, of this many bytes, are held in memory by every task;
+# more are shuffled.
 WORDS_IN_MEMORY = 100_000
+_WORD_BYTES_IN_MEMORY = 16 << 20
 
 # Scores that agree to this many digits are equal: the order in which a sum is added up is not
 # fixed, and ties are broken by page.
@@ -184,9 +186,10 @@ def search_batch(
 
 
 def _postings_of(index: DataFrame, words: DataFrame, words_in_memory: int) -> DataFrame:
-    """Postings of the words in use. The words are broadcast only when counted to be few."""
+    """Postings of the words in use. The words are broadcast only when measured to be few."""
     postings = index.select("word", "page_id", "url", "title", "tf_idf")
-    if words.limit(words_in_memory + 1).count() <= words_in_memory:
+    n, n_bytes = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
+    if n <= words_in_memory and n_bytes <= _WORD_BYTES_IN_MEMORY:
         return postings.join(F.broadcast(words), "word", "left_semi")
     return skew_join(postings, words, "word", ["page_id"], HotKeys.of(index, "word"), "left_semi")
 
