@@ -13,17 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.plans.lineage import estimated_bytes
-
-# A key is hot from this share of the rows on, so there are at most 1 / HOT_SHARE hot keys.
-HOT_SHARE = 0.001
-
-# Fewer rows of a key than this are no burden for one task.
-MIN_HOT_ROWS = 10_000
-
-# In a table of this size no key is a burden for one task, so its keys are not counted.
-ONE_TASK_BYTES = 64 << 20
-
 SLICE = "__slice"
 _SLICES = "__slices"
 
@@ -36,23 +25,25 @@ def count_keys(df: DataFrame, key: str) -> DataFrame:
 class HotKeys:
     """The hot keys of a table of key counts, with the number of slices of each.
 
-    At most ``1 / share`` keys can reach the share, whatever the size of the data. That is why
-    they may pass through the driver and be broadcast.
+    A key is hot if it has more rows than a task gets on average (all rows over the number of shuffle
+    partitions), and each of its slices holds at most that many. So there are fewer hot keys than
+    shuffle partitions, whatever the size of the data; that is why they may pass through the driver
+    and be broadcast. ``counts`` should be a small or stored table: it is read at once.
     """
 
-    def __init__(self, counts: DataFrame, key: str, n: str, share: float = HOT_SHARE, min_rows: int = MIN_HOT_ROWS):
-        limit = F.greatest(counts.agg(F.sum(n)).scalar() * share, F.lit(min_rows))
-        found = counts.filter(F.col(n) >= limit).select(key, F.ceil(F.col(n) / limit).cast("int"))
+    def __init__(self, counts: DataFrame, key: str, n: str, limit: int | None = None):
+        if limit is None:
+            partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            limit = max(1, -(-(counts.agg(F.sum(n)).first()[0] or 0) // partitions))
+        found = counts.filter((F.col(n) > limit) & F.col(key).isNotNull()).select(key, F.ceil(F.col(n) / limit).cast("int"))
         self.rows = [tuple(row) for row in found.collect()]
         self.key = key
         self._type = counts.schema[key].dataType
 
     @classmethod
     def of(cls, large: DataFrame, key: str, counts: DataFrame | None = None, n: str = "n") -> HotKeys | None:
-        """Hot keys of a table, from its key counts if those are known; None without any."""
-        if estimated_bytes(large) <= ONE_TASK_BYTES:
-            return None
-        return cls(count_keys(large, key) if counts is None else counts, key, n)
+        """Hot keys of a table from its key counts; without those the join is left to AQE."""
+        return None if counts is None else cls(counts, key, n)
 
     def __bool__(self) -> bool:
         return bool(self.rows)
