@@ -81,7 +81,7 @@ def _threshold_step(open_: DataFrame, buckets: DataFrame) -> DataFrame:
     """Find in the next finer histogram where each budget ends: the bucket and what lies before it."""
     before = Window.partitionBy("source").orderBy("bucket")
     summed = buckets.withColumn("upto", F.sum("words").over(before))
-    ends = open_.join(summed, "source").filter((F.col("upto") - F.col("words") < F.col("left")) & (F.col("left") <= F.col("upto")))
+    ends = open_.select("source", "prefix", "left").join(summed, "source").filter((F.col("upto") - F.col("words") < F.col("left")) & (F.col("left") <= F.col("upto")))
     return ends.select(
         "source",
         (F.col("prefix") * (1 << STEP) + F.col("bucket")).alias("prefix"),
