@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE = "__slice"
-_SLICES = "__slices"
+SLICE = "__webloom_slice"
+_SLICES = "__webloom_slices"
 
 
 def count_keys(df: DataFrame, key: str) -> DataFrame:
