@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.operators import index as ix
-from webloom.plans.lineage import materialize, scratch_path, spread_small
+from webloom.plans.lineage import materialize, scratch_path, spread
 from webloom.sources.layout import write_index
-from webloom.sources.tables import INVERTED_INDEX, read_table
+from webloom.sources.tables import RANKED_INDEX, read_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,7 @@ def as_corpus(documents: DataFrame) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.build_postings(spread_small(corpus(spark, sf_dir)), F.col("text"))
+    return ix.build_postings(spread(corpus(spark, sf_dir)), F.col("text"))
 
 
 class Index:
@@ -46,11 +46,12 @@ class Index:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.pages = corpus(spark, sf_dir).select("page_id", "url", "title", "page_rank")
         self.corpus = ix.corpus_size(self.pages)
-        self.postings = materialize(postings(spark, sf_dir), "postings")
+        built = ix.build_postings(spread(corpus(spark, sf_dir)), F.col("text"), "page_rank")
+        self.postings = materialize(built, "postings")
         self.documents = materialize(ix.term_documents(self.postings), "term_documents")
         scored = scratch_path(spark, "scored")
         write_index(ix.score_postings(self.postings, self.corpus, self.documents), scored)
-        self.scored = read_table(spark, scored, INVERTED_INDEX)
+        self.scored = read_table(spark, scored, RANKED_INDEX)
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Index":

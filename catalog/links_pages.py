@@ -9,7 +9,7 @@ from webloom.functions import urls
 from webloom.functions.keys import page_key, page_key_blake2b
 from webloom.operators import links as ln
 from webloom.operators import pages as pg
-from webloom.plans.lineage import scratch_path, spread_small
+from webloom.plans.lineage import scratch_path, spread
 from webloom.sources import layout, tables
 
 
@@ -50,12 +50,12 @@ def _url_title(spark, sf_dir):
 
 
 def _page_title(spark, sf_dir):
-    return pg.titled_pages(c.pages(spark, sf_dir)).select("page_id", "title")
+    return pg.titled_pages(spread(c.pages(spark, sf_dir))).select("page_id", "title")
 
 
 def _page_text(scope):
     def query(spark, sf_dir):
-        texts = pg.page_texts(c.pages(spark, sf_dir), scope)
+        texts = pg.page_texts(spread(c.pages(spark, sf_dir)), scope)
         return texts.select("page_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
 
     return query

@@ -12,8 +12,11 @@ TERMS = ["in", "the", "of"]
 
 
 def _parts(spark, sf_dir):
-    index = c.Index.of(spark, sf_dir)
-    return index.scored, index.pages
+    return c.Index.of(spark, sf_dir).scored, None
+
+
+def _documents(spark, sf_dir):
+    return c.Index.of(spark, sf_dir).documents
 
 
 def _sentences(spark, sf_dir):
@@ -51,16 +54,16 @@ def _search_count(spark, sf_dir):
 
 
 def _search_batch(spark, sf_dir):
-    found = se.search_batch(*_parts(spark, sf_dir), _sentences(spark, sf_dir), k=20, strip_punct=True)
+    found = se.search_batch(*_parts(spark, sf_dir), _sentences(spark, sf_dir), k=20, strip_punct=True, documents=_documents(spark, sf_dir))
     return _rounded(found, "score")
 
 
 def _search_topk_batch(spark, sf_dir):
-    return _rounded(se.search_batch(*_parts(spark, sf_dir), _sentences(spark, sf_dir), k=3), "score")
+    return _rounded(se.search_batch(*_parts(spark, sf_dir), _sentences(spark, sf_dir), k=3, documents=_documents(spark, sf_dir)), "score")
 
 
 def _search_json(spark, sf_dir):
-    return se.answer_json(se.search_batch(*_parts(spark, sf_dir), _sentences(spark, sf_dir), k=5, strip_punct=True))
+    return se.answer_json(se.search_batch(*_parts(spark, sf_dir), _sentences(spark, sf_dir), k=5, strip_punct=True, documents=_documents(spark, sf_dir)))
 
 
 def _rounded(df, *columns):

@@ -8,18 +8,18 @@ from catalog import common as c
 from webloom.functions import text as tx
 from webloom.operators import index as ix
 from webloom.operators import pages as pg
-from webloom.plans.lineage import spread_small
+from webloom.plans.lineage import spread
 
 
 def _tokens(spark, sf_dir):
-    rows = spread_small(c.corpus(spark, sf_dir)).select(
+    rows = spread(c.corpus(spark, sf_dir)).select(
         "page_id", F.posexplode(tx.raw_tokens(F.col("text"))).alias("pos", "token")
     )
     return rows.groupBy("token").agg(F.count("*").alias("n"), F.sum("pos").alias("sum_pos"))
 
 
 def _normalized_tokens(spark, sf_dir):
-    rows = spread_small(c.corpus(spark, sf_dir)).select("page_id", F.explode(tx.terms(F.col("text"))).alias("word"))
+    rows = spread(c.corpus(spark, sf_dir)).select("page_id", F.explode(tx.terms(F.col("text"))).alias("word"))
     return rows.groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -29,7 +29,7 @@ def _query_terms(spark, sf_dir):
 
 
 def _term_counts(spark, sf_dir):
-    return ix.term_counts(spread_small(c.corpus(spark, sf_dir)), F.col("text"))
+    return ix.term_counts(spread(c.corpus(spark, sf_dir)), F.col("text"))
 
 
 def _term_frequency(spark, sf_dir):
@@ -47,7 +47,7 @@ def _term_documents(spark, sf_dir):
 def _term_documents_merge(spark, sf_dir):
     """Counters of the documents, brought up to date with those of the conversations."""
     turns = c.table(spark, sf_dir, "conversations").withColumn("page_id", F.struct("conv_id", "turn"))
-    added = ix.term_documents(ix.term_counts(spread_small(turns), F.col("text")))
+    added = ix.term_documents(ix.term_counts(spread(turns), F.col("text")))
     return ix.merge_term_documents(c.Index.of(spark, sf_dir).documents, added)
 
 

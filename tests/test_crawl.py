@@ -1,5 +1,6 @@
 import datetime as dt
 import hashlib
+import time
 from urllib.robotparser import RobotFileParser
 
 import pytest
@@ -288,3 +289,29 @@ def test_page_layout(spark, tmp_path):
 def test_blake2b_key(run):
     keys = run(page_key_blake2b(F.col("x")), ["https://example.com", None])
     assert keys == [hashlib.blake2b(b"https://example.com", digest_size=16).hexdigest(), None]
+
+
+@pytest.mark.parametrize("bad", ["<![foo[x]]>", "<![ [x]]>", "<![CDATA[x", "<!-- ", "<!--", "<a ", "<a b='", "</", "<?", "<![", "<script>"])
+def test_broken_markup_costs_a_tag_and_not_the_page(bad):
+    page = parse_page(f"<title>T</title><h1>one</h1>{bad}<a href='/x'>y</a>")
+    assert page["title"] == "T" and page["heading"] == "one"
+    if bad.startswith("<![f") or bad.startswith("<![ "):
+        assert page["hrefs"] == ["/x"]
+
+
+@pytest.mark.parametrize("bad", ["<a ", "<!--", "<!-- x>", "<![foo[x]]>", "<![cdata[", "<a b='", "</", "<![if x>"])
+def test_time_doubles_with_the_page(bad):
+    def seconds(n):
+        begin = time.process_time()
+        parse_page("<title>T</title>" + bad * n)
+        return time.process_time() - begin
+
+    seconds(1000)
+    assert min(seconds(80_000) for _ in range(2)) < 6 * min(seconds(20_000) for _ in range(2)) + 0.2
+
+
+def test_null_flags_of_a_fetch_are_false(spark):
+    rows = [("u", None, "text/html", None, None, True), ("v", True, "text/html", None, None, None), ("w", True, "text/html", None, None, True)]
+    ddl = "url STRING, can_visit BOOLEAN, content_type STRING, headers MAP<STRING,STRING>, meta_robots ARRAY<STRING>, fetched BOOLEAN"
+    got = {r.url: (r.indexation, r.follow) for r in pg.crawl_outcome(spark.createDataFrame(rows, ddl), F.current_timestamp()).collect()}
+    assert got == {"u": (False, False), "v": (False, False), "w": (True, True)}

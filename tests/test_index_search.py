@@ -204,3 +204,49 @@ def test_index_layout_pushes_words_down(spark, index, pages, tmp_path, capsys):
     plan = capsys.readouterr().out
     assert "PushedFilters: [In(word, [cafe,chat])]" in plan
     assert "ReadSchema: struct<word:string,page_id:bigint>" in plan
+
+
+@pytest.fixture(scope="module")
+def ranked(index, pages):
+    return materialize(index.join(pages.select("url", "page_rank"), "url", "left"))
+
+
+@pytest.mark.parametrize("search", [se.search_pages, se.search_rows])
+def test_search_shuffles_once_and_reads_no_pages(ranked, search, capsys):
+    search(ranked, None, "chat noir").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning(") == 1 and plan.count("Join") == 0
+    assert plan.count("Exchange") - plan.count("Exchange hashpartitioning(") <= 1  # the sort of the result
+
+
+def test_ranked_index_gives_the_same_answers(spark, ranked, index, pages):
+    documents = ix.term_documents(index)
+    queries = spark.createDataFrame([(1, "chat"), (2, "noir chat"), (3, "chat")], "query_id INT, query STRING")
+    want = se.search_batch(index, pages, queries).collect()
+    assert sorted(se.search_batch(ranked, None, queries, documents=documents).collect()) == sorted(want)
+    for query in ("chat", "chat noir"):
+        assert se.search_pages(ranked, None, query).collect() == se.search_pages(index, pages, query).collect()
+
+
+NULLS = [
+    ("x", 1, "u1", "t", 0.5, 0.5, None),
+    ("x", 2, "u2", "t", 0.5, None, 0.3),
+    ("y", 2, "u2", "t", 0.5, 0.4, 0.3),
+    ("x", 3, "u3", "t", 0.5, 0.9, 0.1),
+    ("y", 3, "u3", "t", 0.5, 0.9, 0.1),
+    ("x", 4, "u4", "t", 0.5, None, 0.2),
+    ("y", 4, "u4", "t", 0.5, None, 0.2),
+    ("x", 5, "u5", "t", 0.5, 0.6, 0.2),
+    ("x", 5, "u5", "t", 0.5, 0.6, 0.2),
+    ("y", 5, "u5", "t", 0.5, 0.6, 0.2),
+]
+
+
+def test_unscored_words_and_pages_indexed_twice(spark):
+    """SUM leaves NULL out; only a page without any score has none and comes first."""
+    table = spark.createDataFrame(NULLS, "word STRING, page_id LONG, url STRING, title STRING, tf DOUBLE, tf_idf DOUBLE, page_rank DOUBLE")
+    assert [(r.page_id, r.score is None) for r in se.search_pages(table, None, "x y").collect()] == [(4, True), (5, False), (3, False), (2, False)]
+    queries = spark.createDataFrame([(1, "y x")], "query_id INT, query STRING")
+    assert [r.page_id for r in se.search_batch(table, None, queries).orderBy("rank").collect()] == [4, 5, 3, 2]
+    rows = se.search_rows(table, None, "x y").collect()
+    assert [(r.page_id, r.n_words) for r in rows if r.page_id in (3, 5)] == [(5, 3), (3, 2)]

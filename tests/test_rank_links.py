@@ -1,3 +1,4 @@
+import pathlib
 import random
 
 import golden
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.operators import links as ln
 from webloom.operators import rank as rk
+from webloom.operators.robots import robots_allow
 from webloom.plans import skew
 
 
@@ -64,10 +66,21 @@ def ranks_by_hand(pages, edges, n_docs, sweeps):
     return ranks
 
 
-def test_pagerank_with_hub_and_sink(spark, monkeypatch):
+def files_under(path):
+    return {p.parent for p in pathlib.Path(path).rglob("part-*")}
+
+
+def test_pagerank_leaves_what_its_result_reads(spark, pages, edges):
+    """Whatever the number of sweeps, the nodes and the last ranks stay."""
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = files_under(folder)
+    ranks = rk.pagerank(pages, edges, 4, iterations=23)
+    assert len(files_under(folder) - before) == 2
+    assert ranks.count() == len(golden.RANKS)
+
+
+def test_pagerank_with_hub_and_sink(spark):
     """One source owns a third of the links, one target another third."""
-    monkeypatch.setattr(skew, "ONE_TASK_BYTES", 0)
-    monkeypatch.setattr(skew.HotKeys.__init__, "__defaults__", (0.01, 2))
     draw = random.Random(5)
     urls = [f"u{i}" for i in range(120)]
     edges = [("u0", draw.choice(urls)) for _ in range(400)] + [(draw.choice(urls), "u1") for _ in range(400)]
@@ -107,19 +120,44 @@ def test_skew_join_equals_join(spark, how):
     keys = ["hot"] * 700 + [None] * 20 + [f"k{draw.randint(0, 400)}" for _ in range(1400)]
     large = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id LONG, k STRING")
     small = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(0, 400, 2)]], "k STRING, v LONG")
-    hot = skew.HotKeys(skew.count_keys(large, "k"), "k", "n", share=0.01, min_rows=2)
+    hot = skew.HotKeys(skew.count_keys(large, "k"), "k", "n", limit=20)
     assert "hot" in dict(hot.rows)
     got = skew.skew_join(large, small, "k", ["id"], hot, how)
     want = large.join(small, "k", how)
     assert got.columns == want.columns
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    got = skew.skew_join(large, small, "k", ["id"], how=how, slices=5)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
 def test_hot_keys_are_few_and_sliced(spark):
-    counts = spark.createDataFrame([("hot", 40_000), ("warm", 200), *[(f"k{i}", 20) for i in range(4000)]], "k STRING, n LONG")
-    assert dict(skew.HotKeys(counts, "k", "n", min_rows=2).rows) == {"hot": 333, "warm": 2}
-    assert dict(skew.HotKeys(counts, "k", "n").rows) == {"hot": 4}
-    assert not skew.HotKeys(counts, "k", "n", min_rows=50_000)
+    """20% and 0.05% of the rows in one key: with 1,000 partitions no slice holds more than a task's share."""
+    counts = spark.createDataFrame([("hot", 200_000), ("warm", 2_000), *[(f"k{i}", 399) for i in range(2000)]], "k STRING, n LONG")
+    assert dict(skew.HotKeys(counts, "k", "n", limit=1000).rows) == {"hot": 200, "warm": 2}
+    assert dict(skew.HotKeys(counts, "k", "n").rows) == {}  # four partitions, none above a quarter
+    assert dict(skew.HotKeys(counts.filter("k < 'k5'"), "k", "n").rows)["hot"] >= 1
+    large = spark.range(5000).select(F.when(F.col("id") % 5 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"), "id")
+    hot = skew.HotKeys(skew.count_keys(large, "k"), "k", "n", limit=100)
+    sizes = hot.scatter(large, "k", ["id"]).filter("k = 'hot'").groupBy(skew.SLICE).count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) < 150
+
+
+def test_rules_are_joined_with_one_run_of_the_links(spark):
+    """Nothing is counted at plan time: the rows are evaluated once, by the action."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(url):
+        seen.add(1)
+        return url
+
+    links = spark.range(200).select(noted(F.concat(F.lit("https://h.example.com/"), F.col("id").cast("string"))).alias("url"))
+    files = spark.createDataFrame([("h.example.com", "User-agent: *\nDisallow: /1", False)] * 2, "host STRING, content STRING, fetch_failed BOOLEAN")
+    allowed = robots_allow(links, files, "bot")
+    assert seen.value == 0
+    rows = allowed.collect()
+    assert seen.value == len(rows) == 200 and sum(not r["visit"] for r in rows) == 111
 
 
 def test_link_edges(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webloom.operators import index as ix
 from webloom.operators import pages as pg
 from webloom.operators import rank as rk
+from webloom.operators import search as se
 from webloom.streaming import jobs
 
 RAW = "page_id BIGINT, url STRING, html STRING, indexation BOOLEAN"
@@ -85,3 +86,33 @@ def test_stream_frontier_keeps_urls_once(spark, tmp_path):
         stream = jobs.read_stream(spark, source, "url STRING, domain STRING")
         jobs.stream_frontier(stream, out, checkpoint).awaitTermination()
     assert sorted(r["url"] for r in spark.read.parquet(out).collect()) == ["u", "v", "w"]
+
+
+def test_the_published_version_can_be_searched(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "pagerank", lambda pages, links, n_docs: rk.pagerank(pages, links, n_docs, iterations=5))
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    rows = [(i, url, title, title) for i, url, title in golden.PAGES]
+    links = lambda session: session.createDataFrame(golden.LINKS, "source_url STRING, target_url STRING")
+    assert jobs.current_index(spark, out).count() == 0
+    for part in (rows[:1], rows[1:2], rows[2:3], rows[3:]):
+        add_file(spark, source, part, PARSED)
+        jobs.stream_index(jobs.read_stream(spark, source, PARSED), out, checkpoint, refresh_every=1, links=links).awaitTermination()
+    kept = sorted(p.name for p in pathlib.Path(out, "scored").iterdir() if p.is_dir())
+    assert kept == ["batch_id=2", "batch_id=3"]
+    index = jobs.current_index(spark, out)
+    assert index.count() == len(golden.POSTINGS)
+    assert [r["page_id"] for r in se.search_pages(index, None, "chat").collect()]
+
+
+def test_a_batch_reads_only_its_buckets(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    for rows in ([(f"u{i}", "d") for i in range(300)], [("u7", "d"), ("new", "d")]):
+        add_file(spark, source, rows, "url STRING, domain STRING")
+        jobs.stream_frontier(jobs.read_stream(spark, source, "url STRING, domain STRING"), out, checkpoint).awaitTermination()
+    asked = spark.createDataFrame([("u7",), ("new",)], "url STRING")
+    buckets = [r[0] for r in asked.select(jobs._bucket()).collect()]
+    known = jobs.known_urls(spark, f"{out}_urls", 2, buckets)
+    folders = {pathlib.Path(f).parent.name for f in known.inputFiles()}
+    assert 0 < known.count() < 20 and len(set(buckets)) <= 2
+    assert all(r["bucket"] in buckets for r in jobs._read_known(spark, f"{out}_urls").filter(F.col("bucket").isin(buckets)).collect()) and folders
+    assert spark.read.parquet(out).count() == 301

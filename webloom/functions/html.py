@@ -7,7 +7,9 @@ batches in, a struct of the fields that later expressions need out. Everything a
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -34,12 +36,21 @@ _NOT_TEXT = frozenset(["script", "style", "template", "rt", "rp"])
 _VERBATIM = frozenset(["pre", "textarea"])
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
+# Names of marked sections with the end of each kind.
+_SECTION_NAME = re.compile(r"<!\[\s*([a-zA-Z]*)")
+_SECTION_END = dict.fromkeys(("temp", "cdata", "ignore", "include", "rcdata"), re.compile(r"]\s*]\s*>"))
+_SECTION_END |= dict.fromkeys(("if", "else", "endif"), re.compile(r"]\s*>"))
+_COMMENT_END = re.compile(r"--\s*>")
+
 
 class _Page(HTMLParser):
     """Collects the fields while tags open and close.
 
     An end tag closes the nearest open tag of its name with everything inside; one without an
     open tag is ignored. The first title, heading of each level and body collect their own text.
+
+    No markup can fail, and none is searched for twice: what follows the last ``>`` cannot be a tag,
+    and once an end mark is not found, no later construct of its kind looks for it.
     """
 
     def __init__(self, with_text: bool):
@@ -53,6 +64,41 @@ class _Page(HTMLParser):
         self._open: Counter[str] = Counter()
         self._collecting: dict[str, int] = {}
         self._node: list[str] = []
+        self._missing: set[re.Pattern] = set()
+
+    def read(self, html: str) -> None:
+        """Parse a whole page."""
+        end = html.rfind(">") + 1
+        self.feed(html[:end])
+        super().close()
+        if not self.cdata_elem:
+            for text in re.split("(?=<)", html[end:]):
+                self.handle_data(unescape(text))
+        self._end_text_node()
+
+    def _end_of(self, mark: re.Pattern, start: int) -> re.Match | None:
+        found = None if mark in self._missing else mark.search(self.rawdata, start)
+        if found is None:
+            self._missing.add(mark)
+        return found
+
+    def parse_comment(self, i, report=1):
+        end = self._end_of(_COMMENT_END, i + 4)
+        if end is None:
+            return -1
+        self.handle_comment(self.rawdata[i + 4 : end.start()])
+        return end.end()
+
+    def parse_marked_section(self, i, report=1):
+        """A section of an unknown name is a comment up to the next ``>``."""
+        name = _SECTION_NAME.match(self.rawdata, i)[1].lower()
+        if name not in _SECTION_END:
+            return self.parse_bogus_comment(i)
+        end = self._end_of(_SECTION_END[name], i + 3)
+        if end is None:
+            return -1
+        self.unknown_decl(self.rawdata[i + 3 : end.start()])
+        return end.end()
 
     def handle_starttag(self, tag, attrs):
         self._end_text_node()
@@ -93,10 +139,6 @@ class _Page(HTMLParser):
 
     handle_decl = handle_pi = unknown_decl = handle_comment
 
-    def close(self):
-        super().close()
-        self._end_text_node()
-
     def _end_text_node(self):
         if not self._node:
             return
@@ -136,8 +178,7 @@ class _Page(HTMLParser):
 
 def parse_page(html: str, with_text: bool = True) -> dict:
     page = _Page(with_text)
-    page.feed(html)
-    page.close()
+    page.read(html)
     return page.fields()
 
 

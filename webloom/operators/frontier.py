@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from webloom.functions import urls
 from webloom.operators.robots import DEFAULT_CRAWL_DELAY
 from webloom.plans.lineage import materialize
-from webloom.plans.skew import HotKeys, skew_join
+from webloom.plans.skew import skew_join
+
+# Tasks that the URLs of one domain are shared by, at least.
+_SLICES = 16
 
 
 def frontier_add(
@@ -42,7 +45,7 @@ def frontier_ready(
 ) -> DataFrame:
     """Queued URLs (id, url, domain) that may be visited now."""
     busy = busy_domains(domains, as_of, unit)
-    ready = skew_join(queue, busy, "domain", ["id"], HotKeys.of(queue, "domain"), "left_anti")
+    ready = skew_join(queue, busy, "domain", ["id"], how="left_anti", slices=_SLICES)
     return ready.select("id", "url", "domain")
 
 

@@ -34,10 +34,10 @@ def term_counts(pages: DataFrame, text: Column) -> DataFrame:
     return page_terms(pages, text, "page_id").select("page_id", "word", "cnt")
 
 
-def build_postings(pages: DataFrame, text: Column) -> DataFrame:
-    """One row per page and distinct term: (word, page_id, url, title, tf)."""
-    return page_terms(pages, text, "page_id", "url", "title").select(
-        "word", "page_id", "url", "title", (F.col("cnt") / F.col("n_terms")).alias("tf")
+def build_postings(pages: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """One row per page and distinct term: (word, page_id, url, title, tf) and columns to keep, as page_rank."""
+    return page_terms(pages, text, "page_id", "url", "title", *keep).select(
+        "word", "page_id", "url", "title", (F.col("cnt") / F.col("n_terms")).alias("tf"), *keep
     )
 
 
@@ -64,15 +64,13 @@ def idf(documents: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def score_postings(postings: DataFrame, corpus: DataFrame, documents: DataFrame | None = None) -> DataFrame:
-    """Postings with their tf_idf.
+    """Postings with their tf_idf, other columns are kept.
 
     The postings are read twice (to count and to score), so pass stored tables. A word that is in
     a large share of all pages is joined in slices; its document frequency already tells how many.
     """
     documents = term_documents(postings) if documents is None else documents
     weights = idf(documents, corpus).select("word", "idf")
-    hot = HotKeys.of(postings, "word", documents, "documents_number")
+    hot = HotKeys(documents, "word", "documents_number")
     scored = skew_join(postings, weights, "word", ["page_id"], hot)
-    return scored.select(
-        "word", "page_id", "url", "title", "tf", (F.col("tf") * F.col("idf")).alias("tf_idf")
-    )
+    return scored.select(*postings.columns, (F.col("tf") * F.col("idf")).alias("tf_idf"))

@@ -10,13 +10,12 @@ from webloom.functions import text as tx
 from webloom.functions import urls
 from webloom.functions.html import html_fields
 from webloom.functions.keys import page_key
-from webloom.plans.lineage import spread_small
 
 
 def with_fields(pages: DataFrame, *fields: str) -> DataFrame:
     """Pages with a struct column ``fields`` in place of their HTML."""
     others = [c for c in pages.columns if c != "html"]
-    return spread_small(pages).select(*others, html_fields(F.col("html"), *fields).alias("fields"))
+    return pages.select(*others, html_fields(F.col("html"), *fields).alias("fields"))
 
 
 def page_title(fields: Column, url: Column) -> Column:
@@ -68,12 +67,13 @@ def indexable(crawled: DataFrame) -> DataFrame:
 
 
 def first_per_url(pages: DataFrame) -> DataFrame:
-    """The row with the lowest page_id per URL. Copies are combined before the shuffle."""
-    others = [c for c in pages.columns if c not in ("url", "page_id")]
-    row = F.struct("page_id", *others)
-    return pages.groupBy("url").agg(F.min_by(row, "page_id").alias("row")).select(
-        "row.page_id", "url", *[f"row.{c}" for c in others]
-    )
+    """The row with the lowest page_id per URL.
+
+    Ids, which are unique, are combined per URL by hash aggregation, before the shuffle; the other
+    columns are joined back to the ids that remain. Rows without a URL are left out.
+    """
+    firsts = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return pages.join(firsts, ["url", "page_id"], "left_semi")
 
 
 def new_pages(pages: DataFrame, known: DataFrame) -> DataFrame:
@@ -84,8 +84,9 @@ def new_pages(pages: DataFrame, known: DataFrame) -> DataFrame:
 def parse_pages(crawled: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Crawl results (page_id, url, indexation, html) to new pages (page_id, url, title)."""
     allowed = indexable(crawled) if "indexation" in crawled.columns else crawled
-    titled = titled_pages(allowed)
-    return first_per_url(titled) if known is None else new_pages(titled, known)
+    # known and repeated URLs go before any HTML is parsed
+    fresh = first_per_url(allowed) if known is None else new_pages(allowed, known)
+    return titled_pages(fresh)
 
 
 def pending(pages: DataFrame, processed: DataFrame, flag: str) -> DataFrame:
@@ -103,10 +104,11 @@ def crawl_outcome(fetched: DataFrame, as_of: Column) -> DataFrame:
     """What a crawl leaves behind per URL: (url, indexation, follow, page_key).
 
     Takes (url, can_visit, content_type, headers, meta_robots, fetched). A page that was refused,
-    not fetched or not a page is not indexed and has no key; a noindex page may be followed.
+    not fetched or not a page is not indexed and has no key; a noindex page may be followed. NULL in
+    can_visit or fetched counts as false.
     """
     allowed = pm.page_permissions(F.col("headers"), F.col("meta_robots"), as_of)
-    stored = F.col("can_visit") & F.col("fetched") & pm.is_page_content(F.col("content_type"))
+    stored = F.coalesce(F.col("can_visit") & F.col("fetched") & pm.is_page_content(F.col("content_type")), F.lit(False))
     decided = fetched.select("url", stored.alias("stored"), allowed.alias("allowed"))
     return decided.select(
         "url",

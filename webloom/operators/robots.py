@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from webloom.functions import text as tx
 from webloom.functions import urls
-from webloom.plans.skew import HotKeys, skew_join
+from webloom.plans.skew import skew_join
 
 DEFAULT_CRAWL_DELAY = 1.0
 
+# Tasks that the URLs of one host are shared by, at least; its rules are repeated for each.
+_SLICES = 16
+
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 # The keys that matter and the part they play.
@@ -34,6 +37,13 @@ def unquote(text: Column) -> Column:
     return F.when(text.contains("%"), F.url_decode(safe)).otherwise(text)
 
 
+def one_file_per_host(robots: DataFrame) -> DataFrame:
+    """One row per host: the file that could be fetched, of several the first by content."""
+    failed = F.coalesce("fetch_failed", F.lit(False))
+    best = F.min(F.struct(failed.alias("fetch_failed"), F.col("content").isNull().alias("missing"), "content"))
+    return robots.groupBy("host").agg(best.alias("file")).select("host", "file.content", "file.fetch_failed")
+
+
 def robots_groups(robots: DataFrame) -> DataFrame:
     """Lines that belong to a group: (host, section, pos, kind, value, agents).
 
@@ -90,7 +100,7 @@ def robots_rules(robots: DataFrame) -> DataFrame:
     last_delay = Window.partitionBy("host", "section").orderBy("pos").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
-    lines = robots_groups(robots).withColumn(
+    lines = robots_groups(one_file_per_host(robots)).withColumn(
         "crawl_delay", F.last(_delay(), ignorenulls=True).over(last_delay)
     )
     return lines.filter(_is_rule()).select(
@@ -100,6 +110,7 @@ def robots_rules(robots: DataFrame) -> DataFrame:
 
 def robots_policy(robots: DataFrame, agent: str) -> DataFrame:
     """What one agent has to follow: (host, fetch_failed, rules, crawl_delay), one row per host."""
+    robots = one_file_per_host(robots)
     name = F.lit(agent.split("/")[0].lower())
     named = F.exists("agents", lambda a: name.contains(F.lower(a)))
     is_default = F.array_contains("agents", "*")
@@ -132,7 +143,7 @@ def robots_allow(links: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     allows everything with the default delay; after a failed fetch nothing is visited.
     """
     asked = links.withColumn("host", urls.netloc(F.col("url")))
-    joined = skew_join(asked, robots_policy(robots, agent), "host", ["url"], HotKeys.of(asked, "host"), "left")
+    joined = skew_join(asked, robots_policy(robots, agent), "host", ["url"], how="left", slices=_SLICES)
     parsed = joined.withColumn("parts", urls.url_parts(unquote(F.col("url"))))
     tested = parsed.withColumn("tested", _tested_path(F.col("parts")))
     matching = F.filter("rules", lambda rule: F.col("tested").startswith(rule["path"]))

@@ -1,7 +1,9 @@
 """Keyword search: every term must match, results ranked by TF-IDF and PageRank.
 
-The index is a frame of scored postings (word, page_id, url, title, tf_idf), the pages a frame
-(url, page_rank). An unscored posting or an unranked page has a NULL score and ranks first.
+The index is a frame of scored postings (word, page_id, url, title, tf_idf) that carry the page_rank of
+their page, so a search reads the postings of its words and nothing else. For an index without ranks
+pass the pages (url, page_rank); they are joined to the matches only. Unscored words add nothing to a
+sum; a page without any scored word, or without a rank, has a NULL score and ranks first.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from webloom.functions import scoring
 from webloom.functions import text as tx
 from webloom.plans.lineage import materialize
-from webloom.plans.skew import HotKeys, count_keys, skew_join
+from webloom.plans.skew import HotKeys, skew_join
 
 # Up to this many distinct query words, of this many bytes, are held in memory by every task;
 # more are shuffled.
@@ -76,17 +78,20 @@ def _limited(rows: DataFrame, order: list[Column], n_results: int) -> DataFrame:
     return ordered if n_results == -1 else ordered.limit(n_results)
 
 
+def _with_rank(matches: DataFrame, pages: DataFrame | None) -> DataFrame:
+    return matches if pages is None else matches.join(pages.select("url", "page_rank"), "url")
+
+
 def search_rows(
-    index: DataFrame, pages: DataFrame, query: str, n_results: int = 20, strip_punct: bool = False
+    index: DataFrame, pages: DataFrame | None, query: str, n_results: int = 20, strip_punct: bool = False
 ) -> DataFrame:
     """Result rows in rank order: (page_id, title, url, score, order_key, n_words).
 
     Rows are grouped by tf_idf as well, so a page shows once per distinct tf_idf of its matched
     words. Words with an equal tf_idf share a row: its score counts one of them, its order key
-    all of them.
+    all of them. The groups use the shuffle by page that found the matches.
     """
-    terms = parse_query(index, query, strip_punct)
-    hits = matching_postings(index, terms).join(pages.select("url", "page_rank"), "url")
+    hits = _with_rank(matching_postings(index, parse_query(index, query, strip_punct)), pages)
     rows = hits.groupBy("page_id", "title", "url", "tf_idf", "page_rank").agg(
         (F.sum(scoring.text_score(F.col("tf_idf"))) + scoring.rank_score(F.max("page_rank"))).alias("order_key"),
         F.count("*").alias("n_words"),
@@ -104,22 +109,21 @@ def search_rows(
 
 
 def search_pages(
-    index: DataFrame, pages: DataFrame, query: str, n_results: int = 20, strip_punct: bool = False
+    index: DataFrame, pages: DataFrame | None, query: str, n_results: int = 20, strip_punct: bool = False
 ) -> DataFrame:
     """One row per page in rank order: (page_id, title, url, score).
 
-    The score is the sum of the text scores of all matched words plus one PageRank score.
+    The score is the sum of the text scores of all matched words plus one PageRank score. One
+    aggregation by page, combined before its shuffle, finds the matches and scores them.
     """
     terms = parse_query(index, query, strip_punct)
-    hits = matching_postings(index, terms).join(pages.select("url", "page_rank"), "url")
-    scored = hits.groupBy("page_id", "title", "url").agg(_page_score().alias("score"))
-    return _limited(scored, _best_first("score"), n_results)
-
-
-def _page_score() -> Column:
-    text = F.sum(scoring.text_score(F.col("tf_idf")))
-    unscored = F.count_if(F.col("tf_idf").isNull()) > 0
-    return F.when(unscored, F.lit(None)).otherwise(text) + scoring.rank_score(F.max("page_rank"))
+    found = [F.max(F.col("word") == term).alias(f"has_{i}") for i, term in enumerate(terms)]
+    rank = [F.max("page_rank").alias("page_rank")] if pages is None else []
+    by_page = index.filter(F.col("word").isin(terms)).groupBy("page_id", "title", "url")
+    matches = by_page.agg(F.sum(scoring.text_score(F.col("tf_idf"))).alias("text"), *rank, *found)
+    matches = _with_rank(matches.filter(_all_true(len(terms))), pages)
+    score = F.col("text") + scoring.rank_score(F.col("page_rank"))
+    return _limited(matches.select("page_id", "title", "url", score.alias("score")), _best_first("score"), n_results)
 
 
 def search_count(rows: DataFrame) -> DataFrame:
@@ -135,63 +139,69 @@ def search_count(rows: DataFrame) -> DataFrame:
 
 def search_batch(
     index: DataFrame,
-    pages: DataFrame,
+    pages: DataFrame | None,
     queries: DataFrame,
     k: int = 20,
     strip_punct: bool = False,
     words_in_memory: int = WORDS_IN_MEMORY,
+    documents: DataFrame | None = None,
 ) -> DataFrame:
     """Answer a table of queries (query_id, query): (query_id, rank, page_id, title, url, score).
 
-    Equal queries are answered once. The candidates of a query are the pages of its rarest word,
-    so a word that is on a third of all pages brings its pages in only where every other word is
-    as common. Each candidate is then checked against the other words by (word, page), a key that
-    no word can make hot. Only the best k of each task reach the ranking of a query. The queries
-    and the postings of their words are stored first, as several steps read them.
+    Equal queries are answered once. The candidates of a query are the pages of its rarest word, by
+    the stored counters (word, documents_number) if they are passed. So a word that is on a third of
+    all pages brings its pages in only where every other word is as common. Each candidate is then
+    checked against the other words by (word, page), a key that no word can make hot. Titles, URLs and
+    ranks come with those postings. Only the best k of each task reach the ranking of a query.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
     as_terms = F.sort_array(F.array_distinct(tx.query_terms(F.col("query"), strip_punct)))
-    asked = queries.select("query_id", F.array_join(as_terms, "\n").alias("asked")).filter("asked <> ''")
-    asked = materialize(asked, "queries")
-    distinct = asked.select("asked").distinct().withColumn("terms", F.split("asked", "\n"))
-    terms = distinct.select("asked", F.explode("terms").alias("word"), F.size("terms").alias("n_terms"))
-
-    used = _postings_of(index, terms.select("word").distinct(), words_in_memory)
-    used = materialize(used.join(pages.select("url", "page_rank"), "url"), "matches")
-    frequency = used.groupBy("word").agg(F.count("*").alias("n"))
-
-    hot_terms = HotKeys.of(asked, "word", count_keys(terms, "word"))
+    named = queries.select("query_id", F.array_join(as_terms, "\n").alias("terms")).filter("terms <> ''")
+    named = materialize(named, "queries")
+    numbered = named.select("terms").distinct().withColumn("asked", F.monotonically_increasing_id())
+    numbered = materialize(numbered, "asked")
+    terms = numbered.select("asked", F.explode(F.split("terms", "\n")).alias("word"))
+    terms = materialize(terms, "asked_terms")
+
+    words = terms.select("word").distinct()
+    used = _postings_of(index, words, words_in_memory, documents)
+    frequency = used.groupBy("word").agg(F.count("*").alias("n")) if documents is None else (
+        documents.join(words, "word", "left_semi").select("word", F.col("documents_number").alias("n"))
+    )
+    frequency = materialize(frequency, "asked_words")
+    asking = HotKeys(terms.groupBy("word").agg(F.count("*").alias("n")), "word", "n")
     rarest = (
-        skew_join(terms, frequency, "word", ["asked"], hot_terms)
+        skew_join(terms, frequency, "word", ["asked"], asking, "left")
         .groupBy("asked")
-        .agg(F.min(F.struct("n", "word")).alias("rarest"), F.count("*").alias("found"), F.max("n_terms").alias("n_terms"))
+        .agg(F.min(F.struct("n", "word")).alias("rarest"), F.count("n").alias("found"), F.count("*").alias("n_terms"))
         .filter(F.col("found") == F.col("n_terms"))
         .select("asked", F.col("rarest.word").alias("word"), "n_terms")
     )
-    hot_words = HotKeys.of(used, "word", frequency)
-    candidates = skew_join(used.select("word", "page_id"), rarest, "word", ["page_id"], hot_words)
-    wanted = candidates.select(
-        "asked", "page_id", "n_terms", F.explode(F.split("asked", "\n")).alias("word")
-    )
+    candidates = skew_join(used.select("word", "page_id"), rarest, "word", ["page_id"], HotKeys(frequency, "word", "n"))
+    asked_words = terms.groupBy("asked").agg(F.collect_list("word").alias("words"))  # the words of one query
+    candidates = candidates.select("asked", "page_id", "n_terms").distinct()
+    wanted = candidates.join(asked_words, "asked").select("asked", "page_id", "n_terms", F.explode("words").alias("word"))
+    rank = [F.max("page_rank").alias("page_rank")] if pages is None else []
     matched = (
         wanted.join(used, ["word", "page_id"])
-        .groupBy("asked", "page_id", "title", "url")
-        .agg(_page_score().alias("score"), F.count("*").alias("matched"), F.max("n_terms").alias("n_terms"))
+        .groupBy("asked", "page_id", "title", "url", "n_terms")
+        .agg(F.sum(scoring.text_score(F.col("tf_idf"))).alias("text"), F.size(F.collect_set("word")).alias("matched"), *rank)
         .filter(F.col("matched") == F.col("n_terms"))
     )
-    best = top_k(matched.select("asked", "page_id", "title", "url", "score"), "asked", k)
-    hot_queries = HotKeys.of(asked, "asked")
-    return skew_join(asked.select("query_id", "asked"), best, "asked", ["query_id"], hot_queries).drop("asked")
+    scored = _with_rank(matched, pages).withColumn("score", F.col("text") + scoring.rank_score(F.col("page_rank")))
+    best = top_k(scored.select("asked", "page_id", "title", "url", "score"), "asked", k)
+    wanting = named.join(numbered, "terms").select("query_id", "asked")
+    return wanting.join(best, "asked").drop("asked")
 
 
-def _postings_of(index: DataFrame, words: DataFrame, words_in_memory: int) -> DataFrame:
+def _postings_of(index: DataFrame, words: DataFrame, words_in_memory: int, documents: DataFrame | None) -> DataFrame:
     """Postings of the words in use. The words are broadcast only when measured to be few."""
-    postings = index.select("word", "page_id", "url", "title", "tf_idf")
     n, n_bytes = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
     if n <= words_in_memory and n_bytes <= _WORD_BYTES_IN_MEMORY:
-        return postings.join(F.broadcast(words), "word", "left_semi")
-    return skew_join(postings, words, "word", ["page_id"], HotKeys.of(index, "word"), "left_semi")
+        return index.join(F.broadcast(words), "word", "left_semi")
+    hot = None if documents is None else HotKeys(documents, "word", "documents_number")
+    return skew_join(index, words, "word", ["page_id"], hot, "left_semi")
 
 
 def top_k(results: DataFrame, by: str, k: int) -> DataFrame:
@@ -210,6 +220,6 @@ def top_k(results: DataFrame, by: str, k: int) -> DataFrame:
 
 def answer_json(results: DataFrame) -> DataFrame:
     """One JSON answer per query, in rank order: (query_id, answer). Takes ranked top-k rows."""
-    item = F.struct("rank", F.struct("title", "url").alias("result"))
+    item = F.struct("rank", F.struct("title", "url").alias("result"))  # as many per query as its k
     in_order = F.transform(F.array_sort(F.collect_list(item)), lambda r: r["result"])
     return results.groupBy("query_id").agg(F.to_json(F.struct(in_order.alias("results"))).alias("answer"))

@@ -51,26 +51,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; exact file sizes for a plain table scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Share a small table out over all cores before heavy work per row.
-
-    A Parquet row group is read by one task, so a file with a single group leaves all other cores
-    idle. Inputs that fill the cores by themselves, and streams, are returned as they are, without a
-    shuffle.
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of checkpoints and stored tables that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        plan = df._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() == "LogicalRDD":
+            paths = [plan.rdd().getCheckpointFile().get()]
+        else:
+            paths = [root.toString() for root in _roots(plan)]
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _roots(plan) -> list:
+    """Folders that a plain table scan reads."""
+    paths = plan.relation().location().rootPaths()
+    return [paths.apply(i) for i in range(paths.size())]
+
+
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Share rows out over tasks before heavy work per row, at the price of a shuffle.
+
+    For tables of fewer files and row groups than cores, which only the caller can know: a Parquet row
+    group is read by one task. ``tasks`` is the default parallelism unless it is given.
     """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")
-    split_bytes = int("".join(c for c in split if c.isdigit()) or 0)
-    unit = split.strip().lower().lstrip("0123456789").rstrip("b")
-    split_bytes *= {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(unit, 1)
-    if estimated_bytes(df) >= cores * split_bytes:
-        return df
-    return df.repartition(cores)
+    return df.repartition(tasks or df.sparkSession.sparkContext.defaultParallelism)

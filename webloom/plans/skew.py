@@ -40,11 +40,6 @@ class HotKeys:
         self.key = key
         self._type = counts.schema[key].dataType
 
-    @classmethod
-    def of(cls, large: DataFrame, key: str, counts: DataFrame | None = None, n: str = "n") -> HotKeys | None:
-        """Hot keys of a table from its key counts; without those the join is left to AQE."""
-        return None if counts is None else cls(counts, key, n)
-
     def __bool__(self) -> bool:
         return bool(self.rows)
 
@@ -75,14 +70,22 @@ def skew_join(
     spread_by: list[str],
     hot: HotKeys | None = None,
     how: str = "inner",
+    slices: int | None = None,
 ) -> DataFrame:
     """Join ``large`` to ``small`` on ``key``, whatever share of ``large`` one key holds.
 
     ``spread_by`` names columns of ``large`` that differ between the rows of a key. ``how`` is
-    inner, left, left_semi or left_anti. Pass ``hot`` from ``HotKeys.of``, without it there is
-    nothing to slice.
+    inner, left, left_semi or left_anti. With ``hot`` the hot keys are sliced by their counts. Where
+    no counts are stored, ``slices`` cuts every key in that many, for a ``small`` that is small enough
+    to be repeated; both sides then come from a plain shuffle, so AQE may split them further. Neither
+    runs the input at plan time.
     """
-    if not hot:
+    if slices is not None:
+        at = F.pmod(F.xxhash64(*spread_by), F.lit(slices)).cast("int")
+        left = large.withColumn(SLICE, at)
+        right = small.withColumn(SLICE, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    elif hot:
+        left, right = hot.scatter(large, key, spread_by), hot.repeat(small, key)
+    else:
         return large.join(small, key, how)
-    left, right = hot.scatter(large, key, spread_by), hot.repeat(small, key)
     return left.join(right, [key, SLICE], how).drop(SLICE)

@@ -10,6 +10,7 @@ VISITED_DOMAINS = "domain STRING, crawl_delay DOUBLE, last_visit TIMESTAMP"
 PAGE_LINKS = "source_url STRING, target_url STRING"
 PAGE_INFORMATIONS = "page_id BIGINT, url STRING, title STRING, page_rank DOUBLE"
 INVERTED_INDEX = "word STRING, page_id BIGINT, url STRING, title STRING, tf DOUBLE, tf_idf DOUBLE"
+RANKED_INDEX = INVERTED_INDEX + ", page_rank DOUBLE"
 TERM_DOCUMENTS = "word STRING, documents_number BIGINT"
 FETCH_LOG = "url STRING, content_type STRING, headers MAP<STRING,STRING>, html STRING"
 ROBOTS = "host STRING, content STRING, fetch_failed BOOLEAN"
