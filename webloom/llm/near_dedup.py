@@ -4,13 +4,14 @@
    signature, and an empty bin borrows from bins that a fixed sequence of probes names (optimal
    densification).
 2. Documents with equal shingle sets are one class from then on, named by its smallest id.
-3. Runs of signature bins are bucket keys. In every bucket the smallest class of each salt is a hub,
-   and edges go from hubs to members only. A first round has one hub in each bucket.
+3. Runs of signature bins are bucket keys. In every bucket the smallest class is the hub, and edges go
+   from hubs to members only.
 4. Edges whose signatures are far apart go, the others are confirmed on full sets. Confirmed ones are
    merged to components.
-5. Hubs have then been compared with all of their bucket and leave it, and so do buckets whose members
-   are all of one component. Rounds with more hubs follow until no bucket is left, so no two members
-   of a bucket stay uncompared unless they are linked already.
+5. A hub has been compared with all of its bucket and leaves it. Where the others are not all of one
+   component, a star may have missed a link between two members that are far from the hub. These members
+   meet in blocks of bounded size, which compare them with each other and report the links that connect
+   components. So no two members of a bucket stay uncompared unless they are linked already.
 """
 
 from __future__ import annotations
@@ -26,14 +27,16 @@ from pyspark.sql import types as T
 
 from webloom.llm.common import column, free_name, packed, picked, stored
 from webloom.llm.shingles import mixed, runs, word_hashes
-from webloom.plans.skew import HotKeys, skew_join
 
 SHINGLE, PERCENT = 5, 80
 #: Bands and bins of a band. A pair at 0.8 misses all bands with a probability of 1.5e-5, one at 0.85 of 1e-7.
 BANDS, ROWS = 28, 5
 BINS = BANDS * ROWS
-#: A true pair at 0.8 has fewer equal bins than this (six standard deviations) with a probability of 1e-9.
-LEAST_EQUAL = int(0.8 * BINS - 6 * (0.16 * BINS) ** 0.5)
+#: A true pair at 0.8 has fewer equal bins than this (five standard deviations) with a probability of 3e-7.
+LEAST_EQUAL = int(0.8 * BINS - 5 * (0.16 * BINS) ** 0.5)
+
+#: Shingles of a block of members that stars have left open.
+BLOCK = 1 << 16
 
 _PROBES = (mixed(np.arange(BINS * 256, dtype=np.uint64).reshape(256, BINS) + np.uint64(1)) % np.uint64(BINS)).astype(np.int64)
 
@@ -120,103 +123,151 @@ def _equal_bins(left: pa.Array, right: pa.Array) -> pa.Array:
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of (a, b): label is the smallest node that can be reached.
 
-    Large-star and small-star steps in turn, each stored, until nothing changes. A node with many
-    neighbours is cut in slices for the joins.
+    Large-star and small-star steps in turn, each stored, until all that is left are stars.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "cc_edges")
-    seen = None
-    while True:
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    edges = stored(edges, "cc_edges")
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _star(stored(both, "cc_both"), larger_only=True)
-        edges = stored(_star(stored(large, "cc_large"), larger_only=False), "cc_edges")
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38, 0)"))).first())
-        if state == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        seen = state
+        large = stored(_star(both, larger_only=True), "cc_large")
+        edges = stored(_star(large, larger_only=False), "cc_edges")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Every node has one edge to a smaller node, or edges to larger ones only."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down + up > 1").isEmpty()
 
 
 def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
-    """Connect the neighbours of every node to the smallest of them (or to the node itself if that is smaller)."""
-    smallest = stored(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "cc_min")
-    joined = skew_join(edges, smallest, "a", ["b"], HotKeys(smallest, "a", "n"))
-    hub = F.least("a", "m")
+    """Connect the neighbours of every node to the smallest of them (or to the node itself if that is smaller).
+
+    The smallest neighbours are stored, so that plain shuffles feed the join and AQE can split the node
+    that a third of all edges have.
+    """
+    smallest = stored(edges.groupBy("a").agg(F.min("b").alias("m")), "cc_min")
+    joined = edges.join(smallest, "a")
     moved = joined.filter("b > a") if larger_only else joined
-    out = moved.select(F.col("b").alias("a"), hub.alias("b"))
+    out = moved.select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
     if not larger_only:
         out = out.unionByName(smallest.select("a", F.col("m").alias("b")))
     return out.filter("a > b").distinct()
 
 
-def _star_edges(members: DataFrame, salts: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Hubs (bucket, hub) and edges (hub, rep) between classes of different labels."""
-    salt = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(salts))
-    hubs = members.groupBy("bucket", salt.alias("salt")).agg(F.min_by("label", "rep").alias("hub_label"), F.min("rep").alias("hub"), F.count("*").alias("n"))
-    hubs = stored(hubs.drop("salt"), "near_hubs")
-    sums = stored(members.groupBy("bucket").agg(F.count("*").alias("n")), "near_buckets") if salts > 1 else hubs.select("bucket", "n")
-    joined = skew_join(members, hubs.drop("n"), "bucket", ["rep"], HotKeys(sums, "bucket", "n"))
-    edges = joined.filter("hub <> rep AND hub_label <> label")
-    return hubs, edges.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-
-
 def _attached(edges: DataFrame, table: DataFrame, value: str) -> DataFrame:
-    """Edges with a value of both ends, as ``value_a`` and ``value_b``; ends with many edges are cut in slices."""
-    out = edges
-    for key, other in (("b", "a"), ("a", "b")):
-        counts = stored(edges.groupBy(key).agg(F.count("*").alias("n")), "near_counts")
-        of_end = table.select(F.col("rep").alias(key), F.col(value).alias(f"{value}_{key}"))
-        out = skew_join(out, of_end, key, [other], HotKeys(counts, key, "n"))
-    return out
+    """Edges with a value of both ends, as ``value_a`` and ``value_b``."""
+    for key in ("b", "a"):
+        edges = edges.join(table.select(F.col("rep").alias(key), F.col(value).alias(f"{value}_{key}")), key)
+    return edges
 
 
 def _confirmed(edges: DataFrame, bits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges whose full sets have the similarity."""
-    near = _attached(stored(edges, "near_edges"), bits, "bits")
-    near = stored(near.filter(_equal_bins("bits_a", "bits_b") >= LEAST_EQUAL).select("a", "b"), "near_likely")
-    whole = _attached(near, sets, "shingles")
+    """The edges whose full sets have the similarity; stored."""
+    likely = _attached(edges, bits, "bits").filter(_equal_bins("bits_a", "bits_b") >= LEAST_EQUAL).select("a", "b")
+    whole = _attached(likely, sets, "shingles")
     common = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
     union = F.size("shingles_a") + F.size("shingles_b") - common
     return stored(whole.filter(100 * common >= percent * union).select("a", "b"), "near_links")
 
 
 def _linked(sketch: DataFrame, texts: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Classes (set_id, rep, n) and (node, label) of those that are linked to others."""
+    """Classes (set_id, rep) and (node, label) of those that are linked to others.
+
+    All joins read stored tables through plain shuffles, so AQE can split a class or a bucket of many rows.
+    """
     named = sketch.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    classes = stored(named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "near_classes")
+    classes = stored(named.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "near_classes")
     firsts = named.join(classes.select(F.col("rep").alias("doc_id"), "set_id"), ["doc_id", "set_id"], "left_semi")
     firsts = stored(firsts.select(F.col("doc_id").alias("rep"), "bands", "bits"), "near_reps")
     banded = firsts.select(F.explode("bands").alias("bucket"), "rep")
-    buckets = stored(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "near_buckets")
-    members = skew_join(banded, buckets, "bucket", ["rep"], HotKeys(buckets, "bucket", "n")).select("bucket", "rep", F.col("rep").alias("label"))
-    members = stored(members.distinct(), "near_members")
+    shared = stored(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "near_buckets")
+    members = stored(banded.join(shared, "bucket"), "near_members")
     busy = stored(members.select("rep").distinct(), "near_busy")
     bits = stored(firsts.join(busy, "rep", "left_semi").select("rep", "bits"), "near_bits")
     shipped = texts.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), packed("text").alias("packed"))
     sets = stored(shipped.join(busy, "rep", "left_semi").select("rep", _full_sets("packed", F.lit(n)).alias("shingles")), "near_sets")
-    labels = None
-    salts, turn = 1, 0
-    while not members.isEmpty():
-        hubs, edges = _star_edges(members, salts, turn)
-        links = _confirmed(edges, bits, sets, percent)
-        if not links.isEmpty():
-            known = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-            labels = components(known)
-        members = _still_open(members, hubs, labels)
-        salts, turn = 8 * salts, turn + 1
-    empty = firsts.select(F.col("rep").alias("node"), F.col("rep").alias("label")).limit(0)
-    return classes, empty if labels is None else labels
-
-
-def _still_open(members: DataFrame, hubs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members without hubs, with new labels, of the buckets that have several labels left."""
-    rest = members.join(hubs.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")
-    if labels is None:
-        rest = rest.withColumn("label", F.col("rep"))
-    else:
-        rest = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    rest = stored(rest, "near_rest")
-    spread = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
-    mixed_buckets = stored(spread.filter("low < high").select("bucket", "n"), "near_open")
-    return stored(skew_join(rest, mixed_buckets, "bucket", ["rep"], HotKeys(mixed_buckets, "bucket", "n"), "left_semi"), "near_members")
+    hubs = stored(members.groupBy("bucket").agg(F.min("rep").alias("hub")), "near_hubs")
+    links = _confirmed(_star_edges(members, hubs), bits, sets, percent)
+    labels = components(links)
+    rest = _still_open(members, hubs, labels)
+    if not rest.isEmpty():
+        more = stored(_block_links(rest, bits, sets, percent), "near_block_links")
+        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = components(known.unionByName(more))
+    return classes, labels
+
+
+def _star_edges(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Edges (a, b) from the hub of every bucket to its members."""
+    edges = members.join(hubs, "bucket").filter("hub <> rep")
+    return edges.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+
+
+def _still_open(members: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members that are no hubs, with their labels, of the buckets that have several labels left; stored."""
+    rest = members.join(hubs.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti")
+    rest = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    rest = stored(rest.select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "near_rest")
+    spread = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    several = stored(spread.filter("low < high").select("bucket"), "near_open")
+    return stored(rest.join(several, "bucket", "left_semi"), "near_open_members")
+
+
+def _block_links(rest: DataFrame, bits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of open buckets that are not linked yet; enough of them to connect all.
+
+    Members that buckets connect are a neighbourhood. It is dealt out in blocks of a bounded number of
+    shingles, and every two of its blocks meet in one task, so no task grows with a neighbourhood and no
+    pair leaves its task unless it is a link that connects two labels.
+    """
+    centre = stored(rest.groupBy("bucket").agg(F.min("rep").alias("b")), "near_centres")
+    around = components(rest.join(centre, "bucket").select(F.col("rep").alias("a"), "b"))
+    own = stored(rest.select("rep", "label").distinct(), "near_rest_reps")
+    placed = own.join(around.select(F.col("node").alias("rep"), F.col("label").alias("place")), "rep", "left")
+    placed = placed.withColumn("place", F.coalesce("place", "rep")).join(sets, "rep").join(bits, "rep")
+    placed = stored(placed.withColumn("size", F.size("shingles")), "near_placed")
+    blocks = placed.groupBy("place").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    dealt = placed.join(stored(blocks, "near_blocks"), "place")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    met = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+    def links(block_pair: pa.Table) -> pa.Table:
+        return pa.table(list(map(list, zip(*_connecting(block_pair, percent)))) or [[], []], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return met.select("place", "low", "high", "block", "rep", "label", "bits", "shingles").groupBy("place", "low", "high").applyInArrow(links, "a LONG, b LONG")
+
+
+def _connecting(pair: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links between the members of two blocks, or in one, leaving out those between labels that are connected."""
+    low, high = pair["low"][0].as_py(), pair["high"][0].as_py()
+    rep, label, block = (pair[name].to_pylist() for name in ("rep", "label", "block"))
+    bits = np.frombuffer(b"".join(pair["bits"].to_pylist()), np.uint8).reshape(len(rep), BINS)
+    sets = [frozenset(s.values.to_numpy().tolist()) for s in pair["shingles"]]
+    sizes = np.array(list(map(len, sets)))
+    parent = {x: x for x in label}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    found, second = [], np.array(block) == high
+    for i in range(len(rep)):
+        if low != high and block[i] != low:
+            continue
+        near = ((bits == bits[i]).sum(1) >= LEAST_EQUAL) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & second
+        if low == high:
+            near[: i + 1] = False
+        for j in np.flatnonzero(near).tolist():
+            if root(label[i]) != root(label[j]):
+                common = len(sets[i] & sets[j])
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                    found.append((rep[i], rep[j]))
+                    parent[root(label[i])] = root(label[j])
+    return found
 
 
 def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -232,9 +283,8 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketch = stored(texts.select("doc_id", _sketched(F.col("text"), n).alias("s")).select("doc_id", "s.*"), "near_sketch")
     classes, labels = _linked(sketch, texts, n, percent)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    named = stored(named.select("set_id", "n", F.coalesce("label", "rep").alias("component_id")), "near_named")
-    rows = sketch.select("doc_id", "n_shingles", "set_id")
-    joined = skew_join(rows, named, "set_id", ["doc_id"], HotKeys(named, "set_id", "n"), "left")
+    named = stored(named.select("set_id", F.coalesce("label", "rep").alias("component_id")), "near_named")
+    joined = sketch.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
