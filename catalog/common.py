@@ -11,6 +11,10 @@ from webloom.sources.layout import write_index
 from webloom.sources.tables import RANKED_INDEX, read_table
 
 
+# Suffixes of the hosts in the test tables and in derived ones; a real job passes the complete list.
+SUFFIXES = ["com", "net", "org", "uk", "co.uk", "*.ck", "!www.ck"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -151,7 +151,7 @@ def _frontier_add(spark, sf_dir):
     links = materialize(links.select("url", "target_url"), "links")
     visited = links.filter(F.col("url").contains("/fr/")).select(F.col("target_url").alias("url"))
     queued = links.filter(F.col("url").contains("/de/")).select(F.col("target_url").alias("url"))
-    return fr.frontier_add(links.select(F.col("target_url").alias("url")), visited, queued)
+    return fr.frontier_add(links.select(F.col("target_url").alias("url")), visited, queued, c.SUFFIXES)
 
 
 def _domain_state_upsert(spark, sf_dir):

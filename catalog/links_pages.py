@@ -42,7 +42,18 @@ def _canonical_url(spark, sf_dir):
 
 
 def _registered_domain(spark, sf_dir):
-    return c.pages(spark, sf_dir).select("page_id", urls.registered_domain(F.col("url")).alias("domain"))
+    return c.pages(spark, sf_dir).select("page_id", urls.registered_domain(F.col("url"), c.SUFFIXES).alias("domain"))
+
+
+# Hosts by page number, with a plain, a two-label, a wildcard and an exception suffix, and their domains.
+_HOSTS = ["a.shop.com", "a.shop.co.uk", "a.shop.any.ck", "a.www.ck"]
+_DOMAINS = ["shop.com", "shop.co.uk", "shop.any.ck", "www.ck"]
+
+
+def _registered_domain_suffixes(spark, sf_dir):
+    host = F.get(F.array(*[F.lit(h) for h in _HOSTS]), F.pmod("page_id", F.lit(4)).cast("int"))
+    url = F.concat(F.lit("https://user@"), host, F.lit(":8080/x?"), F.col("url"))
+    return c.pages(spark, sf_dir).select("page_id", urls.registered_domain(url, c.SUFFIXES).alias("domain"))
 
 
 def _url_title(spark, sf_dir):
@@ -53,6 +64,46 @@ def _page_title(spark, sf_dir):
     return pg.titled_pages(spread(c.pages(spark, sf_dir))).select("page_id", "title")
 
 
+def _retitled(spark, sf_dir):
+    """Pages whose titles are elsewhere, by number: og tag, twitter tag, heading, empty tag, title element."""
+    pages = c.pages(spark, sf_dir)
+    kind, number = F.pmod("page_id", F.lit(5)), F.col("page_id").cast("string")
+    bare = F.regexp_replace("html", "(?s)<title>.*?</title>", "")
+
+    def with_meta(attribute, name, content):
+        tag = F.concat(F.lit(f'<head><meta {attribute}="{name}" content="'), content, F.lit('">'))
+        return F.replace(bare, F.lit("<head>"), tag)
+
+    html = (
+        F.when(kind == 0, with_meta("property", "og:title", F.concat(F.lit("Og "), number)))
+        .when(kind == 1, with_meta("name", "twitter:title", F.concat(F.lit("Twitter "), number)))
+        .when(kind == 2, F.replace(bare, F.lit("<body>"), F.concat(F.lit("<body><h1>Heading <b>"), number, F.lit("</b></h1>"))))
+        .when(kind == 3, with_meta("property", "og:title", F.lit("")))
+        .otherwise(F.col("html"))
+    )
+    return pages.select("page_id", "url", html.alias("html"))
+
+
+def _page_title_fallbacks(spark, sf_dir):
+    return pg.titled_pages(spread(_retitled(spark, sf_dir))).select("page_id", "title")
+
+
+def _page_text_untitled(spark, sf_dir):
+    """The literal scope takes the body of a page without a title."""
+    bare = c.pages(spark, sf_dir).withColumn("html", F.regexp_replace("html", "(?s)<title>.*?</title>", ""))
+    texts = pg.page_texts(spread(bare), "title_else_body")
+    return texts.select("page_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+
+
+def _append_links(spark, sf_dir):
+    """The stored link graph after two batches of pages."""
+    path = scratch_path(spark, "links")
+    edges = ln.link_edges(c.pages(spark, sf_dir), c.SUFFIXES)
+    for batch in (edges.filter(F.col("source_url").contains("/de/")), edges.filter(~F.col("source_url").contains("/de/"))):
+        tables.append_links(batch, path)
+    return tables.read_table(spark, path, tables.PAGE_LINKS)
+
+
 def _page_text(scope):
     def query(spark, sf_dir):
         texts = pg.page_texts(spread(c.pages(spark, sf_dir)), scope)
@@ -90,15 +141,15 @@ def _link_ext_filter(spark, sf_dir):
 
 def link_edges(spark, sf_dir):
     pages = c.pages(spark, sf_dir).withColumn("follow", ~F.col("url").contains("/de/"))
-    return ln.link_edges(pages)
+    return ln.link_edges(pages, c.SUFFIXES)
 
 
 def _out_degree(spark, sf_dir):
-    return ln.out_degree(ln.link_edges(c.pages(spark, sf_dir)))
+    return ln.out_degree(ln.link_edges(c.pages(spark, sf_dir), c.SUFFIXES))
 
 
 def _in_links(spark, sf_dir):
-    return ln.in_links(ln.link_edges(c.pages(spark, sf_dir)))
+    return ln.in_links(ln.link_edges(c.pages(spark, sf_dir), c.SUFFIXES))
 
 
 _PARTS = """
@@ -161,6 +212,18 @@ QUERIES = {
         _registered_domain,
         f"WITH {_PARTS} SELECT page_id, regexp_extract(netloc, '[^.]+\\.[^.]+$', 0) AS domain FROM parts",
     ),
+    "registered_domain_suffixes": (
+        _registered_domain_suffixes,
+        f"SELECT page_id, {_DOMAINS}[page_id % 4 + 1] AS domain FROM pages",
+    ),
+    "page_title_fallbacks": (
+        _page_title_fallbacks,
+        f"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Og ' || page_id WHEN 1 THEN 'Twitter ' || page_id
+        WHEN 2 THEN 'Heading ' || page_id WHEN 3 THEN regexp_replace(split_part(url, '/', -1), '\\.[^.]*$', '')
+        ELSE {_TITLE} END AS title FROM pages""",
+    ),
+    "page_text_untitled": (_page_text_untitled, _text_sql(_TEXT)),
+    "append_links": (_append_links, f"{_EDGES} SELECT source_url, target_url FROM edges"),
     "url_title": (
         _url_title,
         "SELECT page_id, regexp_replace(split_part(url, '/', -1), '\\.[^.]*$', '') AS title FROM pages",

@@ -66,6 +66,28 @@ def _search_json(spark, sf_dir):
     return se.answer_json(se.search_batch(*_parts(spark, sf_dir), _sentences(spark, sf_dir), k=5, strip_punct=True, documents=_documents(spark, sf_dir)))
 
 
+def _with_gaps(spark, sf_dir):
+    """The index with unscored postings, unranked pages and pages whose words have equal scores."""
+    index, page = c.Index.of(spark, sf_dir).scored, F.col("page_id")
+    unscored = (page % 7 == 0) | ((page % 3 == 0) & (F.col("word") == "the"))
+    tf_idf = F.when(unscored, F.lit(None)).when(page % 5 == 0, 0.25).otherwise(F.col("tf_idf"))
+    return index.withColumns({"tf_idf": tf_idf, "page_rank": F.when(page % 11 != 0, F.col("page_rank"))})
+
+
+def _search_pages_gaps(spark, sf_dir):
+    return _rounded(se.search_pages(_with_gaps(spark, sf_dir), None, QUERY, n_results=-1), "score")
+
+
+def _search_rows_gaps(spark, sf_dir):
+    return _rounded(se.search_rows(_with_gaps(spark, sf_dir), None, QUERY, n_results=-1), "score", "order_key")
+
+
+def _search_batch_gaps(spark, sf_dir):
+    queries = _sentences(spark, sf_dir)
+    found = se.search_batch(_with_gaps(spark, sf_dir), None, queries, 20, True, documents=_documents(spark, sf_dir))
+    return _rounded(found, "score")
+
+
 def _rounded(df, *columns):
     for column in columns:
         df = df.withColumn(column, F.round(column, 6))
@@ -84,19 +106,27 @@ page_scores AS (SELECT page_id, title, url,
 """
 
 
-def _batch_sql(k: int, splitter: str) -> str:
-    return f"""{c.SQL_INDEX},
+_GAPS = """gaps AS (
+  SELECT word, page_id, title, url, CASE WHEN page_id % 11 <> 0 THEN page_rank END AS page_rank,
+         CASE WHEN page_id % 7 = 0 OR (page_id % 3 = 0 AND word = 'the') THEN NULL WHEN page_id % 5 = 0 THEN 0.25
+              ELSE tf_idf END AS tf_idf
+  FROM scored JOIN corpus USING (page_id))
+"""
+
+
+def _batch_sql(k: int, splitter: str, scored: str = "scored JOIN corpus USING (page_id)", more: str = "") -> str:
+    return f"""{c.SQL_INDEX}, {more}
     split AS (SELECT item_id, regexp_split_to_array(text, '[.!?\\n]+') AS parts FROM benchmark),
     asked AS (SELECT item_id || '-' || (generate_subscripts(parts, 1) - 1) AS query_id, unnest(parts) AS query FROM split),
     asked_raw AS (SELECT query_id, unnest(regexp_split_to_array(query, '{splitter}')) AS token FROM asked),
     asked_terms AS (SELECT DISTINCT query_id, strip_accents(lower(token)) AS word FROM asked_raw WHERE token <> ''),
     sizes AS (SELECT query_id, count(*) AS n FROM asked_terms GROUP BY query_id),
     found AS (
-      SELECT query_id, page_id, sum(0.7 * log10(tf_idf + 1)) AS text_score, count(*) AS n_found
-      FROM asked_terms JOIN scored USING (word) GROUP BY query_id, page_id),
+      SELECT query_id, page_id, title, url, page_rank, sum(0.7 * log10(tf_idf + 1)) AS text_score, count(*) AS n_found
+      FROM asked_terms JOIN (SELECT * FROM {scored}) USING (word) GROUP BY ALL),
     ranked AS (
       SELECT query_id, page_id, title, url, text_score + 0.3 * log10(page_rank + 1) AS score
-      FROM found JOIN sizes USING (query_id) JOIN corpus USING (page_id) WHERE n_found = n),
+      FROM found JOIN sizes USING (query_id) WHERE n_found = n),
     placed AS (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC NULLS FIRST, page_id) AS rank
       FROM ranked),
@@ -120,6 +150,21 @@ QUERIES = {
         round(sum(0.7 * log10(tf_idf + 1)) + 0.3 * log10(max(page_rank) + 1), 6) AS order_key, count(*) AS n_words
         FROM hits GROUP BY page_id, title, url, tf_idf, page_rank""",
     ),
+    "search_pages_gaps": (
+        _search_pages_gaps,
+        f"""{_HITS}, {_GAPS} SELECT page_id, title, url,
+        round(sum(0.7 * log10(tf_idf + 1)) + 0.3 * log10(max(page_rank) + 1), 6) AS score
+        FROM gaps WHERE word IN {_IN_TERMS} AND page_id IN (SELECT page_id FROM matching) GROUP BY page_id, title, url""",
+    ),
+    "search_rows_gaps": (
+        _search_rows_gaps,
+        f"""{_HITS}, {_GAPS} SELECT page_id, title, url,
+        round(0.7 * log10(tf_idf + 1) + 0.3 * log10(page_rank + 1), 6) AS score,
+        round(sum(0.7 * log10(tf_idf + 1)) + 0.3 * log10(max(page_rank) + 1), 6) AS order_key, count(*) AS n_words
+        FROM gaps WHERE word IN {_IN_TERMS} AND page_id IN (SELECT page_id FROM matching)
+        GROUP BY page_id, title, url, tf_idf, page_rank""",
+    ),
+    "search_batch_gaps": (_search_batch_gaps, _batch_sql(20, c.SQL_SPLIT, "gaps", _GAPS + ",") + _ROUNDED),
     "search_pages": (_search_pages, f"{_HITS} SELECT page_id, title, url, round(score, 6) AS score FROM page_scores"),
     "search_top_pages": (
         search_top_pages,

@@ -4,6 +4,7 @@ import time
 from urllib.robotparser import RobotFileParser
 
 import pytest
+from catalog.common import SUFFIXES
 from pyspark.sql import functions as F
 
 from webloom.functions import permissions as pm
@@ -265,7 +266,7 @@ def test_domain_state_upsert(spark):
 def test_frontier_add(spark):
     rows = [("https://a.example.com/1",)] * 50 + [("https://a.example.com/2",), ("https://b.example.org/3",), ("q",)]
     urls_of = lambda items: spark.createDataFrame(items, "url STRING")
-    fresh = fr.frontier_add(urls_of(rows), urls_of([("https://a.example.com/2",)] * 3), urls_of([("q",)]))
+    fresh = fr.frontier_add(urls_of(rows), urls_of([("https://a.example.com/2",)] * 3), urls_of([("q",)]), SUFFIXES)
     assert sorted(map(tuple, fresh.collect())) == [
         ("https://a.example.com/1", "example.com"),
         ("https://b.example.org/3", "example.org"),
@@ -315,3 +316,20 @@ def test_null_flags_of_a_fetch_are_false(spark):
     ddl = "url STRING, can_visit BOOLEAN, content_type STRING, headers MAP<STRING,STRING>, meta_robots ARRAY<STRING>, fetched BOOLEAN"
     got = {r.url: (r.indexation, r.follow) for r in pg.crawl_outcome(spark.createDataFrame(rows, ddl), F.current_timestamp()).collect()}
     assert got == {"u": (False, False), "v": (False, False), "w": (True, True)}
+
+
+def test_more_date_forms(run):
+    cases = {
+        "20200102": (2020, 1, 2, 0, 0),
+        "2020/01/02 3:04": (2020, 1, 2, 3, 4),
+        "01/02/2020": (2020, 1, 2, 0, 0),
+        "Jan. 2, 2020 3:04 PM": (2020, 1, 2, 15, 4),
+        "2 Sept. 2020 12:30 a.m.": (2020, 9, 2, 0, 30),
+        "Thu, Jan 2, 2020, 12 pm": (2020, 1, 2, 12, 0),
+        "2020-01-02T03:04:05Z": (2020, 1, 2, 3, 4),
+        "13/45/2020": None,
+    }
+    as_of = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    got = run(F.date_format(pm.parse_date(F.col("x"), as_of), "yyyy-MM-dd HH:mm"), list(cases))
+    want = [v and "{:04}-{:02}-{:02} {:02}:{:02}".format(*v) for v in cases.values()]
+    assert got == want

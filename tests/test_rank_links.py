@@ -3,6 +3,7 @@ import random
 
 import golden
 import pytest
+from catalog.common import SUFFIXES
 from pyspark.sql import functions as F
 
 from webloom.operators import links as ln
@@ -164,12 +165,12 @@ def test_link_edges(spark):
     html = '<a href="/x">1</a><a href="/x">2</a><a href="b.html">3</a><a>4</a><a href="http://o.example.co.uk/p/?q#f">5</a>'
     rows = [(1, "https://s.example.com/d?z=1", html, True), (2, "https://s.example.com/e", html, False), (3, "u", None, True)]
     pages = spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING, follow BOOLEAN")
-    got = sorted(map(tuple, ln.link_edges(pages).collect()))
+    got = sorted(map(tuple, ln.link_edges(pages, SUFFIXES).collect()))
     source = "https://s.example.com/d?z=1"
     assert got == [
         (source, "http://o.example.co.uk/p", "example.co.uk"),
         (source, "https://s.example.com/x", "example.com"),
         (source, "https://s.example.com/x", "example.com"),
     ]
-    canonical = ln.link_edges(pages, canonicalize_sources=True).select("source_url").distinct().collect()
+    canonical = ln.link_edges(pages, SUFFIXES, canonicalize_sources=True).select("source_url").distinct().collect()
     assert [r[0] for r in canonical] == ["https://s.example.com/d"]

@@ -15,12 +15,15 @@ from webloom.functions import text as tx
 PAGE_CONTENT_TYPES = ["text/html", "text/plain"]
 
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-_TIME = r"(?:[T ]\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?)?"
+# Groups of a time: hour, minute, second and half of the day.
+_TIME = r"(?:[T ,]\s*(\d{1,2})(?::(\d{2})(?::(\d{2})(?:[.,]\d+)?)?)?(?:\s*([AaPp])\.?[Mm]\.?)?)?"
 _ZONE = r"\s*(Z|UTC|GMT|[+-]\d{2}:?\d{2})?(?:\s*[A-Z]{3,4})?"
 
-_ISO = rf"^\s*(\d{{4}})-(\d{{1,2}})-(\d{{1,2}}){_TIME}{_ZONE}\s*$"
-_DAY_FIRST = rf"(?i)^\s*(?:[a-z]+,?\s+)?(\d{{1,2}})[ -]([a-z]{{3}})[a-z]*[ -](\d{{4}}|\d{{2}}){_TIME}{_ZONE}\s*$"
-_MONTH_FIRST = rf"(?i)^\s*([a-z]{{3}})[a-z]*\s+(\d{{1,2}}),?\s+(\d{{4}}){_TIME}{_ZONE}\s*$"
+_ISO = rf"^\s*(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_TIME}{_ZONE}\s*$"
+_COMPACT = rf"^\s*(\d{{4}})(\d{{2}})(\d{{2}}){_TIME}{_ZONE}\s*$"
+_SLASHES = rf"^\s*(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}|\d{{2}}){_TIME}{_ZONE}\s*$"
+_DAY_FIRST = rf"(?i)^\s*(?:[a-z]+\.?,?\s+)?(\d{{1,2}})[ -]([a-z]{{3}})[a-z]*\.?[ -](\d{{4}}|\d{{2}}){_TIME}{_ZONE}\s*$"
+_MONTH_FIRST = rf"(?i)^\s*(?:[a-z]+\.?,\s+)?([a-z]{{3}})[a-z]*\.?\s+(\d{{1,2}}),?\s+(\d{{4}}){_TIME}{_ZONE}\s*$"
 
 
 def is_page_content(content_type: Column) -> Column:
@@ -40,13 +43,15 @@ def meta_directives(meta_robots: Column) -> Column:
 
 
 def parse_date(text: Column, as_of: Column) -> Column:
-    """Timestamp of a date in ISO, RFC 1123, RFC 850 or ``Month D, YYYY`` form, else NULL.
+    """Timestamp of a date in ISO, RFC 1123, RFC 850, ``Month D, YYYY``, ``MM/DD/YYYY`` or ``YYYYMMDD`` form, else NULL.
 
     A date without a zone, or with a zone that is only a name, is UTC. A two-digit year is the
     one nearest to ``as_of``.
     """
     parts = F.coalesce(
         _date_parts(text, _ISO, "$1|$2|$3"),
+        _date_parts(text, _COMPACT, "$1|$2|$3"),
+        _date_parts(text, _SLASHES, "$3|$1|$2"),
         _date_parts(text, _DAY_FIRST, "$3|$2|$1"),
         _date_parts(text, _MONTH_FIRST, "$3|$1|$2"),
     )
@@ -54,8 +59,8 @@ def parse_date(text: Column, as_of: Column) -> Column:
 
 
 def _date_parts(text: Column, pattern: str, year_month_day: str) -> Column:
-    """array(year, month, day, hour, minute, second, zone) of a date in one form, else NULL."""
-    joined = F.regexp_replace(text, pattern, year_month_day + "|$4|$5|$6|$7")
+    """array(year, month, day, hour, minute, second, half of the day, zone) of a date in one form, else NULL."""
+    joined = F.regexp_replace(text, pattern, year_month_day + "|$4|$5|$6|$7|$8")
     return F.when(text.rlike(pattern), F.split(joined, r"\|"))
 
 
@@ -70,19 +75,20 @@ def _timestamp(parts: Column, as_of: Column) -> Column:
     short = this_year - this_year % 100 + number(0)
     nearest = short - F.when(short >= this_year + 50, 100).when(short < this_year - 50, -100).otherwise(0)
     year = F.when(F.length(F.get(parts, F.lit(0))) == 2, nearest).otherwise(number(0))
-    zone = F.get(parts, F.lit(6))
+    half, zone = F.lower(F.get(parts, F.lit(6))), F.get(parts, F.lit(7))
+    hour = F.when(half == "p", number(3) % 12 + 12).when(half == "a", number(3) % 12).otherwise(number(3))
     digits = F.coalesce(F.regexp_replace(zone, "[^0-9]", "").try_cast("int"), F.lit(0))
     minutes = F.floor(digits / 100) * 60 + digits % 100
     offset = F.when(zone.startswith("-"), -minutes).otherwise(minutes).cast("int")
     seconds = number(5).cast("decimal(8,6)")
-    local = F.try_make_timestamp(year, month, number(2), number(3), number(4), seconds, F.lit("UTC"))
+    local = F.try_make_timestamp(year, month, number(2), hour, number(4), seconds, F.lit("UTC"))
     return local - F.make_dt_interval(mins=offset)
 
 
 def expired(directives: Column, as_of: Column) -> Column:
     """Has an ``unavailable_after`` date passed?
 
-    The directives are split at commas that a letter follows at once. An empty date ends the
+    The directives are split at commas that a letter follows at once (the comma rule is a fixed value). An empty date ends the
     search; one that cannot be read has no effect.
     """
     parts = F.filter(

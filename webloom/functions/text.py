@@ -8,6 +8,7 @@ runs once on the whole text of a row and nothing is exploded until the terms are
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -21,7 +22,7 @@ PUNCTUATION = "’'/-,!?.*()"
 WHITE_SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
 
 _SPLIT_PLAIN = f"[{WHITE_SPACE}]+"
-_SPLIT_PUNCT = r"[’'/\-,!?.*()" + WHITE_SPACE + "]+"
+_SPLIT_PUNCT = "[" + re.escape(PUNCTUATION) + WHITE_SPACE + "]+"
 
 
 @cache

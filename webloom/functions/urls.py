@@ -18,15 +18,6 @@ PAGE_EXTENSIONS = ["htm", "html", "php", "asp", "aspx", "xhtml"]
 # Schemes whose last path segment may carry ``;params``.
 _SCHEMES_WITH_PARAMS = ["", "ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp", "sip", "sips", "mms", "sftp", "tel"]
 
-# A short public-suffix list, enough for common hosts. Pass a full list where it matters.
-PUBLIC_SUFFIXES = [
-    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "io", "dev", "app", "blog", "xyz",
-    "online", "site", "shop", "tech", "eu", "at", "be", "bg", "ca", "ch", "cn", "cz", "de", "dk", "es", "fi", "fr",
-    "gr", "hu", "ie", "in", "it", "lt", "lu", "lv", "mx", "nl", "no", "pl", "pt", "ro", "ru", "se", "si", "sk",
-    "us", "tv", "me", "co", "ai", "uk", "co.uk", "org.uk", "ac.uk", "gov.uk", "au", "com.au", "net.au", "org.au",
-    "nz", "co.nz", "jp", "co.jp", "ac.jp", "br", "com.br", "kr", "co.kr", "tr", "com.tr", "za", "co.za",
-]
-
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
@@ -37,21 +28,32 @@ def url_parts(url: Column) -> Column:
     cut, tabs and line ends removed.
     """
     clean = F.regexp_replace(F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
-    scheme = F.lower(F.regexp_extract(clean, _PARTS, 1))
-    path = F.regexp_extract(clean, _PARTS, 3)
-    has_params = scheme.isin(_SCHEMES_WITH_PARAMS)
-    return F.struct(
-        scheme.alias("scheme"),
-        F.regexp_extract(clean, _PARTS, 2).alias("netloc"),
-        F.when(has_params, F.regexp_replace(path, r"(?s);[^/]*\z", "")).otherwise(path).alias("path"),
-        F.when(has_params, F.regexp_extract(path, r"(?s);([^/]*)\z", 1)).otherwise("").alias("params"),
-        F.regexp_extract(clean, _PARTS, 4).alias("query"),
-        F.regexp_extract(clean, _PARTS, 5).alias("fragment"),
-    )
+    # no line end is left in a URL, so it can part what one match finds
+    found = F.split(F.regexp_replace(clean, _PARTS, "$1\n$2\n$3\n$4\n$5"), "\n")
+
+    def parts(of: Column) -> Column:
+        scheme, path = F.lower(F.get(of, F.lit(0))), F.get(of, F.lit(2))
+        has_params = scheme.isin(_SCHEMES_WITH_PARAMS) & path.contains(";")
+        without_params = F.when(has_params, F.regexp_replace(path, r"(?s);[^/]*\z", "")).otherwise(path)
+        params = F.when(has_params, F.regexp_extract(path, r"(?s);([^/]*)\z", 1)).otherwise("")
+        fields = {
+            "scheme": scheme,
+            "netloc": F.get(of, F.lit(1)),
+            "path": without_params,
+            "params": params,
+            "query": F.get(of, F.lit(3)),
+            "fragment": F.get(of, F.lit(4)),
+        }
+        # named outright: names given by alias are lost beside a generator
+        return F.named_struct(*[x for name, part in fields.items() for x in (F.lit(name), part)])
+
+    return let(found, parts)
 
 
 def netloc(url: Column) -> Column:
-    return url_parts(url)["netloc"]
+    """Host and port of a URL, by one match."""
+    clean = F.regexp_replace(F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
+    return F.regexp_extract(clean, _PARTS, 2)
 
 
 def resolve(page: Column, href: Column) -> Column:
@@ -88,19 +90,20 @@ def url_title(url: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(url, "/"), -1), r"(?s)\.[^.]*\z", "")
 
 
-def registered_domain(url: Column, suffixes: Iterable[str] = tuple(PUBLIC_SUFFIXES)) -> Column:
+def registered_domain(url: Column, suffixes: Iterable[str]) -> Column:
     """``domain.suffix`` of a URL by a public-suffix list with ``*.`` and ``!`` rules.
 
+    Pass the complete list: hosts under a suffix that it lacks fall together under their last label.
     The list becomes a hash set inside the expression: a lookup per host tail, no join. A host
     without a known suffix gives its last label and a dot.
     """
     rules = [rule.lower() for rule in suffixes]
-    plain = [r for r in rules if r[0] not in "*!"]
     wild = [r[2:] for r in rules if r.startswith("*.")]
     exceptions = [r[1:] for r in rules if r.startswith("!")]
+    # the suffix of an exception is what follows its first label
+    plain = [r for r in rules if r[0] not in "*!"] + [r.split(".", 1)[1] for r in exceptions]
 
-    netloc_of = url_parts(url)["netloc"]
-    host = F.regexp_replace(netloc_of, r"(?s)^.*@|:[^:\]]*\z", "")
+    host = F.regexp_replace(netloc(url), r"(?s)^.*@|:[^:\]]*\z", "")
     host = F.rtrim(F.translate(F.trim(host), "。．｡", "..."), F.lit("."))
 
     def split_at_suffix(labels: Column) -> Column:

@@ -20,7 +20,7 @@ def frontier_add(
     candidates: DataFrame,
     visited: DataFrame,
     queued: DataFrame,
-    suffixes: Iterable[str] = tuple(urls.PUBLIC_SUFFIXES),
+    suffixes: Iterable[str],
 ) -> DataFrame:
     """Candidate URLs that are neither visited nor queued, once each: (url, domain).
 

@@ -11,16 +11,20 @@ from webloom.functions import urls
 from webloom.operators.pages import with_fields
 
 
-def page_hrefs(pages: DataFrame) -> DataFrame:
-    """Anchors with a href, in document order, repeats kept: (page_id, url, pos, href)."""
+def page_hrefs(pages: DataFrame, with_parts: bool = False) -> DataFrame:
+    """Anchors with a href, in document order, repeats kept: (page_id, url, pos, href).
+
+    With ``with_parts`` also the URL parts of the page, worked out once per page: page.
+    """
     parsed = with_fields(pages, "hrefs")
-    return parsed.select("page_id", "url", F.posexplode("fields.hrefs").alias("pos", "href"))
+    parts = [urls.url_parts(F.col("url")).alias("page")] if with_parts else []
+    return parsed.select("page_id", "url", *parts, F.posexplode("fields.hrefs").alias("pos", "href"))
 
 
 def resolved_links(hrefs: DataFrame) -> DataFrame:
-    """Links that are followed, as absolute URLs: (..., link)."""
+    """Links that are followed, as absolute URLs: (..., link). Takes the page's parts if they are there."""
     followed = hrefs.filter(F.col("href").startswith("/") | F.col("href").startswith("http"))
-    parsed = followed.withColumn("page", urls.url_parts(F.col("url")))
+    parsed = followed if "page" in hrefs.columns else followed.withColumn("page", urls.url_parts(F.col("url")))
     return parsed.withColumn("link", urls.resolve(F.col("page"), F.col("href"))).drop("page")
 
 
@@ -33,7 +37,7 @@ def page_links(links: DataFrame) -> DataFrame:
 
 def link_edges(
     pages: DataFrame,
-    suffixes: Iterable[str] = tuple(urls.PUBLIC_SUFFIXES),
+    suffixes: Iterable[str],
     canonicalize_sources: bool = False,
 ) -> DataFrame:
     """Edges of the link graph, parallel edges kept: (source_url, target_url, domain).
@@ -43,7 +47,7 @@ def link_edges(
     """
     if "follow" in pages.columns:
         pages = pages.filter("follow").drop("follow")
-    links = page_links(resolved_links(page_hrefs(pages.filter("html IS NOT NULL"))))
+    links = page_links(resolved_links(page_hrefs(pages.filter("html IS NOT NULL"), with_parts=True)))
     source = urls.canonical(F.col("url")) if canonicalize_sources else F.col("url")
     return links.select(
         source.alias("source_url"),
