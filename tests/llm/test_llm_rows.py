@@ -1,5 +1,6 @@
 """Operators on small tables with every awkward row, against plain Python."""
 
+import pathlib
 import random
 
 import brute
@@ -340,3 +341,14 @@ def test_all_null_rows(spark):
     assert [r.n_tokens for r in token_counts.count_tokens(docs, MODEL).collect()] == [0] * 3
     assert [r.n_pieces for r in pieces.round_trips(docs, MODEL).collect()] == [0] * 3
     assert [r.piece_ids for r in pieces.encoded(docs, MODEL).collect()] == [None] * 3
+
+
+def test_what_is_left_behind(spark, docs):
+    """Only the tables that a result still reads stay in the shared folder."""
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    near_dedup.classes_of(docs)
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before} == {"near_sketch", "near_named"}
+    before = set(folder.iterdir())
+    mixing.mix(docs)
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before} == {"mix_sizes", "mix_thresholds"}

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.plans.lineage import scratch_path
+from webloom.plans.lineage import discard, scratch_path
 
 #: White space that separates words, as a regular expression and as characters.
 SPACE = r"[\x20\x09-\x0D]"
@@ -35,11 +38,29 @@ def free_name(docs: DataFrame, wish: str) -> str:
     return wish
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_MADE: ContextVar[list[DataFrame] | None] = ContextVar("_MADE", default=None)
+
+
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Tables stored inside are deleted at the end, but for those to be kept. Nothing lazy may still read them."""
+    made: list[DataFrame] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        discard(*made)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    if not keep and (made := _MADE.get()) is not None:
+        made.append(table)
+    return table
 
 
 @F.arrow_udf(T.BinaryType())

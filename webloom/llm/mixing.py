@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import WORD, column, free_name, picked, stored
+from webloom.llm.common import WORD, column, free_name, picked, stored, temporary_tables
 from webloom.plans.skew import HotKeys, skew_join
 
 WEIGHTS = (3, 1, 2)
@@ -119,7 +119,7 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     below = found[0]
     for more in found[1:]:
         below = below.unionByName(more)
-    return stored(plan.join(below, "source", "left").fillna(0, ["below"]), "mix_thresholds")
+    return stored(plan.join(below, "source", "left").fillna(0, ["below"]), "mix_thresholds", keep=True)
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -129,7 +129,8 @@ def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
 
 def plan_mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     sources = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    return thresholds(sized, targets(sources, weights, share, most))
+    with temporary_tables():
+        return thresholds(sized, targets(sources, weights, share, most))
 
 
 def mix(

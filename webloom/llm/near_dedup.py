@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import column, free_name, packed, picked, stored
+from webloom.llm.common import column, free_name, packed, picked, stored, temporary_tables
 from webloom.llm.shingles import mixed, runs, word_hashes
 
 SHINGLE, PERCENT = 5, 80
@@ -281,9 +281,10 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = picked(docs, doc_id=id_col, text=text_col)
     sketch = stored(texts.select("doc_id", _sketched(F.col("text"), n).alias("s")).select("doc_id", "s.*"), "near_sketch")
-    classes, labels = _linked(sketch, texts, n, percent)
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    named = stored(named.select("set_id", F.coalesce("label", "rep").alias("component_id")), "near_named")
+    with temporary_tables():
+        classes, labels = _linked(sketch, texts, n, percent)
+        named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        named = stored(named.select("set_id", F.coalesce("label", "rep").alias("component_id")), "near_named", keep=True)
     joined = sketch.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
