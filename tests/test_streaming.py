@@ -104,7 +104,7 @@ def test_the_published_version_can_be_searched(spark, tmp_path, monkeypatch):
     assert [r["page_id"] for r in se.search_pages(index, None, "chat").collect()]
 
 
-def test_a_batch_reads_only_its_buckets(spark, tmp_path):
+def test_a_batch_reads_only_its_buckets(spark, tmp_path, capsys):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     for rows in ([(f"u{i}", "d") for i in range(300)], [("u7", "d"), ("new", "d")]):
         add_file(spark, source, rows, "url STRING, domain STRING")
@@ -112,7 +112,21 @@ def test_a_batch_reads_only_its_buckets(spark, tmp_path):
     asked = spark.createDataFrame([("u7",), ("new",)], "url STRING")
     buckets = [r[0] for r in asked.select(jobs._bucket()).collect()]
     known = jobs.known_urls(spark, f"{out}_urls", 2, buckets)
-    folders = {pathlib.Path(f).parent.name for f in known.inputFiles()}
+    known.explain("formatted")
+    assert "PartitionFilters" in (plan := capsys.readouterr().out) and "bucket" in plan.split("PartitionFilters")[1].split("\n")[0]
     assert 0 < known.count() < 20 and len(set(buckets)) <= 2
-    assert all(r["bucket"] in buckets for r in jobs._read_known(spark, f"{out}_urls").filter(F.col("bucket").isin(buckets)).collect()) and folders
     assert spark.read.parquet(out).count() == 301
+
+
+def test_known_urls_are_merged(spark, tmp_path, monkeypatch):
+    """Six batches, merged two by two: nothing is forgotten, and what a merge replaced goes one merge later."""
+    monkeypatch.setattr(jobs, "COMPACT_EVERY", 2)
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    for batch in range(6):
+        rows = [(f"u{k}", "d") for k in range(batch, batch + 3)] + [("u0", "d")]
+        add_file(spark, source, rows, "url STRING, domain STRING")
+        jobs.stream_frontier(jobs.read_stream(spark, source, "url STRING, domain STRING"), out, checkpoint).awaitTermination()
+    assert sorted(r["url"] for r in spark.read.parquet(out).collect()) == [f"u{k}" for k in range(8)]
+    assert sorted(r["url"] for r in jobs.known_urls(spark, f"{out}_urls", 6).collect()) == [f"u{k}" for k in range(8)]
+    left = {kind: sorted(p.name for p in pathlib.Path(f"{out}_urls", kind).iterdir() if "=" in p.name) for kind in ("batches", "compact")}
+    assert left == {"batches": ["batch_id=4", "batch_id=5"], "compact": ["upto=3", "upto=5"]}

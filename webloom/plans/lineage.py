@@ -60,9 +60,14 @@ def discard(*frames: DataFrame) -> None:
             paths = [plan.rdd().getCheckpointFile().get()]
         else:
             paths = [root.toString() for root in _roots(plan)]
-        for path in paths:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        discard_folders(spark, *paths)
+
+
+def discard_folders(spark: SparkSession, *paths: str) -> None:
+    """Delete folders through Spark's file systems; one that is not there is no fault."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _roots(plan) -> list:
