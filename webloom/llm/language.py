@@ -22,7 +22,7 @@ from webloom.llm.common import column, picked
 BUCKETS, WIDTH = 1 << 14, 16
 #: Bounds of the sample: documents of a language, documents in all, and languages (the most frequent ones).
 PER_LANGUAGE, SAMPLE, MAX_LANGUAGES = 800, 4000, 64
-EPOCHS, BATCH, RATE = 6, 32, 0.5
+STEPS, BATCH, RATE = 700, 32, 0.5
 #: Share of right guesses among the accepted ones that the rejection threshold aims at.
 PRECISION = 0.99
 UNKNOWN = "und"
@@ -43,7 +43,7 @@ def subwords(text: str, buckets: int = BUCKETS):
         for n in range(4):
             mixed = (mixed[: len(part) - n] if n else mixed) + part[n:] * _MULTIPLIERS[n]
             if n and len(mixed):
-                yield ((mixed ^ (mixed >> np.uint32(15))) * _MULTIPLIERS[0] >> np.uint32(8)) % np.uint32(buckets)
+                yield ((mixed[:_CHUNK] ^ (mixed[:_CHUNK] >> np.uint32(15))) * _MULTIPLIERS[0] >> np.uint32(8)) % np.uint32(buckets)
 
 
 def shares(text: str, buckets: int = BUCKETS) -> np.ndarray:
@@ -99,20 +99,21 @@ def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: list
         used = order
     embeddings = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     linear, bias = np.zeros((WIDTH, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
-        for at in range(0, len(used), BATCH):
-            rows = used[at : at + BATCH]
-            batch = dense([x[i] for i in rows])
-            hidden = batch @ embeddings
-            wrong = softmax(hidden @ linear + bias)
-            wrong[np.arange(len(rows)), y[rows]] -= 1
-            wrong /= len(rows)
-            back = wrong @ linear.T
-            linear -= 10 * rate * hidden.T @ wrong
-            bias -= rate * wrong.sum(0)
-            embeddings -= 100 * rate * batch.T @ back
-        used = rng.permutation(used)
+    waiting = np.zeros(0, np.int64)
+    for step in range(STEPS):
+        if len(waiting) < BATCH:
+            waiting = np.concatenate([waiting, rng.permutation(used)])
+        rows, waiting = waiting[:BATCH], waiting[BATCH:]
+        rate = RATE * (1 - step / STEPS)
+        batch = dense([x[i] for i in rows])
+        hidden = batch @ embeddings
+        wrong = softmax(hidden @ linear + bias)
+        wrong[np.arange(len(rows)), y[rows]] -= 1
+        wrong /= len(rows)
+        back = wrong @ linear.T
+        linear -= 10 * rate * hidden.T @ wrong
+        bias -= rate * wrong.sum(0)
+        embeddings -= 100 * rate * batch.T @ back
     model = Model(languages, (embeddings @ linear).astype(np.float64), bias.astype(np.float64))
     logits = [values @ model.weights[at] + model.bias for at, values in (x[i] for i in held)]
     calibrate(model, np.array(logits).reshape(len(held), len(languages)), y[held])
@@ -129,7 +130,8 @@ def calibrate(model: Model, logits: np.ndarray, truth: np.ndarray) -> None:
     chances = softmax(logits * model.sharpness)
     right, score = chances.argmax(1) == truth, chances.max(1)
     order = np.argsort(-score)
-    precise = np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= PRECISION
+    last_of_ties = np.append(np.diff(score[order]) != 0, True)
+    precise = last_of_ties & (np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= PRECISION)
     model.threshold = float(score[order][precise][-1]) if precise.any() else 1.0
 
 
@@ -145,14 +147,16 @@ def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
     return hashed.filter(chosen).limit(2 * per_language * len(counts))
 
 
-@F.arrow_udf(T.StructType([T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.FloatType()))]))
+@F.arrow_udf(T.StructType([T.StructField("buckets", T.BinaryType()), T.StructField("shares", T.BinaryType())]))
 def _features(texts: pa.Array) -> pa.Array:
-    rows = []
+    """Buckets and shares of each text, as bytes of 32-bit numbers."""
+    buckets, values = [], []
     for text in texts:
         all_shares = shares(text.as_py() or "")
         at = np.flatnonzero(all_shares)
-        rows.append({"buckets": at.astype(np.int32), "shares": all_shares[at]})
-    return pa.array(rows, pa.struct([("buckets", pa.list_(pa.int32())), ("shares", pa.list_(pa.float32()))]))
+        buckets.append(at.astype("<i4").tobytes())
+        values.append(all_shares[at].astype("<f4").tobytes())
+    return pa.StructArray.from_arrays([pa.array(buckets, pa.binary()), pa.array(values, pa.binary())], ["buckets", "shares"])
 
 
 def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
@@ -168,7 +172,7 @@ def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "t
     languages = sorted({r["label"] for r in rows})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    x = [(np.array(r["f"]["buckets"], np.int32), np.array(r["f"]["shares"], np.float32)) for r in rows]
+    x = [(np.frombuffer(r["f"]["buckets"], "<i4"), np.frombuffer(r["f"]["shares"], "<f4")) for r in rows]
     return train(x, np.array([languages.index(r["label"]) for r in rows]), languages)
 
 
