@@ -21,14 +21,15 @@ from pyspark.sql import functions as F
 from webloom.llm.common import column, free_name, picked
 
 ALPHA, SEED, PATTERNS = 0.1, 0, 4
-_CACHED = 200_000
+#: Units remembered of one dropout pattern, and units that are cut together.
+_CACHED, _UNITS = 60_000, 50_000
 #: Units up to this length are cut side by side in arrays, longer ones by a heap.
 _SHORT = 32
 _BORDER = re.compile(r"[^ ](?= )")
 #: Characters of a long text that are cut in units at a time, and units of one array.
 _CHUNK, _ARRAY = 1 << 20, 1 << 11
 _NEVER = 1 << 60
-_ROWS = 256
+_ROWS, _SLICE = 256, 1024
 NOTHING = hashlib.sha256(b"").hexdigest()
 _MASK = (1 << 64) - 1
 # Odd constants that mix the bits of places.
@@ -204,7 +205,7 @@ class Pieces:
             for units in self._chunks(" " + text if text else ""):
                 todo.append((place, units))
                 n_todo += len(units)
-                if n_todo > _CACHED // 2:
+                if n_todo > _UNITS:
                     finish()
                     n_todo = 0
         finish()
@@ -264,10 +265,13 @@ def encoded(
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array, chosen: pa.Array) -> pa.Array:
-        pieces, out = _built(shared), [None] * len(texts)
-        for place, ids in _by_pattern(pieces, texts, chosen, alpha, seed):
-            out[place] = ids
-        return pa.array(out, pa.list_(pa.int32()))
+        pieces, parts = _built(shared), []
+        for at in range(0, len(texts), _SLICE):
+            out = [None] * len(texts[at : at + _SLICE])
+            for place, ids in _by_pattern(pieces, texts[at : at + _SLICE], chosen[at : at + _SLICE], alpha, seed):
+                out[place] = ids
+            parts.append(pa.array(out, pa.list_(pa.int32())))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return docs.withColumn(out_col, encode(column(text_col), pattern_of(column(id_col), seed, patterns)))
 
