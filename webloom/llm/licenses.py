@@ -6,6 +6,9 @@ its digest is looked up among the digests of the known licences by a hash join.
 
 from __future__ import annotations
 
+import json
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,43 +28,29 @@ SPELLINGS = [
     (r"(^| )whilst( |$)", "$1while$2"),
 ]
 
-# Short notices and licences that are known by name.
-KNOWN = [
-    ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0."),
-    (
-        "MIT",
-        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
-associated documentation files (the "Software"), to deal in the Software without restriction, including without
-limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
-Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of
-the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
-THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
-AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
-CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
-IN THE SOFTWARE.""",
-    ),
-    (
-        "ISC",
-        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
-ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL,
-DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
-WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
-USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    ),
-]
+
+
+def _known() -> list[tuple[str, str]]:
+    """(license_id, text) of the packaged file: notices, then texts, each after its forms with a title."""
+    data = json.loads(resources.files("webloom.llm").joinpath("data", "licenses.json").read_text("utf-8"))
+    out = [(f"{i}-notice", f"SPDX-License-Identifier: {i}") for i in data["spdx_ids"]]
+    for notice in data["notices"]:
+        for name in notice["names"]:
+            articles = ("", "the ", "a ") if "Creative" in name else ("", "the ")
+            starts = [s + (v[0].lower() + v[1:] if s else v) for s in data["subjects"] for v in data["verbs"]]
+            out += [(notice["license_id"], f"{start}{article}{name}.") for start in starts for article in articles]
+    for entry in data["texts"]:
+        out += [(entry["license_id"], f"{title}\n\n{entry['text']}") for title in entry["titles"]]
+        out.append((entry["license_id"], entry["text"]))
+    return out
+
+
+#: Texts and notices that are known by name, with titles where licence files usually have one.
+KNOWN = _known()
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """The built-in table of known texts: (license_id, license_text). Pass any other one for more."""
+    """The packaged table of known texts: (license_id, license_text). Pass any other one for more."""
     return spark.createDataFrame(KNOWN, "license_id STRING, license_text STRING")
 
 
@@ -105,11 +94,14 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     """
     spark = docs.sparkSession
     table = stored(digests(known_licenses(spark) if known is None else known), "license_digests")
+    lookup = table.select("digest", "code")
+    if known is None:  # of fixed size, so lines need no shuffle
+        lookup = F.broadcast(lookup)
     rows = picked(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     units = rows.select("row", "doc_id", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("at", "unit"))
     units = units.select("row", "doc_id", "at", canonical(F.col("unit")).alias("unit"))
-    found = units.withColumn("digest", F.sha2("unit", 256)).join(table.select("digest", "code"), "digest", "left")
+    found = units.withColumn("digest", F.sha2("unit", 256)).join(lookup, "digest", "left")
     whole = F.col("at") == 0
     per_row = found.groupBy("row", "doc_id").agg(
         F.max(F.when(whole, F.char_length("unit"))).cast("long").alias("canonical_chars"),
