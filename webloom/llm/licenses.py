@@ -54,8 +54,30 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN, "license_id STRING, license_text STRING")
 
 
-#: A line that opens with a copyright mark or a reservation of rights, after comment marks if any.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+# Words after "copyright" that go on with a sentence of a licence and name no holder, and words after a
+# "(c)" that counts clauses.
+_GOES_ON = (
+    "holders? owners? ownership notices? licen[cs]es? licensed laws? permissions? rights? claims? statements? lines? interests? protection "
+    "protected infringements? status works? acts? terms? treaty treaties disclaimers? doctrines? patents? trademarks? resulting and or nor in on "
+    "to is as for of are may shall will must can if also like those that this which with from under each more then than including "
+    "information the_(?:software|library|program|work|document|licensed|original|covered|above|following)"
+).replace("_", r"[^a-z0-9\n]+").split()
+_CLAUSE = (
+    "you your the all any an a it its if to in on of for under or and no not each every such this that these those where when which with without "
+    "may must shall will representations licensor licensee recipient contributor contributions? redistributions? conveying distribute modify use "
+    "make include give provide keep offer cause"
+).split()
+# No lookahead, as DuckDB has none: a line that goes on with a sentence is matched whole as the group, so that it stays.
+_SENTENCE = (
+    r"[^a-z0-9\n]*(?:copyright(?:[a-z][^\n]*|[^a-z0-9(©\n]*|[,;.)/\"'][^a-z0-9(©\n]*[a-z][^\n]*|[^a-z0-9(©\n]+(?:"
+    + "|".join(_GOES_ON)
+    + r")(?:[^a-z0-9\n][^\n]*)?)|\(c\)(?:[^a-z0-9\n]*|[^a-z0-9\n]+(?:"
+    + "|".join(_CLAUSE)
+    + r")(?:[^a-z0-9\n][^\n]*)?))(?m:$)"
+)
+#: A line that is a copyright statement (a mark or the word, with a year, a mark or a holder) or a reservation of rights,
+#: after comment marks if any. Lines of a licence that merely begin with the word or with a clause "(c)" are none.
+COPYRIGHT_LINE = rf"((?:^|\n){_SENTENCE}|^|\n)(?:[^a-z0-9\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*|(?m:$))"
 NO_WORD = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 
 
