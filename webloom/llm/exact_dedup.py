@@ -7,7 +7,7 @@ large, sends one row per task into the second step and one per salt into the thi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.common import SPACE, column, free_name, picked, stored
@@ -20,12 +20,19 @@ _STEP = "100000000000000000000BD"
 _TOP = "9223372036854775808BD"
 
 
+def _columns(doc_id: Column, text: Column) -> tuple[Column, Column, Column]:
+    """Text without white space, its digest, and the rank of the row."""
+    text = F.coalesce(text, F.lit(""))
+    content = F.regexp_replace(text, SPACE + "+", "")
+    place = F.coalesce(F.expr(_TOP) - doc_id.cast("decimal(20, 0)"), F.expr("0BD"))
+    rank = F.char_length(text).cast("decimal(10, 0)") * F.expr(_STEP) + place
+    return content, F.sha2(content.cast("binary"), 256), rank.cast("decimal(38, 0)")
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = picked(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    content = F.regexp_replace("text", SPACE + "+", "")
+    rows = picked(docs, doc_id=id_col, text=text_col)
+    content, _, rank = _columns(F.col("doc_id"), F.col("text"))
     rows = rows.withColumn("content", content)
-    place = f"coalesce({_TOP} - cast(doc_id AS decimal(20, 0)), 0BD)"
-    rank = F.expr(f"cast(char_length(text) AS decimal(10, 0)) * {_STEP} + {place}").cast("decimal(38, 0)")
     return rows.select("doc_id", "content", F.sha2(F.col("content").cast("binary"), 256).alias("digest"), rank.alias("rank"))
 
 
@@ -87,12 +94,17 @@ def _collided(keyed: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The documents that stay, with all their columns; of rows equal in id and text one stays.
+    """The documents that stay, with all their columns: one row of every group of ``verdicts``.
 
-    Ids must identify documents, otherwise as ``verdicts``. Texts are not shuffled again.
+    Of rows that tie for a group (same id or none, same text up to white space, same length) any one stays.
+    Only if there are such rows, tasks first reduce what they read to a row per key, so that ties meet in
+    no task however many they are.
     """
-    kept = _verdicts(docs, id_col, text_col, salts).filter("kept").groupBy("keep_id").agg(F.count("*").alias("copies"))
+    kept = _verdicts(docs, id_col, text_col, salts).filter("kept").groupBy("text_sha256", "rank").agg(F.count("*").alias("copies"))
     kept = stored(kept, "exact_kept")
-    key = free_name(docs, "__keep_id")
-    ids = kept.select(F.col("keep_id").alias(key))
-    return docs.join(ids, column(id_col).eqNullSafe(F.col(key)), "left_semi")
+    keys = [free_name(docs, "__digest"), free_name(docs, "__rank")]
+    _, digest, rank = _columns(column(id_col), column(text_col))
+    rows = docs.withColumns(dict(zip(keys, (digest, rank))))
+    if not kept.filter("copies > 1").isEmpty():
+        rows = rows.dropDuplicates(keys)
+    return rows.join(kept.select("text_sha256", "rank").toDF(*keys), keys, "left_semi").select(*[column(name) for name in docs.columns])
