@@ -88,7 +88,10 @@ def canonical(text: Column) -> Column:
     """
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     out = F.translate(F.coalesce(text, F.lit("")), upper, lower)
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
+    marked = F.lit(False)  # without any of these the pattern changes nothing
+    for mark in ("copyright", "(c)", "©", "all rights reserved"):
+        marked = marked | F.contains(out, F.lit(mark))
+    out = F.when(marked, F.regexp_replace(out, COPYRIGHT_LINE, "$1")).otherwise(out)
     out = F.trim(F.regexp_replace(out, NO_WORD, " "))
     for spelling, form in SPELLINGS:
         out = F.regexp_replace(out, spelling, form)
