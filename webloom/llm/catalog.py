@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import exact_dedup, language, licenses, mixing, near_dedup, pieces, quality, sharding, substrings, token_counts
+from webloom.llm import context_mixing, exact_dedup, language, licenses, mixing, near_dedup, pieces, quality, sharding, substrings, token_counts
 
 #: SentencePiece model file; the driver reads it.
 MODEL = os.environ.get("WEBLOOM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -214,6 +214,17 @@ SELECT doc_id, length(whole.text)::BIGINT AS canonical_chars, license_id, coales
 FROM whole LEFT JOIN known USING (text) LEFT JOIN notices USING (doc_id)
 """
 
+
+def remainder(doc_id: str, divisor: int):
+    """crc32 of an id as text, modulo a divisor; a null id counts as empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = context_mixing.scores(documents(spark, sf_dir), remainder("doc_id", 7) != 2)
+    return out.withColumn("held_out", ~F.col("learned")).drop("learned")
+
+
 QUERIES = {
     "op1_exact_dedup": (exact, EXACT_SQL),
     "op2_host_rules": (host_rules, HOST_SQL),
@@ -225,4 +236,5 @@ QUERIES = {
     "op8_merge_dropout": (merge_dropout, None),
     "op9_repeated_spans": (repeated_spans, SPANS_SQL),
     "op10_license_digests": (license_digests, LICENSE_SQL),
+    "op11_context_mixing": (language_model, None),
 }
