@@ -7,10 +7,27 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import context_mixing, exact_dedup, language, licenses, mixing, near_dedup, pieces, quality, sharding, substrings, token_counts
+from webloom.llm import (
+    alignment,
+    context_mixing,
+    exact_dedup,
+    language,
+    licenses,
+    mixing,
+    near_dedup,
+    phrases,
+    pieces,
+    quality,
+    sharding,
+    substrings,
+    token_counts,
+)
+from webloom.llm.common import stored
 
 #: SentencePiece model file; the driver reads it.
 MODEL = os.environ.get("WEBLOOM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+#: Byte-level vocabulary with its merges, in JSON; the driver reads it.
+BYTE_MODEL = os.environ.get("WEBLOOM_BYTE_MODEL", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,6 +242,52 @@ def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", ~F.col("learned")).drop("learned")
 
 
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = stored(alignment.aligned(documents(spark, sf_dir), BYTE_MODEL, MODEL, digest=True), "token_links")
+    out = alignment.counted(links, alignment.pair_counts(links))
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+PHRASES_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_extract_all(text, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM d)),
+f1 AS (SELECT lang, w AS phrase, count(*) AS f FROM (SELECT lang, unnest(w) AS w FROM p) GROUP BY ALL),
+f2 AS (
+  SELECT lang, w[i] AS w1, w[i + 1] AS w2, w1 || ' ' || w2 AS phrase, count(*) AS f
+  FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM p) GROUP BY ALL),
+f3 AS (
+  SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS f
+  FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM p) GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT lang, f2.phrase, f2.f AS a, 1 AS k, x.f AS l, y.f AS r, 2 AS size
+  FROM f2 JOIN f1 x USING (lang) JOIN f1 y USING (lang) WHERE f2.f >= 10 AND x.phrase = w1 AND y.phrase = w2
+  UNION ALL
+  SELECT lang, f3.w1 || ' ' || f3.w2 || ' ' || w3, f3.f, 1, x.f, y.f, 3
+  FROM f3 JOIN f1 x USING (lang) JOIN f2 y USING (lang) WHERE x.phrase = f3.w1 AND y.phrase = f3.w2 || ' ' || w3
+  UNION ALL
+  SELECT lang, f3.w1 || ' ' || f3.w2 || ' ' || w3, f3.f, 2, x.f, y.f, 3
+  FROM f3 JOIN f2 x USING (lang) JOIN f1 y USING (lang) WHERE x.phrase = f3.w1 || ' ' || f3.w2 AND y.phrase = w3),
+scored AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner2 AS (
+  SELECT lang, phrase, max(f) AS longer
+  FROM (SELECT lang, w1 || ' ' || w2 AS phrase, f FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3) GROUP BY ALL),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN inner2 i ON best.size = 2 AND best.lang = i.lang AND best.phrase = i.phrase
+  WHERE NOT coalesce(100 * longer >= 50 * a, false)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op1_exact_dedup": (exact, EXACT_SQL),
     "op2_host_rules": (host_rules, HOST_SQL),
@@ -237,4 +300,6 @@ QUERIES = {
     "op9_repeated_spans": (repeated_spans, SPANS_SQL),
     "op10_license_digests": (license_digests, LICENSE_SQL),
     "op11_context_mixing": (language_model, None),
+    "op12_token_alignment": (token_alignment, None),
+    "op13_phrases": (collocations, PHRASES_SQL),
 }
