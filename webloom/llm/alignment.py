@@ -19,6 +19,7 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import picked
 
-#: Bytes of texts that are aligned together, and characters of a text that are tokenized together.
-_SLICE, _CHUNK = 1 << 22, 1 << 20
+#: Bytes of texts that are aligned together (a longer text by itself), and characters of a text that are tokenized together.
+_SLICE, _CHUNK = 1 << 20, 1 << 20
 _BORDER = re.compile(r"\S(?= .)", re.DOTALL)
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 SPACE_MARK = "▁"
@@ -42,20 +43,30 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(moved)}
 
 
+# Fixed value: where byte-level texts are split before any merge, unless the vocabulary's file has a pattern of its own.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Pair:
-    """A byte-level BPE vocabulary (A, in JSON) and a SentencePiece model (B), with the bytes of their tokens."""
+    """A byte-level BPE vocabulary (A, in JSON) and a SentencePiece model (B), with the bytes of their tokens.
+
+    The merges of A are in the order of the ids that they make, so the ids are all that its encoder needs.
+    Special tokens are left out of it: their strings in a text are plain text.
+    """
 
     def __init__(self, a_json: str, b_proto: bytes):
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(a_json)
-        self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = SentencePieceProcessor(model_proto=b_proto)
-        letters = _byte_letters()
-        a_bytes = [b""] * self.a.get_vocab_size()
-        for token, place in self.a.get_vocab().items():
-            a_bytes[place] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        letters, file = _byte_letters(), json.loads(a_json)
+        vocabulary = file["model"]["vocab"]
+        special = {token["content"]: token["id"] for token in file.get("added_tokens", [])}
+        a_bytes = [b""] * (max([*vocabulary.values(), *special.values()]) + 1)
+        for token, place in vocabulary.items():
+            a_bytes[place] = token.encode() if token in special else bytes(letters[c] for c in token)
+        ranks = {a_bytes[place]: place for token, place in vocabulary.items() if token not in special}
+        self.a = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         b_bytes = []
         for place in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(place)
@@ -81,12 +92,13 @@ class Pair:
             for part in _parts(text):
                 parts.append(part)
                 owners.append(place)
-        a = [x.ids for x in self.a.encode_batch([" " + part for part in parts], add_special_tokens=False)]
+        a = [self.a.encode_ordinary(" " + part) for part in parts]
         b = self.b.encode(parts, num_threads=1)
         sides = []
         for ids in (a, b):
-            sizes = np.bincount(np.array(owners, np.int64), np.fromiter(map(len, ids), np.int64, len(ids)), len(texts)).astype(np.int64)
-            flat = pa.concat_arrays([pa.array(x, pa.int32()) for x in ids]) if ids else pa.array([], pa.int32())
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            sizes = np.bincount(np.array(owners, np.int64), n, len(texts)).astype(np.int64)
+            flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())))
             sides.append(pa.ListArray.from_arrays(pa.array(_offsets(sizes), pa.int32()), flat))
         return sides
 
@@ -120,10 +132,10 @@ class Side:
         running = np.concatenate([[0], running]).astype(np.int64)
         self.stops = running[self.offsets]  # bytes up to each document
         self.ends = running[1:] - self.stops[self.parents.to_numpy()]
-        self.joined = b"".join(pieces.to_pylist())
+        self.joined = memoryview(pieces.buffers()[2] or b"")  # of a new array, so from its first byte on
 
     def of(self, place: int) -> bytes:
-        return self.joined[self.stops[place] : self.stops[place + 1]]
+        return bytes(self.joined[self.stops[place] : self.stops[place + 1]])
 
     def table(self, name: str) -> pa.Table:
         place = pa.array(np.arange(len(self.flat)))
@@ -161,10 +173,13 @@ def align(pair: Pair, texts: list[str | None], digest: bool = False) -> pa.Struc
         sides = [Side(ids, table) for ids, table in zip(encoded, pair.bytes_of)]
     a, b = sides
     links = a.table("a").join(b.table("b"), ["doc", "end"], join_type="inner", use_threads=False)
-    links = links.sort_by([("doc", "ascending"), ("end", "ascending"), ("a_place", "ascending"), ("b_place", "ascending")]).combine_chunks()
+    # places count on from document to document, so they give the order of documents and ends as well
+    order = np.lexsort([links["b_place"].to_numpy(), links["a_place"].to_numpy()])
+    links = links.take(pa.array(order)).combine_chunks()
     docs, ends = (links[name].to_numpy().astype(np.int64) for name in ("doc", "end"))
     width = int(max(a.ends.max(initial=0), b.ends.max(initial=0))) + 1
-    cuts = np.unique(docs * width + ends)
+    cuts = docs * width + ends
+    cuts = cuts[np.diff(cuts, prepend=-1) > 0]
     (a_groups, n_groups), (b_groups, _) = (side.groups(cuts, width, pair.names) for side in sides)
     groups = pc.binary_join_element_wise(a_groups, b_groups, "|")
     whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(_offsets(n_groups), pa.int32()), groups), ";")
