@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.operators import bitmaps as bm
 from webloom.operators import index as ix
+from webloom.operators import topk
 from webloom.plans.lineage import materialize, scratch_path, spread
 from webloom.sources.layout import write_index
 from webloom.sources.tables import RANKED_INDEX, read_table
@@ -57,6 +61,19 @@ class Index:
         write_index(ix.score_postings(self.postings, self.corpus, self.documents), scored)
         self.scored = read_table(spark, scored, RANKED_INDEX)
 
+    #: Pages of a block of score bounds; the test tables have too few for blocks of the usual size.
+    block = 64
+
+    @cached_property
+    def bounds(self) -> DataFrame:
+        return materialize(topk.block_bounds(self.scored, self.block), "bounds")
+
+    @cached_property
+    def bitmaps(self) -> DataFrame:
+        path = scratch_path(self.scored.sparkSession, "bitmaps")
+        bm.write_bitmaps(bm.page_bitmaps(self.postings), path)
+        return read_table(self.scored.sparkSession, path, bm.PAGE_BITMAPS)
+
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Index":
         """The index of a folder, built once per session and read by every query after that."""

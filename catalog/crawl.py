@@ -12,7 +12,8 @@ from webloom.operators import frontier as fr
 from webloom.operators import links as ln
 from webloom.operators import pages as pg
 from webloom.operators import robots as rb
-from webloom.plans.lineage import materialize
+from webloom.plans.lineage import materialize, scratch_path
+from webloom.sources import snapshots, tables
 
 AS_OF = "2024-01-01 12:00:06"
 
@@ -154,24 +155,46 @@ def _frontier_add(spark, sf_dir):
     return fr.frontier_add(links.select(F.col("target_url").alias("url")), visited, queued, c.SUFFIXES)
 
 
-def _domain_state_upsert(spark, sf_dir):
-    """Visits of users, on top of the state left by customers of the same number."""
-    known = c.table(spark, sf_dir, "customer").select(
+def known_domains(spark, sf_dir):
+    """The state that customers left."""
+    return c.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("domain"),
         F.col("c_acctbal").alias("crawl_delay"),
         F.to_timestamp(F.lit("2023-12-31 00:00:00")).alias("last_visit"),
     )
-    visits = c.table(spark, sf_dir, "events").select(
+
+
+def domain_visits(spark, sf_dir):
+    """Visits of users, who have the numbers of customers."""
+    return c.table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("domain"),
         F.col("value").alias("crawl_delay"),
         F.col("ts").cast("timestamp").alias("last_visit"),
         F.col("event_id").alias("seq"),
     )
+
+
+def _domain_state_upsert(spark, sf_dir):
+    known, visits = known_domains(spark, sf_dir), domain_visits(spark, sf_dir)
     kept = fr.domain_state_upsert(known, visits, keep_delay=True)
     replaced = fr.domain_state_upsert(known, visits)
     return kept.join(replaced.withColumnRenamed("crawl_delay", "new_delay").drop("last_visit"), "domain")
 
 
+def _domain_state_snapshot(spark, sf_dir):
+    """The same state as a keyed snapshot, brought up to date with three runs of visits, the second of them twice."""
+    path = scratch_path(spark, "domains")
+    visits = materialize(domain_visits(spark, sf_dir), "visits")
+    last = visits.agg(F.max("seq")).first()[0] or 0
+    part = F.floor(F.col("seq") * 3 / (last + 1))
+    first = materialize(known_domains(spark, sf_dir).withColumn("seq", F.lit(-1).cast("long")), "known")
+    parts = [first, *[visits.filter(part == k) for k in range(3)]]
+    for version in (0, 1, 2, 2, 3):
+        snapshots.upsert(spark, path, tables.VISITED_DOMAINS, "domain", parts[version], fr.domain_state_upsert, version)
+    snapshots.expire(spark, path)
+    return snapshots.read_snapshot(spark, path, tables.VISITED_DOMAINS)
+
+
 _LOG = """
 WITH log AS (
   SELECT page_id, url,
@@ -208,6 +231,13 @@ batch AS (SELECT * FROM ready ORDER BY id LIMIT 10),
 claimed AS (SELECT min(id) AS id, arg_min(url, id) AS url, domain FROM batch GROUP BY domain)
 """
 
+SQL_STATES = """
+WITH states AS (
+  SELECT c_custkey::VARCHAR AS domain, c_acctbal AS delay, TIMESTAMP '2023-12-31 00:00:00' AS visit, -1 AS seq
+  FROM customer
+  UNION ALL SELECT user_id::VARCHAR, value, ts, event_id FROM events)
+"""
+
 QUERIES = {
     "content_type_gate": (_content_type_gate, f"{_LOG} SELECT page_id, url FROM log WHERE is_page"),
     "meta_robots": (_meta_robots, f"{_LOG} SELECT page_id, meta AS directives FROM log"),
@@ -252,13 +282,14 @@ QUERIES = {
         CASE WHEN domain IN (SELECT domain FROM claimed) THEN TIMESTAMP '{AS_OF}' ELSE last_visit END AS last_visit
         FROM domains""",
     ),
+    "domain_state_snapshot": (
+        _domain_state_snapshot,
+        f"""{SQL_STATES} SELECT domain, arg_max(delay, seq) AS crawl_delay, arg_max(visit, seq) AS last_visit
+        FROM states GROUP BY domain""",
+    ),
     "domain_state_upsert": (
         _domain_state_upsert,
-        """WITH states AS (
-          SELECT c_custkey::VARCHAR AS domain, c_acctbal AS delay, TIMESTAMP '2023-12-31 00:00:00' AS visit, -1 AS seq
-          FROM customer
-          UNION ALL SELECT user_id::VARCHAR, value, ts, event_id FROM events)
-        SELECT domain, arg_min(delay, seq) AS crawl_delay, arg_max(delay, seq) AS new_delay,
+        f"""{SQL_STATES} SELECT domain, arg_min(delay, seq) AS crawl_delay, arg_max(delay, seq) AS new_delay,
                arg_max(visit, seq) AS last_visit FROM states GROUP BY domain""",
     ),
 }

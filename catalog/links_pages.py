@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import common as c
 from webloom.functions import urls
 from webloom.functions.keys import page_key, page_key_blake2b
+from webloom.operators import firsts
 from webloom.operators import links as ln
 from webloom.operators import pages as pg
 from webloom.plans.lineage import scratch_path, spread
@@ -23,6 +24,15 @@ def _page_layout(spark, sf_dir):
     return layout.write_pages(pages, scratch_path(spark, "pages"))
 
 
+def _page_lookup(spark, sf_dir):
+    """Every fiftieth page, by its key."""
+    pages = tables.scan_pages(spark, f"{sf_dir}/pages.parquet")
+    path = scratch_path(spark, "pages")
+    layout.write_pages(pages, path)
+    keys = pages.filter("page_id % 50 = 0").select(page_key(F.col("url")).alias("page_key"))
+    return layout.lookup_pages(keys, path).select("page_id", "url", F.md5("html").alias("html_md5"), "page_key")
+
+
 def _page_key(spark, sf_dir):
     return c.pages(spark, sf_dir).select("page_id", page_key(F.col("url")).alias("page_key"))
 
@@ -112,12 +122,19 @@ def _page_text(scope):
     return query
 
 
-def _parse_pages(spark, sf_dir):
-    """Each page twice under two ids, as after a second crawl; the first one wins."""
+def _crawled_again(spark, sf_dir):
+    """Each page twice under two ids, as after a second crawl, and the pages known before."""
     pages = c.pages(spark, sf_dir).withColumn("indexation", ~F.col("url").contains("/de/"))
     again = pages.withColumn("page_id", F.col("page_id") + 1_000_000)
-    known = pages.filter(F.col("url").contains("/es/"))
-    return pg.parse_pages(pages.unionByName(again), known)
+    return pages.unionByName(again), pages.filter(F.col("url").contains("/es/"))
+
+
+def _parse_pages(spark, sf_dir):
+    return pg.parse_pages(*_crawled_again(spark, sf_dir))
+
+
+def _parse_first_pages(spark, sf_dir):
+    return firsts.parse_first_pages(*_crawled_again(spark, sf_dir))
 
 
 def _parse_dedupe(spark, sf_dir):
@@ -192,12 +209,20 @@ def _text_sql(text: str) -> str:
     return f"SELECT page_id, trim(regexp_replace({text}, '\\s+', ' ', 'g')) AS text FROM pages"
 
 
+_PARSED = f"""SELECT page_id, url, {_TITLE} AS title FROM pages
+WHERE NOT contains(url, '/de/') AND NOT contains(url, '/es/')"""
+
 QUERIES = {
     "scan_pages": (_scan_pages, "SELECT page_id, url, length(html)::INTEGER AS n_chars FROM pages"),
     "page_layout": (
         _page_layout,
         "SELECT page_id, url, md5(url) AS page_key, substr(md5(url), 1, 2) AS prefix FROM pages",
     ),
+    "page_lookup": (
+        _page_lookup,
+        """SELECT page_id, url, md5(html) AS html_md5, md5(url) AS page_key FROM pages
+        WHERE url IN (SELECT url FROM pages WHERE page_id % 50 = 0)""",
+    ),
     "page_key": (_page_key, "SELECT page_id, md5(url) AS page_key FROM pages"),
     "page_key_blake2b": (_page_key_blake2b, None),
     "url_parts": (
@@ -231,11 +256,8 @@ QUERIES = {
     "page_title": (_page_title, f"SELECT page_id, {_TITLE} AS title FROM pages"),
     "page_text_literal": (_page_text("title_else_body"), _text_sql(_TITLE)),
     "page_text_full": (_page_text("title_and_body"), _text_sql(f"{_TITLE} || ' ' || {_TEXT}")),
-    "parse_pages": (
-        _parse_pages,
-        f"""SELECT page_id, url, {_TITLE} AS title FROM pages
-        WHERE NOT contains(url, '/de/') AND NOT contains(url, '/es/')""",
-    ),
+    "parse_pages": (_parse_pages, _PARSED),
+    "parse_first_pages": (_parse_first_pages, _PARSED),
     "parse_dedupe": (
         _parse_dedupe,
         f"""WITH {_PARTS} SELECT min(page_id) AS page_id, rtrim(scheme || '://' || netloc || path, '/') AS url

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from catalog import common as c
 from webloom.operators import rank as rk
+from webloom.operators import rerank
+from webloom.plans.lineage import materialize
 
 # Sweeps of the original; the bench also times ten.
 _STEPS = 100
@@ -16,12 +18,12 @@ def _url(column):
     return F.concat(F.lit("https://shop.example.com/part/"), F.col(column).cast("string"))
 
 
-def bought_next(spark, sf_dir):
+def bought_next(spark, sf_dir, *keep):
     """Edges from each part of an order to the next part of the same order."""
     in_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     lines = c.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     pairs = lines.withColumn("next", F.lead("l_partkey").over(in_order)).filter("next IS NOT NULL")
-    return pairs.select(_url("l_partkey").alias("source_url"), _url("next").alias("target_url"))
+    return pairs.select(_url("l_partkey").alias("source_url"), _url("next").alias("target_url"), *keep)
 
 
 def parts(spark, sf_dir):
@@ -38,6 +40,17 @@ def pagerank_ten(spark, sf_dir):
     return _pagerank(spark, sf_dir, iterations=10)
 
 
+def _pagerank_update(spark, sf_dir):
+    """Ranks of the graph without the orders of every hundredth number, brought up to date with them."""
+    pages = parts(spark, sf_dir)
+    edges = materialize(bought_next(spark, sf_dir, "l_orderkey"), "edges")
+    old, added = edges.filter("l_orderkey % 100 <> 0"), edges.filter("l_orderkey % 100 = 0")
+    n = pages.count()
+    ranks = rk.pagerank(pages, old, n, iterations=_STEPS)
+    updated = rerank.update_ranks(ranks, n, pages, n, old, added)
+    return updated.ranks.select("url", F.round("page_rank", 9).alias("page_rank"))
+
+
 def _pagerank_pages(spark, sf_dir):
     """Ranks on pages; only the parts of one brand count as indexed pages."""
     pages = parts(spark, sf_dir)
@@ -83,6 +96,11 @@ QUERIES = {
         _sql("true", f"""SELECT 'https://shop.example.com/part/' || url AS url, round(rank, 9) AS page_rank
         FROM step{_STEPS} WHERE rank IS NOT NULL"""),
     ),
+    "pagerank_update": (
+        _pagerank_update,
+        _sql("true", f"""SELECT 'https://shop.example.com/part/' || url AS url, round(rank, 9) AS page_rank
+        FROM step{_STEPS} WHERE rank IS NOT NULL"""),
+    ),
     "pagerank_pages": (
         _pagerank_pages,
         _sql("p_size > 10", f"""SELECT p_partkey AS page_id, 'https://shop.example.com/part/' || p_partkey AS url,

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import common as c
+from webloom.operators import bitmaps as bm
 from webloom.operators import search as se
+from webloom.operators import topk
 
 QUERY = "In the OF"
 TERMS = ["in", "the", "of"]
@@ -19,7 +21,7 @@ def _documents(spark, sf_dir):
     return c.Index.of(spark, sf_dir).documents
 
 
-def _sentences(spark, sf_dir):
+def sentences(spark, sf_dir):
     """Every sentence of the benchmark items as a query."""
     items = c.table(spark, sf_dir, "benchmark")
     split = items.select("item_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("pos", "query"))
@@ -36,17 +38,30 @@ def _and_pages_intersect(spark, sf_dir):
     return se.and_pages_intersect(_parts(spark, sf_dir)[0], TERMS)
 
 
+def _and_pages_bitmap(spark, sf_dir):
+    return bm.and_pages_bitmap(c.Index.of(spark, sf_dir).bitmaps, TERMS)
+
+
+def _bounded(k, strip_punct):
+    def query(spark, sf_dir):
+        index = c.Index.of(spark, sf_dir)
+        found = topk.search_batch_bounded(index.scored, index.bounds, sentences(spark, sf_dir), k, strip_punct, index.block)
+        return rounded(found, "score")
+
+    return query
+
+
 def _search_rows(spark, sf_dir):
     rows = se.search_rows(*_parts(spark, sf_dir), QUERY, n_results=-1)
-    return _rounded(rows, "score", "order_key")
+    return rounded(rows, "score", "order_key")
 
 
 def _search_pages(spark, sf_dir):
-    return _rounded(se.search_pages(*_parts(spark, sf_dir), QUERY, n_results=-1), "score")
+    return rounded(se.search_pages(*_parts(spark, sf_dir), QUERY, n_results=-1), "score")
 
 
 def search_top_pages(spark, sf_dir):
-    return _rounded(se.search_pages(*_parts(spark, sf_dir), QUERY), "score")
+    return rounded(se.search_pages(*_parts(spark, sf_dir), QUERY), "score")
 
 
 def _search_count(spark, sf_dir):
@@ -54,16 +69,16 @@ def _search_count(spark, sf_dir):
 
 
 def _search_batch(spark, sf_dir):
-    found = se.search_batch(*_parts(spark, sf_dir), _sentences(spark, sf_dir), k=20, strip_punct=True, documents=_documents(spark, sf_dir))
-    return _rounded(found, "score")
+    found = se.search_batch(*_parts(spark, sf_dir), sentences(spark, sf_dir), k=20, strip_punct=True, documents=_documents(spark, sf_dir))
+    return rounded(found, "score")
 
 
 def _search_topk_batch(spark, sf_dir):
-    return _rounded(se.search_batch(*_parts(spark, sf_dir), _sentences(spark, sf_dir), k=3, documents=_documents(spark, sf_dir)), "score")
+    return rounded(se.search_batch(*_parts(spark, sf_dir), sentences(spark, sf_dir), k=3, documents=_documents(spark, sf_dir)), "score")
 
 
 def _search_json(spark, sf_dir):
-    return se.answer_json(se.search_batch(*_parts(spark, sf_dir), _sentences(spark, sf_dir), k=5, strip_punct=True, documents=_documents(spark, sf_dir)))
+    return se.answer_json(se.search_batch(*_parts(spark, sf_dir), sentences(spark, sf_dir), k=5, strip_punct=True, documents=_documents(spark, sf_dir)))
 
 
 def _with_gaps(spark, sf_dir):
@@ -75,20 +90,20 @@ def _with_gaps(spark, sf_dir):
 
 
 def _search_pages_gaps(spark, sf_dir):
-    return _rounded(se.search_pages(_with_gaps(spark, sf_dir), None, QUERY, n_results=-1), "score")
+    return rounded(se.search_pages(_with_gaps(spark, sf_dir), None, QUERY, n_results=-1), "score")
 
 
 def _search_rows_gaps(spark, sf_dir):
-    return _rounded(se.search_rows(_with_gaps(spark, sf_dir), None, QUERY, n_results=-1), "score", "order_key")
+    return rounded(se.search_rows(_with_gaps(spark, sf_dir), None, QUERY, n_results=-1), "score", "order_key")
 
 
 def _search_batch_gaps(spark, sf_dir):
-    queries = _sentences(spark, sf_dir)
+    queries = sentences(spark, sf_dir)
     found = se.search_batch(_with_gaps(spark, sf_dir), None, queries, 20, True, documents=_documents(spark, sf_dir))
-    return _rounded(found, "score")
+    return rounded(found, "score")
 
 
-def _rounded(df, *columns):
+def rounded(df, *columns):
     for column in columns:
         df = df.withColumn(column, F.round(column, 6))
     return df
@@ -114,7 +129,7 @@ _GAPS = """gaps AS (
 """
 
 
-def _batch_sql(k: int, splitter: str, scored: str = "scored JOIN corpus USING (page_id)", more: str = "") -> str:
+def batch_sql(k: int, splitter: str, scored: str = "scored JOIN corpus USING (page_id)", more: str = "") -> str:
     return f"""{c.SQL_INDEX}, {more}
     split AS (SELECT item_id, regexp_split_to_array(text, '[.!?\\n]+') AS parts FROM benchmark),
     asked AS (SELECT item_id || '-' || (generate_subscripts(parts, 1) - 1) AS query_id, unnest(parts) AS query FROM split),
@@ -134,7 +149,7 @@ def _batch_sql(k: int, splitter: str, scored: str = "scored JOIN corpus USING (p
     """
 
 
-_ROUNDED = "SELECT query_id, rank, page_id, title, url, round(score, 6) AS score FROM answers"
+SQL_ROUNDED = "SELECT query_id, rank, page_id, title, url, round(score, 6) AS score FROM answers"
 
 QUERIES = {
     "and_pages": (_and_pages, f"{_HITS} SELECT page_id FROM matching"),
@@ -143,6 +158,9 @@ QUERIES = {
         f"{c.SQL_INDEX} "
         + " INTERSECT ".join(f"SELECT page_id FROM scored WHERE word = '{term}'" for term in TERMS),
     ),
+    "and_pages_bitmap": (_and_pages_bitmap, f"{_HITS} SELECT page_id FROM matching"),
+    "search_batch_bounds": (_bounded(20, True), batch_sql(20, c.SQL_SPLIT) + SQL_ROUNDED),
+    "search_topk_bounds": (_bounded(3, False), batch_sql(3, c.SQL_SPLIT_PLAIN) + SQL_ROUNDED),
     "search_rows": (
         _search_rows,
         f"""{_HITS} SELECT page_id, title, url,
@@ -164,7 +182,7 @@ QUERIES = {
         FROM gaps WHERE word IN {_IN_TERMS} AND page_id IN (SELECT page_id FROM matching)
         GROUP BY page_id, title, url, tf_idf, page_rank""",
     ),
-    "search_batch_gaps": (_search_batch_gaps, _batch_sql(20, c.SQL_SPLIT, "gaps", _GAPS + ",") + _ROUNDED),
+    "search_batch_gaps": (_search_batch_gaps, batch_sql(20, c.SQL_SPLIT, "gaps", _GAPS + ",") + SQL_ROUNDED),
     "search_pages": (_search_pages, f"{_HITS} SELECT page_id, title, url, round(score, 6) AS score FROM page_scores"),
     "search_top_pages": (
         search_top_pages,
@@ -177,11 +195,11 @@ QUERIES = {
         CASE count(*) WHEN 0 THEN 'No results' WHEN 1 THEN '1 result' ELSE count(*) || ' results' END AS message
         FROM page_scores""",
     ),
-    "search_batch": (_search_batch, _batch_sql(20, c.SQL_SPLIT) + _ROUNDED),
-    "search_topk_batch": (_search_topk_batch, _batch_sql(3, c.SQL_SPLIT_PLAIN) + _ROUNDED),
+    "search_batch": (_search_batch, batch_sql(20, c.SQL_SPLIT) + SQL_ROUNDED),
+    "search_topk_batch": (_search_topk_batch, batch_sql(3, c.SQL_SPLIT_PLAIN) + SQL_ROUNDED),
     "search_json": (
         _search_json,
-        _batch_sql(5, c.SQL_SPLIT)
+        batch_sql(5, c.SQL_SPLIT)
         + """SELECT query_id, '{"results":[' ||
         string_agg('{"title":"' || title || '","url":"' || url || '"}', ',' ORDER BY rank) || ']}' AS answer
         FROM answers GROUP BY query_id""",

@@ -8,7 +8,8 @@ from catalog import common as c
 from webloom.functions import text as tx
 from webloom.operators import index as ix
 from webloom.operators import pages as pg
-from webloom.plans.lineage import spread
+from webloom.plans.lineage import materialize, scratch_path, spread
+from webloom.sources import snapshots, tables
 
 
 def _tokens(spark, sf_dir):
@@ -51,6 +52,15 @@ def _term_documents_merge(spark, sf_dir):
     return ix.merge_term_documents(c.Index.of(spark, sf_dir).documents, added)
 
 
+def _term_documents_snapshot(spark, sf_dir):
+    """Counters as a keyed snapshot, brought up to date with four parts of the documents, the second of them twice."""
+    path, postings = scratch_path(spark, "counters"), c.Index.of(spark, sf_dir).postings
+    counted = [materialize(ix.term_documents(postings.filter(F.pmod("page_id", F.lit(4)) == k)), "counters") for k in range(4)]
+    for version in (0, 1, 1, 2, 3):
+        snapshots.upsert(spark, path, tables.TERM_DOCUMENTS, "word", counted[version], ix.merge_term_documents, version)
+    return snapshots.read_snapshot(spark, path, tables.TERM_DOCUMENTS)
+
+
 def _corpus_size(spark, sf_dir):
     return ix.corpus_size(c.corpus(spark, sf_dir))
 
@@ -121,6 +131,7 @@ QUERIES = {
         FROM freq JOIN corpus USING (page_id)""",
     ),
     "term_documents": (_term_documents, f"{c.SQL_INDEX} SELECT word, documents_number FROM df"),
+    "term_documents_snapshot": (_term_documents_snapshot, f"{c.SQL_INDEX} SELECT word, documents_number FROM df"),
     "term_documents_merge": (
         _term_documents_merge,
         f"""{c.SQL_INDEX},

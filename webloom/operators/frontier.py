@@ -83,13 +83,13 @@ def domain_state_upsert(known: DataFrame, visits: DataFrame, keep_delay: bool =
     """Domain state (domain, crawl_delay, last_visit) after visits (..., seq), the last one wins.
 
     With ``keep_delay`` a known domain, or else the first visit, keeps its delay; the visit time
-    always moves on. States are combined before the shuffle.
+    always moves on. Of visits with the same ``seq`` the later one counts, and then the longer delay, so
+    delay and time come from one row. States are combined before the shuffle.
     """
     columns = ["domain", "crawl_delay", "last_visit"]
     states = known.select(*columns, F.lit(-1).cast("long").alias("seq")).unionByName(
         visits.select(*columns, F.col("seq").cast("long").alias("seq"))
     )
-    delay = F.min_by("crawl_delay", "seq") if keep_delay else F.max_by("crawl_delay", "seq")
-    return states.groupBy("domain").agg(
-        delay.alias("crawl_delay"), F.max_by("last_visit", "seq").alias("last_visit")
-    )
+    place = F.struct("seq", "last_visit", "crawl_delay")
+    delay = F.min(place)["crawl_delay"] if keep_delay else F.max(place)["crawl_delay"]
+    return states.groupBy("domain").agg(delay.alias("crawl_delay"), F.max(place)["last_visit"].alias("last_visit"))

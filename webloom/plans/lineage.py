@@ -63,11 +63,30 @@ def discard(*frames: DataFrame) -> None:
         discard_folders(spark, *paths)
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The path and its file system, as Spark sees them. These calls need a classic session, not Spark Connect."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, system = _file_system(spark, path)
+    return system.exists(where)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, in order; none if it is not there."""
+    where, system = _file_system(spark, path)
+    if not system.exists(where):
+        return []
+    return sorted(found.getPath().getName() for found in system.listStatus(where) if found.isDirectory())
+
+
 def discard_folders(spark: SparkSession, *paths: str) -> None:
     """Delete folders through Spark's file systems; one that is not there is no fault."""
     for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        where, system = _file_system(spark, path)
+        system.delete(where, True)
 
 
 def _roots(plan) -> list:

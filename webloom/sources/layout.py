@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from webloom.functions.keys import key_prefix, page_key
 
+_STORED = "page_id BIGINT, url STRING, html STRING, page_key STRING, prefix STRING"
+
+#: Up to so many keys are filtered by the scan itself; more are joined.
+FEW_KEYS = 1000
+
 
 def write_pages(pages: DataFrame, path: str) -> DataFrame:
     """Store pages under the two-digit prefix of their key and return where each one is:
@@ -16,16 +21,33 @@ def write_pages(pages: DataFrame, path: str) -> DataFrame:
     files.
     """
     keyed = pages.withColumn("page_key", page_key(F.col("url"))).withColumn("prefix", key_prefix(F.col("page_key")))
-    keyed.repartitionByRange("page_key").write.partitionBy("prefix").parquet(path)
+    keyed.repartitionByRange("page_key").sortWithinPartitions("page_key").write.partitionBy("prefix").parquet(path)
     return page_manifest(pages.sparkSession, path)
 
 
 def page_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Where each stored page is: (page_id, url, page_key, prefix); the HTML is not read."""
-    stored = spark.read.schema("page_id BIGINT, url STRING, html STRING, page_key STRING, prefix STRING").parquet(path)
+    stored = spark.read.schema(_STORED).parquet(path)
     return stored.select("page_id", "url", "page_key", "prefix")
 
 
+def lookup_pages(keys: DataFrame, path: str) -> DataFrame:
+    """Stored pages (page_id, url, html, page_key, prefix) of a table of keys (page_key); other columns are not looked at.
+
+    The prefixes of the keys, 256 at most, become a partition filter, so folders without any of the keys are
+    neither listed for reading nor opened. Few keys (``FEW_KEYS``) are passed on to the scan as well, which then
+    skips row groups, as files are in key order. Keys that are not stored give no row.
+    """
+    spark = keys.sparkSession
+    wanted = keys.select("page_key").filter("page_key IS NOT NULL").distinct()
+    prefixes = [r[0] for r in wanted.select(key_prefix(F.col("page_key"))).distinct().collect()]
+    found = spark.read.schema(_STORED).parquet(path).filter(F.col("prefix").isin(prefixes))
+    few = [r[0] for r in wanted.limit(FEW_KEYS + 1).collect()]
+    if len(few) <= FEW_KEYS:
+        return found.filter(F.col("page_key").isin(few))
+    return found.join(wanted.withColumn("prefix", key_prefix(F.col("page_key"))), ["prefix", "page_key"], "left_semi").select(found.columns)
+
+
 def write_index(postings: DataFrame, path: str, mode: str = "error") -> None:
     """Store postings in word order.
 
