@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from test_llm_rows import frame, vocabulary
 
 from webloom.llm import phrases
+from webloom.plans import bloom
 
 
 def pieces(text):
@@ -96,14 +97,31 @@ def test_repeated_passages_are_one_row(spark):
     assert found.filter("n = 50").count() >= n_chunks - 2 > 0 and found.count() <= n_chunks + 60
 
 
-def test_pairs_that_pass_by_mistake_change_nothing(spark, monkeypatch):
-    """With a filter that lets everything pass the result is the same."""
+def test_phrases_that_pass_by_mistake_change_nothing(spark, monkeypatch):
+    """With filters that let everything pass the result is the same."""
     rows = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(documents(5, 40))])
     want = sorted(map(tuple, phrases.collocations(rows, least=4).collect()))
-    monkeypatch.setattr(phrases, "_frequent_pairs", lambda *_: b"\xff" * (1 << (phrases._FILTER - 3)))
+    monkeypatch.setattr(phrases, "_frequent", lambda *_: b"\xff" * (1 << (bloom.BITS - 3)))
     assert sorted(map(tuple, phrases.collocations(rows, least=4).collect())) == want and want
 
 
+def test_packed_hashes():
+    draw = random.Random(2)
+    hashes = np.array([draw.getrandbits(48) for _ in range(3000)] + [0, 0, 1, (1 << 48) - 1, 1 << 33], np.uint64)
+    n = np.arange(1, len(hashes) + 1)
+    for ranges in (1, 16, 1024):
+        got = {}
+        for row in phrases._packed(hashes, n, ranges).to_pylist():
+            values, counts = phrases._unpacked(row["hashes"], row["counts"])
+            assert all(int(v) * ranges >> 48 == row["range"] for v in values)
+            got.update(zip(values.tolist(), counts.tolist()))
+        want = Counter()
+        for h, c in zip(hashes.tolist(), n.tolist()):
+            want[h] += c
+        assert got == want
+    assert phrases._packed(hashes[:0], n[:0], 16).num_rows == 0
+
+
 def test_scores_beyond_64_bits(spark):
     a = 3_000_000_000_000_000
     row = spark.createDataFrame([(a, a + 1, a + 7)], "a LONG, l LONG, r LONG")

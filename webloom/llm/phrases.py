@@ -7,25 +7,30 @@ A text is a sequence of words with a mark at every break that no phrase crosses,
    the dictionary; repeated passages become one row each.
 2. Phrases are counted inside the distinct chunks, weighed by frequency. A phrase belongs to the chunk in
    which it starts before the last two words, so what two chunks share is counted once.
-3. Pairs are counted by hash first. Only pairs that reach the least count, and triples made of two such
-   pairs, are then counted by their words, for a triple is never more frequent than its pairs. A filter of
-   fixed size tells them apart; a pair that passes by mistake only costs a row.
+3. Pairs are counted by hash first, and then triples made of two pairs that reach the least count, for a
+   triple is never more frequent than its pairs. Sorted hashes are sent as differences, a few bytes each.
+4. Pairs and triples whose hashes reach the least count are counted by their words. Filters of fixed size
+   tell them apart; a phrase that passes by mistake only costs a row.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.common import picked, stored
-from webloom.llm.shingles import joined
+from webloom.llm.shingles import joined, mixed
+from webloom.plans import bloom
+from webloom.plans.lineage import discard
 
 LEAST, TOP, SCALE, INSIDE_PERCENT = 10, 2000, 1_000_000, 50
 UNKNOWN = "und"
@@ -37,8 +42,8 @@ _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_BREAKS + b"\t", BREAK * len(_BREAKS) + b" ")
 _PART = 1 << 20
 _WORDS = 1 << 20
-#: Bits of the filter (a power of two), and its blocks, each of which is made in one task.
-_FILTER, _BLOCK = 26, 20
+#: Bits of the hashes that are counted; words of the corpus for each range of hashes that is counted by itself.
+_BITS, _RANGE = 48, 1 << 20
 _SALTS = 32
 
 
@@ -156,11 +161,12 @@ class Chunks:
         following = np.append(self.is_word[1:], False) & (at + 1 < ends)
         self.pairs = self.is_word & following
 
-    def pair_hashes(self) -> np.ndarray:
-        """Hash of language and pair at every place."""
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """48-bit hashes of the language with the pair, and with the triple, that starts at every place."""
         words = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)[self.ids]
         langs = np.array([xxhash.xxh64_intdigest(x) for x in self.langs], np.uint64)[self.lang]
-        return joined(joined(words, np.roll(words, -1)), langs)
+        pairs = joined(joined(words, np.roll(words, -1)), langs)
+        return pairs >> np.uint64(64 - _BITS), joined(pairs, np.roll(words, -2)) >> np.uint64(64 - _BITS)
 
     def sums(self, where: np.ndarray, length: int) -> tuple[list[np.ndarray], np.ndarray]:
         """Distinct (language, words) of the phrases of a length that start at some places, and their counts."""
@@ -192,85 +198,123 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunks]:
         yield Chunks(langs, parts, np.array(n, np.int64))
 
 
-PHRASE = "lang STRING, words ARRAY<BINARY>, n LONG"
+COUNTS = "lang STRING, phrase BINARY, n LONG, range INT, hashes BINARY, counts BINARY"
+_COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64()), ("range", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _COUNTS], schema=_COUNTS)
 
 
 def _phrases(found: Chunks, where: np.ndarray, length: int) -> pa.RecordBatch:
-    """Rows (lang, words, n) of the phrases that start at some places."""
+    """Rows (lang, phrase, n) of the phrases that start at some places; a phrase is its words, joined by spaces."""
     columns, counts = found.sums(where, length)
-    vocabulary = pa.array(found.words, pa.binary())
-    flat = np.stack(columns[1:], 1).ravel()
-    words = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * length, pa.int32()), vocabulary.take(pa.array(flat)))
-    return pa.RecordBatch.from_arrays([pa.array(found.langs, pa.string()).take(pa.array(columns[0])), words, pa.array(counts)], ["lang", "words", "n"])
+    phrase = pa.array(found.words, pa.binary()).take(pa.array(columns[1]))
+    if length > 1:
+        flat = pa.array(found.words, pa.binary()).take(pa.array(np.stack(columns[1:], 1).ravel()))
+        phrase = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * length, pa.int32()), flat), b" ")
+    return _rows(lang=pa.array(found.langs, pa.string()).take(pa.array(columns[0])), phrase=phrase.cast(pa.binary()), n=pa.array(counts))
+
+
+def _packed(hashes: np.ndarray, n: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Rows (range, hashes, counts): sums of counts by hash, each range of hashes as differences of 48 bits, low parts first."""
+    values, inverse = np.unique(hashes, return_inverse=True)
+    counts = np.zeros(len(values), np.int64)
+    np.add.at(counts, inverse, n)
+    which = (values >> np.uint64(_BITS - ranges.bit_length() + 1)).astype(np.int64)
+    borders = [*np.flatnonzero(np.diff(which, prepend=-1)).tolist(), len(values)]
+    out: list[tuple] = []
+    for a, b in zip(borders, borders[1:]):
+        steps = np.diff(values[a:b], prepend=np.uint64(0))
+        low, high = steps.astype("<u4").tobytes(), zlib.compress((steps >> np.uint64(32)).astype("<u2").tobytes(), 1)
+        out.append((int(which[a]), len(high).to_bytes(4, "little") + high + low, zlib.compress(counts[a:b].astype("<i8").tobytes(), 1)))
+    columns = list(zip(*out)) or [[], [], []]
+    return _rows(range=pa.array(columns[0], pa.int32()), hashes=pa.array(columns[1], pa.binary()), counts=pa.array(columns[2], pa.binary()))
+
+
+def _unpacked(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = int.from_bytes(hashes[:4], "little")
+    high = np.frombuffer(zlib.decompress(hashes[4 : 4 + size]), "<u2").astype(np.uint64)
+    low = np.frombuffer(hashes[4 + size :], "<u4").astype(np.uint64)
+    return np.cumsum(low | (high << np.uint64(32)), dtype=np.uint64), np.frombuffer(zlib.decompress(counts), "<i8")
+
+
+def _count_first(ranges: int) -> Callable:
+    """Counts of words by themselves, and of pairs by hash."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _gathered(batches):
+            yield _phrases(found, np.flatnonzero(found.starts), 1)
+            where = found.starts & found.pairs
+            yield _packed(found.hashes()[0][where], found.n[where], ranges)
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for found in _gathered(batches):
-        yield _phrases(found, np.flatnonzero(found.starts), 1)
+    return run
 
 
-def _count_pair_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for found in _gathered(batches):
-        where = np.flatnonzero(found.starts & found.pairs)
-        hashes, inverse = np.unique(found.pair_hashes()[where], return_inverse=True)
-        counts = np.zeros(len(hashes), np.int64)
-        np.add.at(counts, inverse, found.n[where])
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["hash", "n"])
+def _frequent_places(found: Chunks, pair_filter: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where pairs that pass start, where two such pairs follow each other, and the hashes of triples."""
+    pair_hashes, triple_hashes = found.hashes()
+    pairs = np.zeros(len(found.ids), bool)
+    at = np.flatnonzero(found.pairs)
+    pairs[at] = bloom.passes(pair_filter, mixed(pair_hashes[at]))
+    return found.starts & pairs, found.starts & pairs & np.append(pairs[1:], False), triple_hashes
 
 
-def _filter_places(hashes: np.ndarray) -> list[np.ndarray]:
-    """Three bits of the filter for each hash, all in the block that its highest bits name."""
-    block = (hashes >> np.uint64(64 - _FILTER + _BLOCK)) << np.uint64(_BLOCK)
-    return [block | ((hashes >> np.uint64(shift)) & np.uint64((1 << _BLOCK) - 1)) for shift in (0, 19, 38)]
+def _count_triples(ranges: int, pair_filter) -> Callable:
+    """Counts by hash of the triples of two pairs that pass."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _gathered(batches):
+            _, triples, hashes = _frequent_places(found, pair_filter.value)
+            yield _packed(hashes[triples], found.n[triples], ranges)
 
-def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed bits of the blocks of the filter that have any."""
-    blocks: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for places in _filter_places(batch.column("hash").to_numpy().view(np.uint64)):
-            which = (places >> np.uint64(_BLOCK)).astype(np.int64)
-            for block in np.unique(which).tolist():
-                bits = blocks.setdefault(block, np.zeros(1 << _BLOCK, bool))
-                bits[(places[which == block] & np.uint64((1 << _BLOCK) - 1)).astype(np.int64)] = True
-    packed = [zlib.compress(np.packbits(bits).tobytes(), 1) for bits in blocks.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], ["block", "bits"])
-
-
-def _frequent_pairs(chunk_rows: DataFrame, least: int) -> bytes:
-    """The filter of the pairs that reach the least count. It has a fixed size and passes through the driver."""
-    hashes = chunk_rows.mapInArrow(_count_pair_hashes, "hash LONG, n LONG")
-    frequent = hashes.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("hash")
-    blocks = 1 << (_FILTER - _BLOCK)
-    dealt = frequent.withColumn("block", F.shiftrightunsigned("hash", 64 - _FILTER + _BLOCK)).repartition(blocks, "block")
-    out = bytearray(1 << (_FILTER - 3))
-    for block, bits in dealt.select("hash").mapInArrow(_filter_bits, "block INT, bits BINARY").collect():
-        size = 1 << (_BLOCK - 3)
-        out[block * size : (block + 1) * size] = zlib.decompress(bits)
-    return bytes(out)
-
-
-def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    out = np.ones(len(hashes), bool)
-    for places in _filter_places(hashes):
-        places = places.astype(np.int64)
-        out &= (bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
-    return out
-
-
-def _count_phrases(shared) -> Callable:
-    """Counts of the pairs that pass the filter, and of triples of two such pairs."""
+    return run
+
+
+def _count_phrases(pair_filter, triple_filter) -> Callable:
+    """Counts of the pairs, and of the triples, that pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
         for found in _gathered(batches):
-            pairs = found.pairs & _passes(bits, found.pair_hashes())
-            yield _phrases(found, np.flatnonzero(found.starts & pairs), 2)
-            yield _phrases(found, np.flatnonzero(found.starts & pairs & np.append(pairs[1:], False)), 3)
+            pairs, triples, hashes = _frequent_places(found, pair_filter.value)
+            yield _phrases(found, np.flatnonzero(pairs), 2)
+            at = np.flatnonzero(triples)
+            yield _phrases(found, at[bloom.passes(triple_filter.value, mixed(hashes[at]))], 3)
 
     return run
 
 
+def _frequent(packed: DataFrame, ranges: int, least: int) -> bytes:
+    """The filter of the hashes that reach the least count. It has a fixed size and passes through the driver.
+
+    A range of hashes is counted in one task; there are as many as the size of the corpus asks for.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                parts = kept.setdefault(row["range"], [])
+                parts.append(_unpacked(row["hashes"], row["counts"]))
+                if sum(len(h) for h, _ in parts) > 4 * _RANGE:
+                    kept[row["range"]] = [_added(parts)]
+        for parts in kept.values():
+            hashes, counts = _added(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(hashes[counts >= least]).view(np.int64))], ["hash"])
+
+    dealt = packed.select("range", "hashes", "counts").repartition(ranges, "range")
+    return bloom.build(dealt.mapInArrow(run, "hash LONG"))
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by hash."""
+    hashes, inverse = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+    counts = np.zeros(len(hashes), np.int64)
+    np.add.at(counts, inverse, np.concatenate([c for _, c in parts]))
+    return hashes, counts
+
+
 def _score(a: Column, left: Column, right: Column, scale: int) -> Column:
     """floor(scale * a * a / (left * right)), exact for counts below 10 ** 16."""
     a, left, right = (x.cast("decimal(16, 0)") for x in (a, left, right))
@@ -302,11 +346,19 @@ def collocations(
     texts = picked(docs, lang=lang_col, text=text_col)
     texts = texts.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("text"))
     rows = dictionary(texts)
-    shared = rows.sparkSession.sparkContext.broadcast(_frequent_pairs(rows, least))
-    words = rows.mapInArrow(_count_words, PHRASE).select("lang", F.col("words")[0].alias("word"), "n")
-    words = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "phrase_words")
-    found = rows.mapInArrow(_count_phrases(shared), PHRASE).groupBy("lang", "words").agg(F.sum("n").alias("a"))
-    found = stored(found.filter(F.col("a") >= least), "phrase_candidates")
+    size = rows.agg(F.sum(F.octet_length("chunk"))).first()[0] or 0
+    ranges = 1 << max(4, math.ceil(math.log2(size / (6 * _RANGE) + 1)))
+    share = rows.sparkSession.sparkContext.broadcast
+    counted = stored(rows.mapInArrow(_count_first(ranges), COUNTS), "phrase_counts")
+    pairs = share(_frequent(counted.filter("range IS NOT NULL"), ranges, least))
+    triples = share(_frequent(rows.mapInArrow(_count_triples(ranges, pairs), COUNTS), ranges, least))
+    words = counted.filter("phrase IS NOT NULL").groupBy("lang", F.col("phrase").alias("word")).agg(F.sum("n").alias("n"))
+    words = stored(words, "phrase_words")
+    found = rows.mapInArrow(_count_phrases(pairs, triples), COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+    found = found.filter(F.col("a") >= least).select("lang", F.split(F.col("phrase").cast("string"), " ").alias("words"), "a")
+    found = stored(found, "phrase_candidates")
+    discard(rows, counted)
+    words = words.withColumn("word", F.col("word").cast("string"))
     return _ranked(_kept(_scored(found, words, scale), found, inside_percent), words, top)
 
 
@@ -335,7 +387,7 @@ def _kept(scored: DataFrame, found: DataFrame, inside_percent: int) -> DataFrame
 
 def _ranked(kept: DataFrame, words: DataFrame, top: int) -> DataFrame:
     """The first of each language. They are found in slices first, so that no task sorts all of one."""
-    phrase = F.concat_ws(" ", F.transform("words", lambda w: w.cast("string")))
+    phrase = F.array_join("words", " ")
     named = kept.select("lang", phrase.alias("phrase"), "a", "l", "r", "score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     sliced = named.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(_SALTS)))
