@@ -31,6 +31,8 @@ from webloom.llm.common import picked
 
 #: Bytes of texts that are aligned together (a longer text by itself), and characters of a text that are tokenized together.
 _SLICE, _CHUNK = 1 << 20, 1 << 20
+#: Links that are looked up together.
+_LINKS = 1 << 19
 _BORDER = re.compile(r"\S(?= .)", re.DOTALL)
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 SPACE_MARK = "▁"
@@ -158,7 +160,7 @@ FIELDS = [
     ("a", pa.list_(pa.int32())),
     ("b", pa.list_(pa.int32())),
 ]
-_STRUCT = "n_a LONG, n_b LONG, n_groups LONG, groups STRING, a ARRAY<INT>, b ARRAY<INT>"
+_ALIGNED = "n_a LONG, n_b LONG, n_groups LONG, groups STRING, a ARRAY<INT>, b ARRAY<INT>"
 
 
 def align(pair: Pair, texts: list[str | None], digest: bool = False) -> pa.StructArray:
@@ -202,12 +204,12 @@ def _pair(shared) -> Pair:
     return _BUILT[which]
 
 
-def _slices(texts: pa.Array) -> Iterator[list[str | None]]:
-    """Texts of about ``_SLICE`` bytes at a time."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // _SLICE
-    for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(start, number) of rows whose sizes add up to about so much at a time (a larger row by itself)."""
+    place = np.cumsum(sizes) // most
+    for part in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(place)) + 1):
         if len(part):
-            yield texts.slice(part[0], len(part)).to_pylist()
+            yield int(part[0]), len(part)
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -227,28 +229,37 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     with open(b_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast((a_json, file.read()))
 
-    @F.arrow_udf(_STRUCT)
-    def run(texts: pa.Array) -> pa.Array:
-        parts = [align(_pair(shared), part, digest) for part in _slices(texts)]
-        kind = pa.struct([pa.field(name, kind) for name, kind in FIELDS])
-        return pa.concat_arrays(parts) if parts else pa.array([], kind)
-
     rows = picked(docs, doc_id=id_col, text=text_col)
-    return rows.select("doc_id", run("text").alias("r")).select("doc_id", "r.*")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = _pair(shared)
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at, n in _slices(sizes, _SLICE):
+                found = align(pair, batch.column("text").slice(at, n).to_pylist(), digest)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), *found.flatten()], ["doc_id", *[name for name, _ in FIELDS]])
+                pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_ALIGNED}")
 
-def _flat(batch: pa.RecordBatch) -> pa.Table:
-    """The links of a batch with the row they are in."""
-    doc = pc.list_parent_indices(batch.column("a"))
-    return pa.table({"doc": doc, "a": pc.list_flatten(batch.column("a")), "b": pc.list_flatten(batch.column("b"))})
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Table]]:
+    """Rows of a bounded number of links at a time, and their links with the row they are in."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column("a")).to_numpy(zero_copy_only=False).astype(np.int64)
+        for at, n in _slices(sizes, _LINKS):
+            part = batch.slice(at, n)
+            doc = pc.list_parent_indices(part.column("a"))
+            yield part, pa.table({"doc": doc, "a": pc.list_flatten(part.column("a")), "b": pc.list_flatten(part.column("b"))})
+            pa.default_memory_pool().release_unused()
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
     """(a, b, n): in how many links two ids are. Counts of a batch are made in Arrow and added up by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = _flat(batch).group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")])
+        for _, found in _links(batches):
+            counts = found.group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")])
             yield from counts.rename_columns({"count_all": "n"}).select(["a", "b", "n"]).to_batches()
 
     return links.select("a", "b").mapInArrow(run, "a INT, b INT, n LONG").groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -258,14 +269,14 @@ def _look_up(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with pa.ipc.open_stream(shared.value) as reader:
             counts = reader.read_all()
-        for batch in batches:
-            found = _flat(batch).join(counts, ["a", "b"], join_type="inner", use_threads=False)
+        for part, links in _links(batches):
+            found = links.join(counts, ["a", "b"], join_type="inner", use_threads=False)
             sums = found.group_by("doc", use_threads=False).aggregate([("best", "sum"), ("n", "sum")])
-            best, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            best, total = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
             docs = sums["doc"].to_numpy()
             best[docs], total[docs] = sums["best_sum"].to_numpy(), sums["n_sum"].to_numpy()
-            n_links = pc.cast(pc.list_value_length(batch.column("a")), pa.int64())
-            kept = [batch.column(name) for name in _KEPT]
+            n_links = pc.cast(pc.list_value_length(part.column("a")), pa.int64())
+            kept = [part.column(name) for name in _KEPT]
             yield pa.RecordBatch.from_arrays([*kept, n_links, pa.array(best), pa.array(total)], [*_KEPT, "n_links", "n_best", "count_sum"])
 
     return run
