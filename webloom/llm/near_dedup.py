@@ -3,7 +3,7 @@
 1. A text's word shingles are hashed once. The hashes fall in bins; the smallest of each bin is the
    signature, and an empty bin borrows from bins that a fixed sequence of probes names (optimal
    densification).
-2. Documents with equal shingle sets are one class from then on, named by its smallest id.
+2. Documents with equal shingle sets are one class from then on, with a number of its own.
 3. Runs of signature bins are bucket keys. In every bucket the smallest class is the hub, and edges go
    from hubs to members only.
 4. Edges whose signatures are far apart go, the others are confirmed on full sets. Confirmed ones are
@@ -17,7 +17,7 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from webloom.llm.common import column, free_name, packed, picked, stored, temporary_tables
+from webloom.llm.common import column, free_name, picked, stored, temporary_tables
 from webloom.llm.shingles import mixed, runs, word_hashes
+from webloom.plans import bloom
 
 SHINGLE, PERCENT = 5, 80
 #: Bands and bins of a band. A pair at 0.8 misses all bands with a probability of 1.5e-5, one at 0.85 of 1e-7.
@@ -35,8 +36,8 @@ BINS = BANDS * ROWS
 #: A true pair at 0.8 has fewer equal bins than this (five standard deviations) with a probability of 3e-7.
 LEAST_EQUAL = int(0.8 * BINS - 5 * (0.16 * BINS) ** 0.5)
 
-#: Shingles of a block of members that stars have left open.
-BLOCK = 1 << 16
+#: Shingles, and members, of a block of those that stars have left open.
+BLOCK, BLOCK_ROWS = 1 << 16, 256
 
 _PROBES = (mixed(np.arange(BINS * 256, dtype=np.uint64).reshape(256, BINS) + np.uint64(1)) % np.uint64(BINS)).astype(np.int64)
 
@@ -98,7 +99,7 @@ def _sketched(text: Column, n: int) -> Column:
                 digests.append(None), bands.append(None), bits.append(None)
                 continue
             values = signature(shingles)
-            digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+            digests.append(_set_id(shingles))
             bands.append(_bands(values).view(np.int64))
             bits.append(mixed(values).astype(np.uint8).tobytes())
         columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
@@ -107,10 +108,20 @@ def _sketched(text: Column, n: int) -> Column:
     return sketch(text)
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def _full_sets(shipped: pa.Array, lengths: pa.Array) -> pa.Array:
+_FULL = T.StructType([T.StructField("set_id", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+
+
+def _set_id(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
+@F.arrow_udf(_FULL)
+def _full_sets(texts: pa.Array, lengths: pa.Array) -> pa.Array:
+    """Digest and full set of each text; of runs of ``lengths`` words."""
     n = lengths[0].as_py() if len(lengths) else 0
-    return pa.array([shingle_set(zlib.decompress(text.as_py()), n).view(np.int64) for text in shipped], pa.list_(pa.int64()))
+    sets = [shingle_set((text.as_py() or "").encode(), n) for text in texts]
+    columns = [pa.array(list(map(_set_id, sets)), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+    return pa.StructArray.from_arrays(columns, _FULL.names)
 
 
 @F.arrow_udf(T.IntegerType())
@@ -123,9 +134,10 @@ def _equal_bins(left: pa.Array, right: pa.Array) -> pa.Array:
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of (a, b): label is the smallest node that can be reached.
 
-    Large-star and small-star steps in turn, each stored, until all that is left are stars.
+    Every task first replaces its edges by stars. Large-star and small-star steps in turn, each stored,
+    follow until all that is left are stars.
     """
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    edges = links.select("a", "b").filter("a <> b").mapInArrow(_contracted, "a LONG, b LONG").distinct()
     edges = stored(edges, "cc_edges")
     while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -134,6 +146,24 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (node, smallest node that the edges of a batch connect it to) in place of the edges of a batch."""
+    for batch in batches:
+        parent: dict[int, int] = {}
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            low, high = sorted((_root(parent, a), _root(parent, b)))
+            parent[high] = low
+        stars = [(x, root) for x in parent if (root := _root(parent, x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in stars], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _root(parent: dict[int, int], x: int) -> int:
+    parent.setdefault(x, x)
+    while parent[x] != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
 def _are_stars(edges: DataFrame) -> bool:
     """Every node has one edge to a smaller node, or edges to larger ones only."""
     ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up"))
@@ -159,114 +189,127 @@ def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
 def _attached(edges: DataFrame, table: DataFrame, value: str) -> DataFrame:
     """Edges with a value of both ends, as ``value_a`` and ``value_b``."""
     for key in ("b", "a"):
-        edges = edges.join(table.select(F.col("rep").alias(key), F.col(value).alias(f"{value}_{key}")), key)
+        edges = edges.join(table.select(F.col("node").alias(key), F.col(value).alias(f"{value}_{key}")), key)
     return edges
 
 
-def _confirmed(edges: DataFrame, bits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges whose full sets have the similarity; stored."""
-    likely = _attached(edges, bits, "bits").filter(_equal_bins("bits_a", "bits_b") >= LEAST_EQUAL).select("a", "b")
-    whole = _attached(likely, sets, "shingles")
+def _confirmed(edges: DataFrame, busy: DataFrame, percent: int) -> DataFrame:
+    """The edges whose full sets have the similarity; stored. ``busy`` has one row per node."""
+    likely = _attached(edges, busy, "bits").filter(_equal_bins("bits_a", "bits_b") >= LEAST_EQUAL).select("a", "b")
+    whole = _attached(likely, busy, "shingles")
     common = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
     union = F.size("shingles_a") + F.size("shingles_b") - common
     return stored(whole.filter(100 * common >= percent * union).select("a", "b"), "near_links")
 
 
-def _linked(sketch: DataFrame, texts: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Classes (set_id, rep) and (node, label) of those that are linked to others.
+def _classes(sketch: DataFrame) -> DataFrame:
+    """One stored row per class of equal sets: (node, set_id, rep, bands, bits). Copies are combined in the task that read them."""
+    named = sketch.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
+    classes = named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    return stored(stored(classes, "near_classes").withColumn("node", F.monotonically_increasing_id()), "near_nodes")
+
+
+def _linked(classes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, label) of the classes that are linked to others.
 
     All joins read stored tables through plain shuffles, so AQE can split a class or a bucket of many rows.
     """
-    named = sketch.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    classes = stored(named.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "near_classes")
-    firsts = named.join(classes.select(F.col("rep").alias("doc_id"), "set_id"), ["doc_id", "set_id"], "left_semi")
-    firsts = stored(firsts.select(F.col("doc_id").alias("rep"), "bands", "bits"), "near_reps")
-    banded = firsts.select(F.explode("bands").alias("bucket"), "rep")
-    shared = stored(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "near_buckets")
-    members = stored(banded.join(shared, "bucket"), "near_members")
-    busy = stored(members.select("rep").distinct(), "near_busy")
-    bits = stored(firsts.join(busy, "rep", "left_semi").select("rep", "bits"), "near_bits")
-    shipped = texts.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), packed("text").alias("packed"))
-    sets = stored(shipped.join(busy, "rep", "left_semi").select("rep", _full_sets("packed", F.lit(n)).alias("shingles")), "near_sets")
-    hubs = stored(members.groupBy("bucket").agg(F.min("rep").alias("hub")), "near_hubs")
-    links = _confirmed(_star_edges(members, hubs), bits, sets, percent)
+    banded = classes.select(F.explode("bands").alias("bucket"), "node")
+    buckets = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    buckets = stored(buckets.select("bucket", "hub"), "near_buckets")
+    members = stored(banded.join(buckets, "bucket"), "near_members")
+    busy = _busy(members, classes, texts, n)
+    links = _confirmed(_star_edges(members), busy, percent)
     labels = components(links)
-    rest = _still_open(members, hubs, labels)
-    if not rest.isEmpty():
-        more = stored(_block_links(rest, bits, sets, percent), "near_block_links")
-        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = components(known.unionByName(more))
-    return classes, labels
+    rest, several = _still_open(members, labels, busy)
+    if several.isEmpty():
+        return labels
+    more = stored(_block_links(rest, several, busy, percent), "near_block_links")
+    if more.isEmpty():
+        return labels
+    known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return components(known.unionByName(more))
 
 
-def _star_edges(members: DataFrame, hubs: DataFrame) -> DataFrame:
+def _busy(members: DataFrame, classes: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Stored (node, bits, shingles, n_shingles) of the classes that share a bucket.
+
+    A class's full set is made from the text of its smallest id. A filter of those ids keeps the other texts
+    out of the shuffle.
+    """
+    nodes = stored(members.select("node").distinct().join(classes.select("node", "set_id", "rep", "bits"), "node"), "near_busy")
+    ids = bloom.build(nodes.select(F.xxhash64("rep").alias("hash")))
+    wanted = texts.filter("doc_id IS NOT NULL").filter(bloom.may_hold(ids, F.xxhash64("doc_id"), texts))
+    # rows of one id may have different texts: a class takes one that has its set
+    own = wanted.select(F.col("doc_id").alias("rep"), _full_sets("text", F.lit(n)).alias("s")).select("rep", "s.*")
+    own = own.filter("set_id IS NOT NULL").groupBy("rep", "set_id").agg(F.first("shingles").alias("shingles"))
+    made = stored(own, "near_full_sets")
+    return stored(nodes.join(made, ["rep", "set_id"]).select("node", "bits", "shingles", F.size("shingles").alias("size")), "near_sets")
+
+
+def _star_edges(members: DataFrame) -> DataFrame:
     """Edges (a, b) from the hub of every bucket to its members."""
-    edges = members.join(hubs, "bucket").filter("hub <> rep")
-    return edges.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+    return members.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _still_open(members: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members that are no hubs, with their labels, of the buckets that have several labels left; stored."""
-    rest = members.join(hubs.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti")
-    rest = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    rest = stored(rest.select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "near_rest")
-    spread = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    several = stored(spread.filter("low < high").select("bucket"), "near_open")
-    return stored(rest.join(several, "bucket", "left_semi"), "near_open_members")
+def _still_open(members: DataFrame, labels: DataFrame, busy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members that are no hubs, with their labels; and the buckets of them that have several labels left, with sizes."""
+    rest = members.filter("hub <> node").join(labels, "node", "left")
+    rest = stored(rest.select("bucket", "node", F.coalesce("label", "node").alias("label")), "near_rest")
+    spread = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    several = stored(spread.select("bucket"), "near_open")
+    return rest, several
 
 
-def _block_links(rest: DataFrame, bits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _block_links(rest: DataFrame, several: DataFrame, busy: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of open buckets that are not linked yet; enough of them to connect all.
 
-    Members that buckets connect are a neighbourhood. It is dealt out in blocks of a bounded number of
-    shingles, and every two of its blocks meet in one task, so no task grows with a neighbourhood and no
-    pair leaves its task unless it is a link that connects two labels.
+    A bucket is dealt out in blocks of a bounded number of members and of shingles, and every two of its
+    blocks meet in one task, so no task grows with a bucket and no pair leaves its task unless it is a
+    link that connects two labels.
     """
-    centre = stored(rest.groupBy("bucket").agg(F.min("rep").alias("b")), "near_centres")
-    around = components(rest.join(centre, "bucket").select(F.col("rep").alias("a"), "b"))
-    own = stored(rest.select("rep", "label").distinct(), "near_rest_reps")
-    placed = own.join(around.select(F.col("node").alias("rep"), F.col("label").alias("place")), "rep", "left")
-    placed = placed.withColumn("place", F.coalesce("place", "rep")).join(sets, "rep").join(bits, "rep")
-    placed = stored(placed.withColumn("size", F.size("shingles")), "near_placed")
-    blocks = placed.groupBy("place").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(stored(blocks, "near_blocks"), "place")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    placed = stored(rest.join(several, "bucket").join(busy, "node"), "near_placed")
+    blocks = placed.groupBy("bucket").agg(F.greatest(F.ceil(F.sum("size") / BLOCK), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"))
+    dealt = placed.join(stored(blocks, "near_blocks"), "bucket")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     met = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
 
     def links(block_pair: pa.Table) -> pa.Table:
         return pa.table(list(map(list, zip(*_connecting(block_pair, percent)))) or [[], []], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return met.select("place", "low", "high", "block", "rep", "label", "bits", "shingles").groupBy("place", "low", "high").applyInArrow(links, "a LONG, b LONG")
+    columns = ["bucket", "low", "high", "block", "node", "label", "bits", "shingles"]
+    return met.select(*columns).groupBy("bucket", "low", "high").applyInArrow(links, "a LONG, b LONG").distinct()
 
 
 def _connecting(pair: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Links between the members of two blocks, or in one, leaving out those between labels that are connected."""
+    """Links between the members of two blocks, or in one, leaving out those between labels that are connected.
+
+    Two members of different labels are not both of the label that most members have, so only the others
+    are compared with all.
+    """
     low, high = pair["low"][0].as_py(), pair["high"][0].as_py()
-    rep, label, block = (pair[name].to_pylist() for name in ("rep", "label", "block"))
-    bits = np.frombuffer(b"".join(pair["bits"].to_pylist()), np.uint8).reshape(len(rep), BINS)
-    sets = [frozenset(s.values.to_numpy().tolist()) for s in pair["shingles"]]
+    node, label = (pair[name].to_numpy() for name in ("node", "label"))
+    own = pair["block"].to_numpy()
+    bits = np.frombuffer(b"".join(pair["bits"].to_pylist()), np.uint8).reshape(len(node), BINS)
+    sets = [s.values.to_numpy() for s in pair["shingles"]]
     sizes = np.array(list(map(len, sets)))
-    parent = {x: x for x in label}
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    found, second = [], np.array(block) == high
-    for i in range(len(rep)):
-        if low != high and block[i] != low:
-            continue
-        near = ((bits == bits[i]).sum(1) >= LEAST_EQUAL) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])) & second
-        if low == high:
-            near[: i + 1] = False
-        for j in np.flatnonzero(near).tolist():
-            if root(label[i]) != root(label[j]):
-                common = len(sets[i] & sets[j])
-                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
-                    found.append((rep[i], rep[j]))
-                    parent[root(label[i])] = root(label[j])
+    names, groups, counts = np.unique(label, return_inverse=True, return_counts=True)
+    parent: dict[int, int] = {}
+    found = []
+    for i in np.flatnonzero(groups != counts.argmax()).tolist():
+        near = (groups != groups[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        if low != high:
+            near &= own != own[i]
+        at = np.flatnonzero(near)
+        at = at[(bits[at] == bits[i]).sum(1) >= LEAST_EQUAL]
+        for j in at.tolist():
+            one, other = _root(parent, groups[i]), _root(parent, groups[j])
+            if one != other:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= percent * (sizes[i] + sizes[j] - common):
+                    found.append((int(node[i]), int(node[j])))
+                    parent[one] = other
     return found
 
 
@@ -274,17 +317,22 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: (doc_id, n_shingles, component_id, kept).
 
     Documents are linked if their sets of shingles of ``n`` words have ``percent`` of their union in
-    common; the component is the smallest id that links lead to, and the document with that id stays.
-    A text that is null, empty or blank has no shingles and is linked with nothing. A document without
-    an id is linked with nothing and stays; its component is null. Rows that repeat an id, which
-    should repeat the text, share their fate. An empty table gives no rows.
+    common, 80 at least, for which the bands are made; the component is the smallest id that links lead to,
+    and the document with that id stays. A text that is null, empty or blank has no shingles and is linked
+    with nothing. A document without an id is linked with nothing and stays; its component is null. Rows
+    that repeat an id and a text share their fate; with another text under the same id each row has the
+    component of its own text. An empty table gives no rows.
     """
+    if percent < PERCENT:
+        raise ValueError(f"links below {PERCENT} percent are not looked for")
     texts = picked(docs, doc_id=id_col, text=text_col)
     sketch = stored(texts.select("doc_id", _sketched(F.col("text"), n).alias("s")).select("doc_id", "s.*"), "near_sketch")
     with temporary_tables():
-        classes, labels = _linked(sketch, texts, n, percent)
-        named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        named = stored(named.select("set_id", F.coalesce("label", "rep").alias("component_id")), "near_named", keep=True)
+        classes = _classes(sketch)
+        labels = stored(_linked(classes, texts, n, percent), "near_labels")
+        named = classes.select("node", "set_id", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        smallest = stored(named.groupBy("label").agg(F.min("rep").alias("component_id")), "near_components")
+        named = stored(named.join(smallest, "label").select("set_id", "component_id"), "near_named", keep=True)
     joined = sketch.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
