@@ -1,5 +1,6 @@
 """The packaged table of licence texts and notices."""
 
+import random
 import re
 import textwrap
 
@@ -27,6 +28,24 @@ def test_notices_and_whole_texts(spark):
     assert [r[0] for r in scanned(spark, ["Copyright (c) 2021, A. Person\n\n" + known[i] for i in sorted(wanted)])] == sorted(wanted)
 
 
+def test_forms_by_line_equal_whole_forms(spark):
+    """Lines are brought to their form one by one; joined, they are the form of the whole text."""
+    draw = random.Random(4)
+    bits = ["Copyright (c) 2020 A", "(c)", "copyright", "All rights reserved", "licence", "sub-", "licence", "non", "commercial", "whilst", "organisation", "Copyright", "owner"]
+    bits += ["behaviour", "judgement", "catalogue", "the", "and", "©", "É", "日本", "#", "//", "", " ", "\t", "\r", "2021", "x,y", "holder", "(C) you may", "authorised", "acknowledgement", "artefact"]
+    texts = ["".join(draw.choice(bits) + draw.choice([" ", "\n", "\n\n", "-", "\r\n"]) for _ in range(draw.randint(0, 40))) for _ in range(800)]
+    docs = frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    whole = {r.doc_id: r.c for r in docs.select("doc_id", F.char_length(licenses.canonical(F.col("text"))).alias("c")).collect()}
+    assert {r.doc_id: r.canonical_chars for r in licenses.scan(docs).collect()} == whole
+    forms = {r.doc_id: r.c for r in docs.select("doc_id", licenses.canonical(F.col("text")).alias("c")).collect()}
+    known = spark.createDataFrame([(f"L{i}", t) for i, t in enumerate(texts)], "license_id STRING, license_text STRING")
+    found = {r.doc_id: r.license_id for r in licenses.scan(docs, known).collect()}
+    smallest = {}
+    for i in range(len(texts)):
+        smallest[forms[i]] = min(f"L{i}", smallest.get(forms[i], f"L{i}"))
+    assert found == {i: smallest[f] if f else None for i, f in forms.items()}
+
+
 def test_titles_and_other_line_widths(spark):
     """Usual files have a title; a text wrapped at any width keeps its words, whatever its lines begin with."""
     known = dict(licenses.KNOWN)

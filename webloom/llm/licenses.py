@@ -7,27 +7,33 @@ its digest is looked up among the digests of the known licences by a hash join.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from importlib import resources
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm.common import picked, stored
 
-# Equivalent spellings, as patterns on canonical text, each with the form that stands for them.
-SPELLINGS = [
-    (r"(^| )licenc", "$1licens"),
-    (r"(^| )sub licens", "$1sublicens"),
-    (r"(^| )non commercial", "$1noncommercial"),
-    (r"(^| )(acknowledg|judg)ement", "$1$2ment"),
-    (r"(^| )(author|organ|initial|recogn|util|custom)is(e|ed|es|ing|ation|ations)( |$)", "$1$2iz$3$4"),
-    (r"(^| )(behavi|fav|hon)our", "$1$2or"),
-    (r"(^| )(analog|catalog)ue", "$1$2"),
-    (r"(^| )artefact", "$1artifact"),
-    (r"(^| )copyright owner", "$1copyright holder"),
-    (r"(^| )whilst( |$)", "$1while$2"),
+# Equivalent spellings, as patterns on canonical text, each with the form that stands for them and
+# with plain strings of which a text that the pattern finds has one.
+_SPELLINGS = [
+    (r"(^| )licenc", "$1licens", ["licenc"]),
+    (r"(^| )sub licens", "$1sublicens", ["sub licens"]),
+    (r"(^| )non commercial", "$1noncommercial", ["non commercial"]),
+    (r"(^| )(acknowledg|judg)ement", "$1$2ment", ["gement"]),
+    (
+        r"(^| )(author|organ|initial|recogn|util|custom)is(e|ed|es|ing|ation|ations)( |$)",
+        "$1$2iz$3$4",
+        ["authoris", "organis", "initialis", "recognis", "utilis", "customis"],
+    ),
+    (r"(^| )(behavi|fav|hon)our", "$1$2or", ["behaviour", "favour", "honour"]),
+    (r"(^| )(analog|catalog)ue", "$1$2", ["alogue"]),
+    (r"(^| )artefact", "$1artifact", ["artefact"]),
+    (r"(^| )copyright owner", "$1copyright holder", ["copyright owner"]),
+    (r"(^| )whilst( |$)", "$1while$2", ["whilst"]),
 ]
-
+SPELLINGS = [(spelling, form) for spelling, form, _ in _SPELLINGS]
 
 
 def _known() -> list[tuple[str, str]]:
@@ -81,32 +87,72 @@ COPYRIGHT_LINE = rf"((?:^|\n){_SENTENCE}|^|\n)(?:[^a-z0-9\n]*(?:copyright|\(c\)|
 NO_WORD = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 
 
+_MARKS = ("copyright", "(c)", "©", "all rights reserved")
+
+
+def _has_any(text: Column, parts: Iterable[str]) -> Column:
+    """Whether a text has one of some plain strings; a quick test before a pattern that needs one."""
+    found = F.lit(False)
+    for part in parts:
+        found = found | F.contains(text, F.lit(part))
+    return found
+
+
+def _lower(text: Column) -> Column:
+    """A-Z in lower case, nothing else; null is empty. ASCII texts have a quicker function for that."""
+    text = F.coalesce(text, F.lit(""))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
+
+
+def _words(line: Column) -> Column:
+    """A line in lower case, without copyright statements, and with one space for all else than letters and digits.
+
+    Statements are lines, and no run of other characters is more than a space. So the words of a text are
+    those of its lines, one after the other.
+    """
+    bare = F.when(_has_any(line, _MARKS), F.regexp_replace(line, COPYRIGHT_LINE, "$1")).otherwise(line)
+    return F.trim(F.regexp_replace(bare, NO_WORD, " "))
+
+
+def _whole(lines: str, forms: str) -> Column:
+    """Words of a whole text by those of its lines. A text that starts with a line break keeps its second line as it is:
+    the pattern's first match in it is the empty first line, which takes the break."""
+    second = F.trim(F.regexp_replace(F.get(lines, F.lit(1)), NO_WORD, " "))
+    broken = (F.size(lines) > 1) & (F.get(lines, F.lit(0)) == "")
+    own = F.when(broken, F.concat(F.array(second), F.slice(forms, F.lit(3), F.size(forms)))).otherwise(F.col(forms))
+    return F.array_join(F.filter(own, lambda form: form != ""), " ")
+
+
+def _respelled(units: DataFrame, name: str) -> DataFrame:
+    """One form for equivalent spellings. Patterns are tried on the texts that can have them; each is a step of its own."""
+    for spelling, form, parts in _SPELLINGS:
+        words = F.col(name)
+        units = units.withColumn(name, F.when(_has_any(words, parts), F.regexp_replace(words, spelling, form)).otherwise(words))
+    return units
+
+
 def canonical(text: Column) -> Column:
-    """Canonical form: lower case, no copyright lines, one space for all else than letters and digits.
+    """Canonical form: lower case, no copyright lines, one space for all else than letters and digits, one spelling.
 
-    Only ASCII letters change case. Null counts as empty.
+    Only ASCII letters change case. Null counts as empty. ``scan`` makes the same form line by line.
     """
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    out = F.translate(F.coalesce(text, F.lit("")), upper, lower)
-    marked = F.lit(False)  # without any of these the pattern changes nothing
-    for mark in ("copyright", "(c)", "©", "all rights reserved"):
-        marked = marked | F.contains(out, F.lit(mark))
-    out = F.when(marked, F.regexp_replace(out, COPYRIGHT_LINE, "$1")).otherwise(out)
-    out = F.trim(F.regexp_replace(out, NO_WORD, " "))
+    words = _words(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     for spelling, form in SPELLINGS:
-        out = F.regexp_replace(out, spelling, form)
-    return out
+        words = F.regexp_replace(words, spelling, form)
+    return words
 
 
 def digests(known: DataFrame) -> DataFrame:
     """Canonical digests of known texts: (digest, code, license_id); the smallest id stands for equal texts.
 
-    Codes number the ids. The table of known licences is a parameter of the scan and no corpus table.
+    Codes number the ids in their order.
     """
     text = canonical(F.col("license_text"))
     rows = known.select("license_id", text.alias("text")).filter("text <> '' AND license_id IS NOT NULL")
     ids = rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
-    return ids.withColumn("code", F.dense_rank().over(Window.orderBy("license_id")))
+    codes = ids.select("license_id").distinct().orderBy("license_id").withColumn("code", F.monotonically_increasing_id())
+    return ids.join(codes, "license_id")
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,9 +170,9 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
         lookup = F.broadcast(lookup)
     rows = picked(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    units = rows.select("row", "doc_id", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("at", "unit"))
-    units = units.select("row", "doc_id", "at", canonical(F.col("unit")).alias("unit"))
-    found = units.withColumn("digest", F.sha2("unit", 256)).join(lookup, "digest", "left")
+    lines = rows.select("row", "doc_id", F.split(_lower(F.col("text")), "\n").alias("lines")).withColumn("forms", F.transform("lines", _words))
+    units = lines.select("row", "doc_id", F.posexplode(F.concat(F.array(_whole("lines", "forms")), F.filter("forms", lambda form: form != ""))).alias("at", "unit"))
+    found = _respelled(units, "unit").withColumn("digest", F.sha2("unit", 256)).join(lookup, "digest", "left")
     whole = F.col("at") == 0
     per_row = found.groupBy("row", "doc_id").agg(
         F.max(F.when(whole, F.char_length("unit"))).cast("long").alias("canonical_chars"),
