@@ -265,18 +265,76 @@ def test_plain_encoding_equals_the_library(model, rows):
         assert ids.tolist() == library.encode(text)
 
 
+def by_agenda(model, text, alpha, key):
+    """Ids by one agenda for each unit; a merge that comes up is skipped by its keyed hash."""
+    out, limit = [], int(alpha * 2**32)
+    for place, unit in enumerate(model.units.findall(" " + text) if text else []):
+        own = key ^ pieces._mixed(place * pieces._MIX[0] & pieces._MASK)
+        parts, skipped = [(i, i + 1) for i in range(len(unit))], set()
+        while True:
+            found = [(model.costs[unit[a:c]], a, b, c) for (a, b), (_, c) in zip(parts, parts[1:]) if unit[a:c] in model.costs and (a, b, c) not in skipped]
+            if not found:
+                break
+            _, a, b, c = min(found)
+            if pieces._mixed(own ^ pieces._code(a, b, c)) >> 32 < limit:
+                skipped.add((a, b, c))
+                continue
+            at = parts.index((a, b))
+            parts[at : at + 2] = [(a, c)]
+        out += model._ids(unit, [0, *[c for _, c in parts]])
+    return out
+
+
+def test_dropout_by_agendas_one_by_one(model, rows, monkeypatch):
+    draw = random.Random(6)
+    texts = [t for _, t, *_ in rows[:60] if t is not None] + ["  " * 60 + "x", "▁a ▁", "x" * 90, "", "the " * 50, "日本語 é"]
+    keys = [draw.getrandbits(64) for _ in texts]
+    for alpha in (0.1, 0.6, 1.0):
+        want = [by_agenda(model, t, alpha, k) for t, k in zip(texts, keys)]
+        assert [ids.tolist() for ids in model.encode(texts, alpha, keys)] == want
+    monkeypatch.setattr(pieces, "_SHORT", 0)  # all units by the heap
+    model._forget()
+    assert [ids.tolist() for ids in model.encode(texts, 0.6, keys)] == [by_agenda(model, t, 0.6, k) for t, k in zip(texts, keys)]
+    model._forget()
+
+
 def test_dropout_varies_and_is_lossless(model, rows, monkeypatch):
-    texts = [t for _, t, *_ in rows if t is not None] + ["  " * 60 + "x", "▁a ▁", "x" * 500]
-    plain, one, other, seed = (model.encode(texts, *args) for args in ((0.0,), (0.3, 1, 0), (0.3, 1, 1), (0.3, 2, 0)))
-    lists = [[ids.tolist() for ids in kind] for kind in (plain, one, other, seed)]
+    texts = [t for _, t, *_ in rows if t is not None] + ["  " * 60 + "x", "▁a ▁", "x" * 500, "again and again " * 300]
+    keys = list(range(1, len(texts) + 1))
+    plain, one, other = (model.encode(texts, *args) for args in ((0.0,), (0.3, keys), (0.3, keys[::-1])))
+    lists = [[ids.tolist() for ids in kind] for kind in (plain, one, other)]
     assert all(a != b for k, a in enumerate(lists) for b in lists[k + 1 :])
-    for kind in (plain, one, other, seed, model.encode(texts, 1.0)):
+    for kind in (plain, one, other, model.encode(texts, 1.0, keys)):
         assert [model.decode(ids) for ids in kind] == texts
-    monkeypatch.setattr(pieces, "_SHORT", 0)  # all units by the heap
-    model.known.clear()
-    assert [ids.tolist() for ids in model.encode(texts, 0.3, 1, 0)] == lists[1]
+    monkeypatch.setattr(pieces, "_CACHED", 50)  # cuts are forgotten all the time
+    assert [ids.tolist() for ids in model.encode(texts, 0.3, keys)] == lists[1]
     monkeypatch.setattr(pieces, "_CHUNK", 50)  # long texts in parts
-    assert [ids.tolist() for ids in model.encode(texts, 0.3, 1, 0)] == lists[1]
+    assert [ids.tolist() for ids in model.encode(texts, 0.3, keys)] == lists[1]
+
+
+def test_a_word_is_cut_in_many_ways(model):
+    """Each time it occurs, by its own place; not by a few patterns."""
+    text = "internationalization " * 400
+    (ids,) = model.encode([text], 0.1, [5])
+    cuts, word = set(), []
+    for i in ids.tolist():
+        if model.bytes_of[i].startswith(b" ") and word:
+            cuts.add(tuple(word))
+            word = []
+        word.append(i)
+    assert len(cuts) > 40
+
+
+def test_copies_are_cut_in_their_own_ways(spark):
+    text = " ".join(vocabulary(3, 80))
+    rows = [(7, text, None, "s", 0)] * 2 + [(7, "other", None, "s", 0), (8, text, None, "s", 0), (None, text, None, "s", 0)]
+    docs = spark.createDataFrame(rows, DDL).coalesce(1)
+    got = [tuple(r.piece_ids) for r in pieces.encoded(docs, MODEL).collect()]
+    assert len(set(got)) == 5
+    assert sorted(got) == sorted(tuple(r.piece_ids) for r in pieces.encoded_documents(docs, MODEL).collect())
+    assert got == [tuple(r.piece_ids) for r in pieces.encoded(docs, MODEL).collect()]
+    assert [tuple(r.piece_ids) for r in pieces.encoded(docs, MODEL, seed=1).collect()] != got
+    assert all(r.lossless and r.n_pieces == len(r.piece_ids) for r in pieces.encoded_documents(docs, MODEL).collect())
 
 
 def test_encoded_tables_decode(docs, rows):
@@ -323,6 +381,7 @@ def test_license_scan(spark):
         lambda d: token_counts.count_tokens(d, MODEL),
         lambda d: pieces.encoded(d, MODEL),
         lambda d: pieces.round_trips(d, MODEL),
+        lambda d: pieces.encoded_documents(d, MODEL),
     ],
 )
 def test_empty_table(spark, run):
