@@ -9,15 +9,19 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.llm.common import SPACE_CHARS, column, free_name, picked, stored
+from webloom.llm.shingles import runs, word_hashes
 from webloom.plans.skew import HotKeys, skew_join
 
 SYMBOLS = "#*$%&|<>"
+#: Longer texts (characters) are compared by hashes of windows, in arrays.
+_LONG = 1 << 20
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A host is rejected when its shrunk failure rate is above this.
@@ -36,7 +40,6 @@ def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
     """
     if not text:
         return 0, 0, 0, 0, 0
-    words = text.encode().split()  # bytes split at the same six characters as SPACE
     word_chars = len(text) - sum(map(text.count, SPACE_CHARS))
     n_symbols = sum(map(text.count, SYMBOLS))
     seen, n_dup_lines = set(), 0
@@ -45,6 +48,10 @@ def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
             n_dup_lines += 1
         elif line.strip(SPACE_CHARS):
             seen.add(line)
+    if len(text) > _LONG:
+        n_words, covered = _repeats_of_long(text)
+        return n_words, word_chars, n_symbols, n_dup_lines, covered
+    words = text.encode().split()  # bytes split at the same six characters as SPACE
     windows = list(zip(words, words[1:], words[2:]))
     counts, covered, free = Counter(windows), 0, 0
     if len(counts) < len(windows):
@@ -55,6 +62,20 @@ def base_measures(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), word_chars, n_symbols, n_dup_lines, covered
 
 
+def _repeats_of_long(text: str) -> tuple[int, int]:
+    """Words of a long text, and those that repeated windows cover, by 64-bit hashes of windows."""
+    hashes = word_hashes(text.encode())
+    windows = runs(hashes, 3)
+    order = np.argsort(windows, kind="stable")
+    same = windows[order][1:] == windows[order][:-1]
+    again = np.zeros(len(windows), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    change = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(change, np.flatnonzero(again), 1)
+    np.add.at(change, np.flatnonzero(again) + 3, -1)
+    return len(hashes), int((np.cumsum(change[:-1]) > 0).sum())
+
+
 @F.arrow_udf(T.StructType([T.StructField(name, T.LongType()) for name in MEASURES]))
 def _measure(texts: pa.Array) -> pa.Array:
     rows = [base_measures(text.as_py()) for text in texts]
@@ -106,13 +127,14 @@ def keep_good(
 ) -> DataFrame:
     """The documents that pass, with all their columns; the same verdicts as ``verdicts``.
 
-    Only rejected hosts are joined to the documents.
+    Texts are measured once: the documents are stored with what the rules say of them. Only rejected hosts
+    are joined to them.
     """
-    failed = _failed(_measure(column(text_col)))
-    hosts = host_verdicts(docs.select(column(host_col).alias("host"), failed.alias("base_failed")), max_rate)
-    rejected = stored(hosts.filter("rejected").select("host", "n"), "rejected_hosts")
     flag = free_name(docs, "__failed")
-    good = docs.withColumn(flag, failed).filter(~column(flag)).drop(flag)
+    judged = stored(docs.withColumn(flag, _failed(_measure(column(text_col)))), "judged_documents")
+    hosts = host_verdicts(judged.select(column(host_col).alias("host"), column(flag).alias("base_failed")), max_rate)
+    rejected = stored(hosts.filter("rejected").select("host", "n"), "rejected_hosts")
+    good = judged.filter(~column(flag)).drop(flag)
     if rejected.isEmpty():
         return good
     key = free_name(docs, "__host")
