@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.common import packed, picked, stored
-from webloom.llm.shingles import joined, runs, word_chunks, word_hashes
+from webloom.llm.shingles import joined, mixed, runs, word_chunks, word_hashes
 from webloom.plans.skew import SLICE, HotKeys
 
 WINDOW, RUN = 20, 6
 #: Documents of the deterministic sample in which hot runs are counted; it shapes the plan, not the result.
 SAMPLE = 64
 _WORDS = 1 << 21
+_OTHER = 0xD1B54A32D192ED03
 
 
 def pieces_of(words: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -58,6 +59,11 @@ def pieces_of(words: np.ndarray) -> tuple[np.ndarray, ...]:
     return starts, counts, grams[at[starts]], content
 
 
+def edge_hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every window, which mix the words' own hashes in different ways: 128 bits in all."""
+    return runs(words, WINDOW), runs(mixed(words + np.uint64(_OTHER)), WINDOW)
+
+
 def _not_first(keys: list[np.ndarray], docs: np.ndarray, at: np.ndarray) -> np.ndarray:
     """True where the same keys are found at smaller coordinates among these rows."""
     order = np.lexsort([at, docs, *keys])
@@ -156,7 +162,7 @@ def _kept_digest(text: bytes, removed: np.ndarray) -> str:
 
 
 RESULT = "doc_id LONG, n_words LONG, n_removed LONG, kept_sha256 STRING"
-OPENED = RESULT + ", text BINARY, starts ARRAY<INT>, counts ARRAY<INT>, at ARRAY<INT>, edges ARRAY<LONG>"
+OPENED = RESULT + ", text BINARY, starts ARRAY<INT>, counts ARRAY<INT>, at ARRAY<INT>, edges ARRAY<LONG>, checks ARRAY<LONG>"
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +178,11 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             branches = [p for p in found if p["branch"]]
             removed = _marked(n_words, starts, counts)
             if not branches:
-                rows.append((doc_id.as_py(), n_words, int(removed.sum()), _kept_digest(text, removed), None, None, None, None, None))
+                rows.append((doc_id.as_py(), n_words, int(removed.sum()), _kept_digest(text, removed), None, None, None, None, None, None))
                 continue
             at = np.concatenate([np.arange(p["start"], p["start"] + p["windows"]) for p in branches])
-            rows.append((doc_id.as_py(), n_words, None, None, shipped.as_py(), starts, counts, at, runs(word_hashes(text), WINDOW)[at].view(np.int64)))
+            edges, checks = (hashes[at].view(np.int64) for hashes in edge_hashes(word_hashes(text)))
+            rows.append((doc_id.as_py(), n_words, None, None, shipped.as_py(), starts, counts, at, edges, checks))
         yield _batch(rows, OPENED_ARROW)
 
 
@@ -190,6 +197,7 @@ OPENED_ARROW = pa.schema(
         ("counts", pa.list_(pa.int32())),
         ("at", pa.list_(pa.int32())),
         ("edges", pa.list_(pa.int64())),
+        ("checks", pa.list_(pa.int64())),
     ]
 )
 RESULT_ARROW = pa.schema(list(OPENED_ARROW)[:4])
@@ -223,11 +231,11 @@ def repeated_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = picked(docs, doc_id=id_col, text=text_col)
     in_order = texts.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     marked = stored(_classified(in_order), "sub_pieces")
-    per_doc = marked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "branch")).alias("pieces"))
+    per_doc = marked.groupBy("doc_id").agg(F.collect_set(F.struct("start", "windows", "branch")).alias("pieces"))
     shipped = texts.select("doc_id", packed("text").alias("packed"))
     opened = shipped.join(per_doc, "doc_id", "left").select("doc_id", "packed", "pieces").mapInArrow(_opened, OPENED)
     opened = stored(opened, "sub_opened")
-    edges = opened.filter("text IS NOT NULL").select("doc_id", F.explode(F.arrays_zip("edges", "at")).alias("e")).select("doc_id", "e.*")
+    edges = opened.filter("text IS NOT NULL").select("doc_id", F.explode(F.arrays_zip("edges", "checks", "at")).alias("e")).select("doc_id", "e.*")
     again = _later_edges(edges).groupBy("doc_id").agg(F.collect_set("at").alias("again"))
     branched = opened.filter("text IS NOT NULL").select("doc_id", "n_words", "text", "starts", "counts")
     closed = branched.join(again, "doc_id", "left").mapInArrow(_closed, RESULT)
@@ -238,9 +246,9 @@ def repeated_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def _later_edges(edges: DataFrame) -> DataFrame:
     """(doc_id, at) of windows that are found at smaller coordinates as well."""
     place = F.struct("doc_id", "at")
-    firsts = edges.groupBy("edges").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    firsts = edges.groupBy("edges", "checks").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     firsts = stored(firsts, "sub_firsts")
     hot = HotKeys(firsts, "edges", "n")
     left, right = (hot.scatter(edges, "edges", ["doc_id"]), hot.repeat(firsts, "edges")) if hot else (edges, firsts)
-    found = left.join(right, ["edges", SLICE] if hot else ["edges"])
+    found = left.join(right, ["edges", "checks", SLICE] if hot else ["edges", "checks"])
     return found.filter(place != F.col("first")).select("doc_id", "at")
