@@ -92,7 +92,7 @@ def greedy(word, initial, following):
 
 def mix(rows, weights=(3, 1, 2), share=1.5, most=2):
     """{doc_id: (size, source size, target, taken)} of (doc_id, text, source); all sizes above 0."""
-    sizes = {d: len(words(t)) for d, t, _ in rows}
+    sizes, texts = {d: len(words(t)) for d, t, _ in rows}, {d: t for d, t, _ in rows}
     by_source = defaultdict(list)
     for d, _, s in rows:
         by_source[s].append(d)
@@ -112,7 +112,7 @@ def mix(rows, weights=(3, 1, 2), share=1.5, most=2):
         target = most * total[s] if s in full else weight[s] * unit
         times = int(target // total[s]) if total[s] else 0
         left = target - times * total[s]
-        key = lambda d: int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[:15], 16)
+        key = lambda d: int(hashlib.md5(("text " + (texts[d] or "") if d is None else str(d)).encode()).hexdigest()[:15], 16)
         for d in sorted(by_source[s], key=key):
             more = sizes[d] > 0 and left > 0 and 2 * left >= sizes[d]
             left -= sizes[d]

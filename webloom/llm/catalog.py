@@ -147,7 +147,7 @@ def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text ' || coalesce(text, ''))), 1, 15))::BIGINT AS hash
   FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 weighed AS (

@@ -27,9 +27,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def key_hash(doc_id: Column) -> Column:
-    """60-bit hash of an id, the first digits of its MD5; null has one as well."""
-    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, BITS // 4)
+def key_hash(doc_id: Column, text: Column) -> Column:
+    """60-bit hash of an id, the first digits of its MD5; without an id that of a mark and the text."""
+    of_text = F.concat(F.lit("text "), F.coalesce(text, F.lit("")))
+    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), of_text).cast("binary")), 1, BITS // 4)
     return F.conv(digits, 16, 10).cast("long")
 
 
@@ -124,7 +125,7 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     rows = picked(docs, doc_id=id_col, text=text_col, source=source_col)
-    return rows.select("doc_id", source_key(F.col("source")).alias("source"), n_words(F.col("text")).alias("size"), key_hash(F.col("doc_id")).alias("hash"))
+    return rows.select("doc_id", source_key(F.col("source")).alias("source"), n_words(F.col("text")).alias("size"), key_hash(F.col("doc_id"), F.col("text")).alias("hash"))
 
 
 def plan_mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -156,7 +157,7 @@ def take_mix(
     """The documents of the mix with all their columns, each as many times as the mix takes it."""
     plan = plan_mix(stored(sizes(docs, id_col, text_col, source_col), "mix_sizes"), weights, share, most)
     key, hashed, copies = (free_name(docs, name) for name in ("__source", "__hash", "__copies"))
-    rows = docs.withColumns({key: source_key(column(source_col)), hashed: key_hash(column(id_col))})
+    rows = docs.withColumns({key: source_key(column(source_col)), hashed: key_hash(column(id_col), column(text_col))})
     fates = plan.select(F.col("source").alias(key), "n", "times", "below").toDF(key, f"{key}_n", f"{key}_times", f"{key}_below")
     joined = skew_join(rows, fates, key, [hashed], HotKeys(fates, key, f"{key}_n"))
     often = column(f"{key}_times") + (column(hashed) < column(f"{key}_below")).cast("long")
