@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 from webloom.llm.common import column, picked
 
 BUCKETS, WIDTH = 1 << 14, 16
-#: Bounds of the sample: documents of a language, documents in all, and languages (the most frequent ones).
-PER_LANGUAGE, SAMPLE, MAX_LANGUAGES = 800, 4000, 64
+#: Bounds of the sample: documents of a language, and documents in all. Every label is learned; a table with more than
+#: ``MAX_LANGUAGES`` of them is refused, for its labels are no languages.
+PER_LANGUAGE, SAMPLE, MAX_LANGUAGES = 800, 4000, 1000
 STEPS, BATCH, RATE = 700, 32, 0.5
 #: Share of right guesses among the accepted ones that the rejection threshold aims at.
 PRECISION = 0.99
@@ -137,7 +138,9 @@ def calibrate(model: Model, logits: np.ndarray, truth: np.ndarray) -> None:
 
 def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
     """About ``per_language`` documents of each language (label, text, hash), chosen by a hash of the row."""
-    counts = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy("label").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels")
     if not counts:
         return labelled.withColumn("hash", F.lit(0).cast("long")).limit(0)
     per_language = min(per_language, max(1, SAMPLE // len(counts)))
@@ -195,7 +198,7 @@ def identify(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str
     """One row per document: (doc_id, lang_pred, score, rejected), learned from the documents with ``use``.
 
     A text that is null or has no letter is "und" with score 0, and so is every text if nothing could
-    be learned. Otherwise ``lang_pred`` is the best learned language, and ``rejected`` says that its
+    be learned. All labels are learned; with more than ``MAX_LANGUAGES`` the call fails. Otherwise ``lang_pred`` is the best learned language, and ``rejected`` says that its
     score is below the calibrated threshold. Equal texts get equal guesses; rows that repeat and null
     ids each get a row. An empty table gives no rows.
     """
