@@ -7,7 +7,6 @@ the next one's docs. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from webloom.llm import exact_dedup, mixing, near_dedup, pieces, quality
 from webloom.llm.catalog import MODEL
@@ -35,9 +34,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_pieces, piece_ids): every copy of a document, encoded with merge dropout."""
-    encoded = pieces.encoded(docs.select("doc_id", "source", "text"), MODEL)
-    return encoded.select("doc_id", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids")
+    """(doc_id, source, n_pieces, piece_ids, lossless): every copy of a document under a dropout of its own, decoded at once."""
+    return pieces.encoded_documents(docs, MODEL)
 
 
 STAGES = [
