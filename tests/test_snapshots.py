@@ -145,7 +145,7 @@ def test_only_the_rows_of_a_domain_per_task_are_shuffled():
     micros = [int(t.timestamp() * 1_000_000) for _, _, t, _ in rows]
     batch = pa.RecordBatch.from_arrays([pa.array(x) for x in ([r[0] for r in rows], [r[3] for r in rows], micros, [r[1] for r in rows])], ["domain", "seq", "visit", "delay"])
     (found,) = state._combined(iter([batch]))
-    assert found.num_rows == len({r[0] for r in rows})
+    assert found.num_rows == len({r[0] for r in rows}) + 1 and found.to_pylist()[-1]["seen"] == max(micros)
     tie = next(r for r in found.to_pylist() if r["domain"] == "tie")
     assert (tie["delay"], tie["last_delay"]) == (None, 9.0)
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,7 +30,7 @@ VISITS = "domain STRING, crawl_delay DOUBLE, last_visit TIMESTAMP, seq BIGINT"
 DOMAINS = "domain STRING, first_delay DOUBLE, crawl_delay DOUBLE, last_visit TIMESTAMP, seq BIGINT, ready BOOLEAN"
 
 # A visit inside the job: number, time in microseconds, delay. The place of a visit orders it among others.
-_COMBINED = "domain STRING, seq LONG, visit LONG, delay DOUBLE, last_seq LONG, last_visit LONG, last_delay DOUBLE"
+_COMBINED = "domain STRING, seq LONG, visit LONG, delay DOUBLE, last_seq LONG, last_visit LONG, last_delay DOUBLE, seen LONG"
 _STATE = "seq LONG, visit LONG, delay DOUBLE, last_seq LONG, last_visit LONG, last_delay DOUBLE, ready BOOLEAN"
 _CHANGE = "domain STRING, first_delay DOUBLE, crawl_delay DOUBLE, visit LONG, seq LONG, ready BOOLEAN"
 _MICROS = 1_000_000
@@ -37,17 +38,25 @@ _PLACE = ["seq", "visit", "delay"]
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first and the last visit of each domain among the rows of a task's batches."""
+    """The first and the last visit of each domain among the rows of a task's batches.
+
+    One more row without a domain carries the latest time of a batch. The others carry none, so that visits
+    which come late, behind the stream's time, are not left out by it.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        ordered = pa.Table.from_batches([batch]).sort_by([("domain", "ascending"), *[(name, "ascending") for name in _PLACE]])
+        keys = [("domain", "ascending"), *[(name, "ascending") for name in _PLACE]]
+        ordered = pa.Table.from_batches([batch]).take(pc.sort_indices(batch, sort_keys=keys, null_placement="at_start")).combine_chunks()
         domains = ordered["domain"].combine_chunks()
-        new = pc.not_equal(domains[1:], domains[:-1]).to_numpy(zero_copy_only=False)
-        first = pa.array([0, *(new.nonzero()[0] + 1)], pa.int64())
-        last = pa.array([*new.nonzero()[0], len(domains) - 1], pa.int64())
-        columns = [domains.take(first), *[ordered[n].combine_chunks().take(first) for n in _PLACE], *[ordered[n].combine_chunks().take(last) for n in _PLACE]]
-        yield pa.RecordBatch.from_arrays(columns, ["domain", *_PLACE, "last_seq", "last_visit", "last_delay"])
+        new = np.flatnonzero(pc.not_equal(domains[1:], domains[:-1]).to_numpy(zero_copy_only=False))
+        first, last = np.concatenate([[0], new + 1]), np.concatenate([new, [len(domains) - 1]])
+        columns = [domains.take(pa.array(first))]
+        columns += [ordered[name].combine_chunks().take(pa.array(at)) for at in (first, last) for name in _PLACE]
+        names = ["domain", *_PLACE, "last_seq", "last_visit", "last_delay"]
+        rows = pa.Table.from_arrays([*columns, pa.nulls(len(first), pa.int64())], [*names, "seen"])
+        clock = {name: pa.nulls(1, rows.schema.field(name).type) for name in names} | {"seen": pa.array([pc.max(batch.column("visit")).as_py()], pa.int64())}
+        yield from pa.concat_tables([rows, pa.table(clock)]).combine_chunks().to_batches()
 
 
 def _number(value) -> float | None:
@@ -64,6 +73,8 @@ def _follow(unit: float):
     """Keep a domain's state, set its timer, and tell of every change."""
 
     def each(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if key[0] is None:  # these rows only tell the time
+            return
         known = tuple(state.getOption or ())
         if state.hasTimedOut:
             state.update((*known[:6], True))
@@ -98,13 +109,13 @@ def domain_changes(visits: DataFrame, unit: float = DEFAULT_CRAWL_DELAY, latenes
 
     A visit that changes a domain's state gives a row with ``ready`` false, or true if its delay is over by
     the stream's time. When the stream's time (the latest visit less ``lateness``) passes the end of the
-    delay, in milliseconds, a row with ``ready`` true follows. Visits without domain, time or number are left out; late ones
-    count like others.
+    delay, in milliseconds, a row with ``ready`` true follows. Visits without domain, time or number are left
+    out; late ones count like others.
     """
-    given = visits.select("domain", F.col("crawl_delay").cast("double"), F.col("last_visit").cast("timestamp"), F.col("seq").cast("long"))
-    given = given.filter("domain IS NOT NULL AND last_visit IS NOT NULL AND seq IS NOT NULL").withWatermark("last_visit", lateness)
-    rows = given.select("last_visit", "domain", "seq", F.unix_micros("last_visit").alias("visit"), F.col("crawl_delay").alias("delay"))
-    combined = rows.select("domain", "seq", "visit", "delay").mapInArrow(_combined, _COMBINED)
+    given = visits.select("domain", F.col("crawl_delay").cast("double").alias("delay"), F.col("last_visit").cast("timestamp"), F.col("seq").cast("long"))
+    given = given.filter("domain IS NOT NULL AND last_visit IS NOT NULL AND seq IS NOT NULL")
+    combined = given.select("domain", "seq", F.unix_micros("last_visit").alias("visit"), "delay").mapInArrow(_combined, _COMBINED)
+    combined = combined.withColumn("seen", F.timestamp_micros("seen")).withWatermark("seen", lateness)
     changes = combined.groupBy("domain").applyInPandasWithState(_follow(unit), _CHANGE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return changes.select("domain", "first_delay", "crawl_delay", F.timestamp_micros("visit").alias("last_visit"), "seq", "ready")
 
