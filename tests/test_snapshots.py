@@ -138,6 +138,33 @@ def test_a_timer_tells_when_a_delay_is_over(spark, tmp_path):
         assert ready() == want
 
 
+def test_python_is_called_by_bucket_and_not_by_domain(spark, tmp_path, monkeypatch):
+    """Domains of one bucket share a call; a timer of one of them changes only those whose delay is over."""
+    source, out, checkpoint, calls = (str(tmp_path / n) for n in ("in", "out", "checkpoint", "calls"))
+    monkeypatch.setattr(state, "STATE_BUCKETS", 2)
+    follow = state._follow
+
+    def counted(unit):
+        each = follow(unit)
+
+        def run(key, parts, kept):
+            with open(calls, "a") as f:
+                f.write(f"{key[0]}\n")
+            return each(key, parts, kept)
+
+        return run
+
+    monkeypatch.setattr(state, "_follow", counted)
+    rows = [(f"d{i}", float(i), NOON, i) for i in range(100)]
+    for part in (rows, [("late", 1e6, NOON + timedelta(seconds=50, milliseconds=1), 200)], [("d7", None, NOON - timedelta(1), 300)]):
+        add_file(spark, source, part, state.VISITS)
+        followed(spark, source, out, checkpoint)
+    assert {r.domain for r in state.ready_domains(spark, out).collect()} == {f"d{i}" for i in range(51)}
+    assert pathlib.Path(calls).read_text().count("\n") < 40
+    got = {r.domain: r.crawl_delay for r in state.domain_state(spark, out).collect()}
+    assert got == {f"d{i}": float(i) for i in range(100) if i != 7} | {"d7": None, "late": 1e6}
+
+
 def test_only_the_rows_of_a_domain_per_task_are_shuffled():
     import pyarrow as pa
 

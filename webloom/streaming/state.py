@@ -1,8 +1,10 @@
 """Visit state of domains as a keyed state of a stream, with a timer for the end of each delay.
 
-Spark's state store keeps one row per domain. A micro-batch sends a domain the visits of each task as one
-row, so a domain that a third of all visits go to costs a row per task. What a visit changes does not
-depend on the order in which visits come, and a visit that comes again changes nothing.
+Spark's state store keeps one row per hash bucket of domains, with the states of its domains as Arrow
+columns, so Python is called once per bucket and not once per domain. A micro-batch sends a domain the
+visits of each task as one row, so a domain that a third of all visits go to costs a row per task. What a
+visit changes does not depend on the order in which visits come, and a visit that comes again changes
+nothing.
 
 Every batch publishes the domains it changed as a version of a keyed snapshot (``sources.snapshots``), so
 other jobs read the state as a table.
@@ -29,9 +31,12 @@ VISITS = "domain STRING, crawl_delay DOUBLE, last_visit TIMESTAMP, seq BIGINT"
 #: State of a domain: its first visit's delay, and delay, time and number of the last one; whether it may be visited again.
 DOMAINS = "domain STRING, first_delay DOUBLE, crawl_delay DOUBLE, last_visit TIMESTAMP, seq BIGINT, ready BOOLEAN"
 
+#: Hash buckets of domains in the state store. They must not change under a stream.
+STATE_BUCKETS = 512
+
 # A visit inside the job: number, time in microseconds, delay. The place of a visit orders it among others.
 _COMBINED = "domain STRING, seq LONG, visit LONG, delay DOUBLE, last_seq LONG, last_visit LONG, last_delay DOUBLE, seen LONG"
-_STATE = "seq LONG, visit LONG, delay DOUBLE, last_seq LONG, last_visit LONG, last_delay DOUBLE, ready BOOLEAN"
+_STATE = "domains BINARY"
 _CHANGE = "domain STRING, first_delay DOUBLE, crawl_delay DOUBLE, visit LONG, seq LONG, ready BOOLEAN"
 _MICROS = 1_000_000
 _PLACE = ["seq", "visit", "delay"]
@@ -59,51 +64,73 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.concat_tables([rows, pa.table(clock)]).combine_chunks().to_batches()
 
 
-def _number(value) -> float | None:
-    return None if pd.isna(value) else float(value)
+_KNOWN = [("domain", pa.string()), ("seq", pa.int64()), ("visit", pa.int64()), ("delay", pa.float64()), ("last_seq", pa.int64())]
+_KNOWN = pa.schema([*_KNOWN, ("last_visit", pa.int64()), ("last_delay", pa.float64()), ("ready", pa.bool_())])
+_WHOLE = ["seq", "visit", "last_seq", "last_visit"]
+_ENDS = {"first": _PLACE, "last": ["last_seq", "last_visit", "last_delay"]}
+
+
+def _packed(known: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(known, schema=_KNOWN, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, _KNOWN) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes | None) -> pd.DataFrame:
+    table = _KNOWN.empty_table() if packed is None else pa.ipc.open_stream(packed).read_all()
+    return table.to_pandas()
 
 
-def _place(visit: tuple) -> tuple:
-    """Orders visits (seq, time, delay) as Spark orders structs: a missing delay comes first."""
-    seq, time, delay = visit
-    return seq, time, delay is not None, delay or 0.0
+def _ends(rows: pd.DataFrame, names: list[str], keep: str) -> pd.DataFrame:
+    """The first or the last visit of each domain, as Spark orders structs: a missing delay comes first."""
+    seq, visit, delay = names
+    order = [rows[delay].fillna(0.0), rows[delay].notna(), rows[visit], rows[seq], rows["domain"]]
+    ordered = rows.iloc[np.lexsort([column.to_numpy() for column in order])]
+    return ordered.drop_duplicates("domain", keep=keep)[["domain", *names]].reset_index(drop=True)
+
+
+def _joined(known: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+    """First and last visits of the domains of both, in the order of domains."""
+    rows = pd.concat([x for x in (known, part) if len(x)] or [known], ignore_index=True)
+    firsts, lasts = _ends(rows, _ENDS["first"], "first"), _ends(rows, _ENDS["last"], "last")
+    return pd.concat([firsts, lasts.drop(columns="domain")], axis=1)
 
 
 def _follow(unit: float):
-    """Keep a domain's state, set its timer, and tell of every change."""
+    """Keep the state of a bucket's domains, set the timer of the first delay that ends, and tell of every change."""
+    names = [name for name in _KNOWN.names if name != "ready"]
 
     def each(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if key[0] is None:  # these rows only tell the time
-            return
-        known = tuple(state.getOption or ())
-        if state.hasTimedOut:
-            state.update((*known[:6], True))
-            yield _change(key[0], (*known[:6], True))
+        if pd.isna(key[0]):  # these rows only tell the time
             return
-        first, last = known[:3] or None, known[3:6] or None
-        for part in parts:
-            for row in part.itertuples(index=False):
-                one, other = (int(row.seq), int(row.visit), _number(row.delay)), (int(row.last_seq), int(row.last_visit), _number(row.last_delay))
-                first = one if first is None else min(first, one, key=_place)
-                last = other if last is None else max(last, other, key=_place)
-        over = (last[1] + int((last[2] or 0.0) * unit * _MICROS)) // 1000
-        now = state.getCurrentWatermarkMs()
-        new = (*first, *last, over < now)
-        state.update(new)
-        if over >= now:
-            state.setTimeoutTimestamp(max(over, now + 1))
-        if new != known:  # equal if the same visits come again
-            yield _change(key[0], new)
+        known = _unpacked(*(state.getOption or (None,)))
+        now, new, touched = state.getCurrentWatermarkMs(), known[names], []
+        if not state.hasTimedOut:
+            for part in parts:
+                new = _joined(new, part[names].astype(dict.fromkeys(_WHOLE, "int64")))
+                touched.append(part["domain"])
+        visited = new["domain"].isin(pd.concat(touched).unique() if touched else [])
+        over = (new["last_visit"] + (new["last_delay"].fillna(0.0) * unit * _MICROS).astype("int64")) // 1000
+        was = new[["domain"]].merge(known, "left", "domain")
+        # what a timer told holds until the next visit, whatever the time
+        new = new.assign(ready=np.where(visited, over < now, (was["ready"] == True) | (over < now)).astype(bool))  # noqa: E712
+        same = pd.concat([(was[name] == new[name]) | (was[name].isna() & new[name].isna()) for name in [*names, "ready"]], axis=1).all(axis=1)
+        state.update((_packed(new),))
+        waiting = over[~new["ready"]]
+        if len(waiting):
+            state.setTimeoutTimestamp(max(int(waiting.min()), now + 1))
+        changed = new[~same]  # none if the same visits come again
+        if len(changed):
+            yield pd.DataFrame(
+                {"domain": changed["domain"], "first_delay": changed["delay"], "crawl_delay": changed["last_delay"]}
+                | {"visit": changed["last_visit"], "seq": changed["last_seq"], "ready": changed["ready"]}
+            )
 
     return each
 
 
-def _change(domain: str, state: tuple) -> pd.DataFrame:
-    _, _, first_delay, seq, visit, delay, ready = state
-    row = {"domain": [domain], "first_delay": [first_delay], "crawl_delay": [delay], "visit": [visit], "seq": [seq], "ready": [ready]}
-    return pd.DataFrame(row).astype({"first_delay": "float64", "crawl_delay": "float64"})
-
-
 def domain_changes(visits: DataFrame, unit: float = DEFAULT_CRAWL_DELAY, lateness: str = "0 seconds") -> DataFrame:
     """Changes of domain state (see ``DOMAINS``) from a stream of visits (see ``VISITS``).
 
@@ -116,7 +143,8 @@ def domain_changes(visits: DataFrame, unit: float = DEFAULT_CRAWL_DELAY, latenes
     given = given.filter("domain IS NOT NULL AND last_visit IS NOT NULL AND seq IS NOT NULL")
     combined = given.select("domain", "seq", F.unix_micros("last_visit").alias("visit"), "delay").mapInArrow(_combined, _COMBINED)
     combined = combined.withColumn("seen", F.timestamp_micros("seen")).withWatermark("seen", lateness)
-    changes = combined.groupBy("domain").applyInPandasWithState(_follow(unit), _CHANGE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    bucket = F.when(F.col("domain").isNotNull(), snapshots.bucket_of("domain", STATE_BUCKETS))
+    changes = combined.withColumn("state_bucket", bucket).groupBy("state_bucket").applyInPandasWithState(_follow(unit), _CHANGE, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return changes.select("domain", "first_delay", "crawl_delay", F.timestamp_micros("visit").alias("last_visit"), "seq", "ready")
 
 
