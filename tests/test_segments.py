@@ -267,3 +267,21 @@ def test_an_update_passes_on_less(spark):
     assert {r.url: r.page_rank for r in got.ranks.collect()} == {u: pytest.approx(v, abs=1e-9) for u, v in want.items()}
     same = rerank.update_ranks(ranks, 240, pages, 240, old, new.limit(0), d=0.5, bound=1e-9)
     assert same.shares == []
+
+
+def test_a_part_of_the_documents_is_a_micro_batch_of_many_files(spark, tmp_path):
+    """No task writes or reads a whole part; the segments hold every document once."""
+    from catalog import streams
+
+    rows = [(i, f"w{i} all", "en", "s", 5) for i in range(48)]
+    frame = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG").repartition(4)
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        path = streams._segments(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(spark.read.parquet(f"{path.removesuffix('/index')}/documents").inputFiles()) > 6
+    assert segments.newest(spark, path) == 5
+    assert sorted(r.page_id for r in segments.read_pages(spark, path).collect()) == list(range(48))
+    assert {r.word: r.documents_number for r in segments.read_counters(spark, path).collect()}["all"] == 48
