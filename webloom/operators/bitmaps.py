@@ -17,16 +17,19 @@ PAGE_BITMAPS = "word STRING, block BIGINT, pages BINARY, n_pages BIGINT"
 
 
 def page_bitmaps(postings: DataFrame) -> DataFrame:
-    """Bitmaps (word, block, pages, n_pages) from postings (word, page_id). A group has one block of pages at most."""
+    """Bitmaps (word, block, pages, n_pages) from postings (word, page_id), in word order. A group has one block of pages at most.
+
+    Page numbers are shuffled and sorted, not bitmaps, which are made one at a time from there on.
+    """
     placed = postings.select("word", F.bitmap_bucket_number("page_id").alias("block"), F.bitmap_bit_position("page_id").alias("at"))
-    built = placed.groupBy("word", "block").agg(F.bitmap_construct_agg("at").alias("pages"))
+    ranged = placed.repartitionByRange("word", "block").sortWithinPartitions("word", "block")
+    built = ranged.groupBy("word", "block").agg(F.bitmap_construct_agg("at").alias("pages"))
     return built.withColumn("n_pages", F.bitmap_count("pages"))
 
 
 def write_bitmaps(bitmaps: DataFrame, path: str, mode: str = "error") -> None:
-    """Store bitmaps in word order. Most bytes of a bitmap are zero, and are stored as runs."""
-    ranged = bitmaps.repartitionByRange("word", "block").sortWithinPartitions("word", "block")
-    ranged.write.mode(mode).option("compression", "zstd").parquet(path)
+    """Store bitmaps as ``page_bitmaps`` gives them, in word order. Most bytes of a bitmap are zero, and are stored as runs."""
+    bitmaps.sortWithinPartitions("word", "block").write.mode(mode).option("compression", "zstd").parquet(path)
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
