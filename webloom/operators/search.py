@@ -165,7 +165,7 @@ def search_batch(
     terms = materialize(terms, "asked_terms")
 
     words = terms.select("word").distinct()
-    used = _postings_of(index, words, words_in_memory, documents)
+    used = postings_of(index, words, words_in_memory, documents)
     frequency = used.groupBy("word").agg(F.count("*").alias("n")) if documents is None else (
         documents.join(words, "word", "left_semi").select("word", F.col("documents_number").alias("n"))
     )
@@ -195,7 +195,7 @@ def search_batch(
     return wanting.join(best, "asked").drop("asked")
 
 
-def _postings_of(index: DataFrame, words: DataFrame, words_in_memory: int, documents: DataFrame | None) -> DataFrame:
+def postings_of(index: DataFrame, words: DataFrame, words_in_memory: int = WORDS_IN_MEMORY, documents: DataFrame | None = None) -> DataFrame:
     """Postings of the words in use. The words are broadcast only when measured to be few."""
     n, n_bytes = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
     if n <= words_in_memory and n_bytes <= _WORD_BYTES_IN_MEMORY:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import scoring
 from webloom.functions import text as tx
-from webloom.operators.search import top_k
+from webloom.operators.search import postings_of, top_k
 from webloom.plans.lineage import discard, materialize
 from webloom.plans.skew import HotKeys, skew_join
 
@@ -113,7 +113,8 @@ def _promising(bounds: DataFrame, words: DataFrame) -> DataFrame:
 def _scores(index: DataFrame, blocks: DataFrame, words: DataFrame, size: int) -> DataFrame:
     """Scores (asked, page_id, title, url, score) of the pages of some blocks that have every word of a query."""
     wanted = blocks.select("asked", "block", "n_terms").join(words, "asked")
-    placed = index.withColumn("block", block_of(size))
+    wanted = materialize(wanted, "wanted_blocks")
+    placed = postings_of(index, wanted.select("word").distinct()).withColumn("block", block_of(size))
     matched = (
         placed.join(wanted, ["word", "block"])
         .groupBy("asked", "page_id", "title", "url", "n_terms")
