@@ -250,3 +250,71 @@ def test_unscored_words_and_pages_indexed_twice(spark):
     assert [r.page_id for r in se.search_batch(table, None, queries).orderBy("rank").collect()] == [4, 5, 3, 2]
     rows = se.search_rows(table, None, "x y").collect()
     assert [(r.page_id, r.n_words) for r in rows if r.page_id in (3, 5)] == [(5, 3), (3, 2)]
+
+
+WORDS = [("the", 40), ("of", 25), ("cat", 6), ("dog", 6), ("x1", 1), ("x2", 1)]
+
+
+@pytest.fixture(scope="module")
+def posted(spark):
+    rows = [(w, i, f"u{i}", "t", 1.0 / (i + 1), 0.5) for w, n in WORDS for i in range(n)] + [(None, 1, "u1", "t", 0.5, 0.5)]
+    return materialize(spark.createDataFrame(rows, "word STRING, page_id LONG, url STRING, title STRING, tf DOUBLE, page_rank DOUBLE").repartition(3))
+
+
+def test_postings_of_frequent_words_do_not_move(spark, posted, monkeypatch):
+    documents = materialize(ix.term_documents(posted))
+    assert [ix.frequent_from(documents, most) for most in (0, 1, 3, 4, 100)] == [None, 40, 25, 6, 1]
+    n_pages = spark.range(50).agg(F.count("*").alias("n_pages"))
+    got = []
+    for most in (0, 2, 4, 100):
+        monkeypatch.setattr(ix, "frequent_from", lambda d, f=ix.frequent_from, most=most: f(d, most))
+        scored = ix.score_postings(posted, n_pages, documents)
+        got.append(sorted(map(tuple, scored.collect())))
+        monkeypatch.undo()
+    assert len(got[0]) == sum(n for _, n in WORDS) and all(rows == got[0] for rows in got)
+    assert "strategy=broadcast" in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_task_sorts_a_bounded_number_of_postings(posted, tmp_path, monkeypatch):
+    monkeypatch.setattr(layout, "SORTED_IN_MEMORY", 8)
+    layout.write_index(posted, str(tmp_path / "index"), n_postings=80)
+    stored = posted.sparkSession.read.parquet(str(tmp_path / "index"))
+    assert len(stored.inputFiles()) > 4 and stored.count() == posted.count()
+
+
+def test_counters_need_no_scores(spark, tmp_path, monkeypatch):
+    """Counters and bitmaps are read without the index of scores, which is the most work."""
+    from catalog import common as c
+
+    rows = [(i, "in the of x" if i % 2 else "the y", "en", "s", 5) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def refuse(*_, **__):
+        raise AssertionError("scores are made")
+
+    monkeypatch.setattr(c, "write_index", refuse)
+    index = c.Index(spark, str(tmp_path))
+    assert {r.word: r.documents_number for r in index.documents.collect()} == {"in": 10, "the": 20, "of": 10, "x": 10, "y": 10}
+    assert {r.word for r in index.bitmaps.collect()} == {"in", "the", "of", "x", "y"}
+
+
+def test_bitmaps_are_not_shuffled(posted, capsys):
+    from webloom.operators import bitmaps as bm
+
+    built = bm.page_bitmaps(posted.filter("word IS NOT NULL"))
+    built.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "rangepartitioning(word" in plan
+    summed = built.groupBy("word").agg(F.sum("n_pages").alias("n_pages"))
+    assert {r.word: r.n_pages for r in summed.collect()} == dict(WORDS)
+
+
+def test_bounded_search_moves_postings_of_its_words_only(spark, posted):
+    from webloom.operators import topk
+
+    blocks = spark.createDataFrame([(1, 0, 1)], "asked LONG, block LONG, n_terms INT")
+    asked = spark.createDataFrame([(1, "cat")], "asked LONG, word STRING")
+    scores = topk._scores(posted.withColumn("tf_idf", F.col("tf")), blocks, asked, 64)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    assert {r.page_id for r in scores.collect()} == set(range(6))
