@@ -411,3 +411,17 @@ def test_what_is_left_behind(spark, docs):
     before = set(folder.iterdir())
     mixing.mix(docs)
     assert {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before} == {"mix_sizes", "mix_thresholds"}
+
+
+def test_a_mix_of_few_sources_shuffles_no_text(spark, monkeypatch, capsys):
+    """One source has most documents; the plan of the sources is broadcast, or else its hot source is sliced."""
+    docs = frame(spark, [(i, " ".join(["w"] * (1 + i * 7 % 50)), None, "hot" if i % 5 else f"s{i % 3}", 0) for i in range(300)])
+    found = mixing.take_mix(docs)
+    found.explain()
+    assert "Exchange hashpartitioning(__source" not in capsys.readouterr().out
+    few = sorted(map(repr, found.collect()))
+    monkeypatch.setattr(mixing, "SOURCES_IN_MEMORY", 0)
+    many = mixing.take_mix(docs)
+    many.explain()
+    assert "Exchange hashpartitioning(__source" in capsys.readouterr().out
+    assert few == sorted(map(repr, many.collect())) and few
