@@ -6,6 +6,7 @@ import pytest
 from catalog.common import SUFFIXES
 from pyspark.sql import functions as F
 
+from webloom.operators import link_blocks as lb
 from webloom.operators import links as ln
 from webloom.operators import rank as rk
 from webloom.operators.robots import robots_allow
@@ -174,3 +175,31 @@ def test_link_edges(spark):
     ]
     canonical = ln.link_edges(pages, SUFFIXES, canonicalize_sources=True).select("source_url").distinct().collect()
     assert [r[0] for r in canonical] == ["https://s.example.com/d"]
+
+
+def test_sweeps_in_blocks_equal_sums_by_hand(spark, monkeypatch):
+    """Several blocks, columns and chunks; one source with links to all, one target linked by all; parts few and many."""
+    monkeypatch.setattr(lb, "_CHUNK", 300)
+    draw, n = random.Random(8), 5000
+    links = {(0, t) for t in range(n)} | {(s, 7) for s in range(n)} | {(draw.randrange(n), draw.randrange(n)) for _ in range(6000)}
+    rows = [(s, t, draw.random()) for s, t in links]
+    graph = lb.LinkBlocks(spark.createDataFrame(rows, "src LONG, dst LONG, w DOUBLE"), n)
+    assert graph.shape.n_blocks == 5 and graph.shape.columns > 1
+    values = {i: draw.random() for i in range(0, n, 2)}
+    for _ in range(2):
+        vector = graph.summed(graph.packed(spark.createDataFrame(list(values.items()), "id LONG, value DOUBLE"), "value"))
+        want = {}
+        for s, t, w in rows:
+            want[t] = want.get(t, 0) + values.get(s, 0.0) * w
+        got = {r.id: r.value for r in graph.unpacked(graph.summed(graph.shares(vector)), "values", "value").collect()}
+        assert {i: v for i, v in got.items() if v} == {i: pytest.approx(v, rel=1e-12) for i, v in want.items() if v}
+        values = want
+    graph.release()
+
+
+def test_shuffle_files_go_with_their_sweeps(spark, pages, edges):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = blocks.getAllFiles().size()
+    ranks = rk.pagerank(pages, edges, 4, iterations=20)
+    assert blocks.getAllFiles().size() < before + 50  # 40 shuffles of 4 tasks, with two files each, would be 320
+    assert ranks.count() == len(golden.RANKS)
