@@ -3,8 +3,8 @@
 Ranks solve one equation per linked URL: base value plus shares of the ranks that link to it. Published ranks
 solve those of the old graph, so in the new graph only URLs that a changed source links to are off. What they
 are off by is their residual. A URL adds its residual to its rank and passes shares of it on; this goes on
-with those whose residual is above a bound, until there are none. A sweep costs the links of these URLs, not
-those of the graph. Ranks are per page, so more pages scale all of them down, which the old ranks follow
+with those whose residual is above a bound, until there are none. A sweep costs the links of the blocks that
+hold such URLs (``link_blocks``), not those of the graph. Ranks are per page, so more pages scale all of them down, which the old ranks follow
 exactly.
 """
 
