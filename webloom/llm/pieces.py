@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 from webloom.llm.common import column, picked
 
 ALPHA, SEED = 0.1, 0
-#: Cuts that a worker remembers, and bytes of text that are encoded together.
-_CACHED, _TOGETHER = 300_000, 1 << 20
+#: Cuts that a worker remembers (it keeps them through later stages), and bytes of text that are encoded together.
+_CACHED, _TOGETHER = 100_000, 1 << 20
 #: Units up to this length are cut side by side in arrays, longer ones by a heap.
 _SHORT = 32
 _BORDER = re.compile(r"[^ ](?= )")
