@@ -1,3 +1,4 @@
+import math
 import random
 import unicodedata
 from collections import Counter
@@ -252,6 +253,50 @@ def test_unscored_words_and_pages_indexed_twice(spark):
     assert [(r.page_id, r.n_words) for r in rows if r.page_id in (3, 5)] == [(5, 3), (3, 2)]
 
 
+def test_batch_in_several_goes_keeps_pages_with_two_titles_apart(spark):
+    """An id that is indexed under two titles is two pages; each must hold every word. A page without id is none."""
+    draw = random.Random(5)
+    rows = []
+    for i in range(60):
+        for title in ("t", None) if i % 9 == 0 else ("t",):
+            rows += [(w, i, f"u{i}", title, 0.1, draw.choice([None, 0.2, 0.3]), draw.choice([None, 0.1, 0.4])) for w in set(draw.choices("abcd", k=4))]
+    rows += [(w, None, "u", "t", 0.1, 0.5, 0.5) for w in "abcd"]
+    table = materialize(spark.createDataFrame(rows, tables.RANKED_INDEX))
+    asked = ["a", "b a", "c d", "a b c d", "d", "a zz"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id INT, query STRING")
+    want = []
+    for i, query in enumerate(asked):
+        held = {}
+        for word, page, url, title, _, score, rank in rows:
+            if page is not None and word in query.split():
+                held.setdefault((page, title), []).append((word, score, rank))
+        scores = []
+        for (page, title), found in held.items():
+            if len(found) == len(query.split()):
+                text = [0.7 * math.log10(score + 1) for _, score, _ in found if score is not None]
+                ranks = [rank for *_, rank in found if rank is not None]
+                score = round(sum(text) + 0.3 * math.log10(max(ranks) + 1), 9) if text and ranks else None
+                scores.append((page, title is None, score))
+        best = sorted((x[2] is not None, -(x[2] or 0)) for x in scores)[:7]
+        want.append(([(s, r) for s, r in best], {x for x in scores}))
+    for words_in_memory in (100, 0):
+        for terms_together in (1, 100):
+            found = se.search_batch(table, None, queries, 7, words_in_memory=words_in_memory, terms_together=terms_together).collect()
+            for i, (best, all_) in enumerate(want):
+                mine = [(r.page_id, r.title is None, None if r.score is None else round(r.score, 9)) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == i]
+                assert [(s is not None, -(s or 0)) for *_, s in mine] == best and set(mine) <= all_ and len(set(mine)) == len(mine)
+
+
+def test_batch_does_not_repeat_pages_for_each_word_of_a_query(spark, ranked, capsys):
+    """What is moved grows with the postings of the asked words, not with pairs of queries and pages."""
+    queries = spark.createDataFrame([(1, "chat noir"), (2, "noir")], "query_id INT, query STRING")
+    found = se.search_batch(ranked, None, queries, documents=ix.term_documents(ranked))
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "explode(" not in plan and "collect_set(" not in plan
+    assert sorted((r.query_id, r["rank"]) for r in found.collect()) == [(1, 1), (2, 1)]
+
+
 WORDS = [("the", 40), ("of", 25), ("cat", 6), ("dog", 6), ("x1", 1), ("x2", 1)]
 
 
