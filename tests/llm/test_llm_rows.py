@@ -312,6 +312,29 @@ def test_dropout_varies_and_is_lossless(model, rows, monkeypatch):
     assert [ids.tolist() for ids in model.encode(texts, 0.3, keys)] == lists[1]
 
 
+def test_a_model_is_not_gone_through_for_each_text(model, monkeypatch):
+    """Its checksum is worked out once for a file, not at every look-up; another file has its own."""
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    sums = []
+    monkeypatch.setattr(pieces, "_BUILT", {})
+    monkeypatch.setattr(pieces, "Pieces", lambda proto: proto)
+    monkeypatch.setattr(pieces.zlib, "crc32", lambda value: sums.append(value) or hash(value))
+    one, other = Shared(b"one model"), Shared(b"another")
+    assert [pieces._built(x) for x in (one, one, one, other, other, one)] == [b"one model"] * 3 + [b"another"] * 2 + [b"one model"]
+    assert sums == [b"one model", b"another", b"one model"]
+
+
+def test_long_texts_are_decoded_in_stretches(model, monkeypatch):
+    text = "naïve 東京 words \t and  spaces " * 50
+    (ids,) = model.encode([text])
+    for n in (1, 7, 1 << 14):
+        monkeypatch.setattr(pieces, "_DECODED", n)
+        assert model.decode(ids) == text and model.decode(ids[:0]) == ""
+
+
 def test_a_word_is_cut_in_many_ways(model):
     """Each time it occurs, by its own place; not by a few patterns."""
     text = "internationalization " * 400

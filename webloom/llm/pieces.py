@@ -19,7 +19,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ _SHORT = 32
 _BORDER = re.compile(r"[^ ](?= )")
 #: Characters of a long text that are cut in units at a time, and units of one array.
 _CHUNK, _ARRAY = 1 << 20, 1 << 12
+#: Merges of occurrences that are hashed at a time, and ids that are decoded at a time.
+_STRETCH, _DECODED = 1 << 15, 1 << 14
 _NEVER = 1 << 30
 #: Texts that are encoded and sent on together.
 _ROWS = 256
@@ -55,8 +57,18 @@ def _mixed(x):
 
 
 def _skips(keys: np.ndarray, merges: np.ndarray, limit: int) -> np.ndarray:
-    """Which merges are skipped, by the keys of their occurrences."""
-    return (_mixed(keys ^ merges) >> np.uint64(32)) < np.uint64(limit)
+    """Places of the merges that are skipped, by the keys of their occurrences; a stretch that fits a cache at a time."""
+    found = [np.zeros(0, np.int64)]
+    for at in range(0, len(merges), _STRETCH):
+        x = keys[at : at + _STRETCH] ^ merges[at : at + _STRETCH]
+        # as _mixed, in place
+        for shift, factor in ((32, _MIX[2]), (29, _MIX[1])):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(32)
+        x >>= np.uint64(32)
+        found.append(at + np.flatnonzero(x < np.uint64(limit)))
+    return np.concatenate(found)
 
 
 def _code(i, middle, stop):
@@ -124,6 +136,10 @@ class Pieces:
         assert not any(" " in piece.lstrip(" ") for piece in self.ids)
         breaks = "" if any("\n" in piece for piece in self.ids) else r"\n"
         self.units = re.compile(rf"[{breaks}]| *[^ {breaks}]+| +" if breaks else r" *[^ ]+| +")
+        self.piece_sizes = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
+        self.piece_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.numbers = np.arange(1 << 16)
         self._pairs()
         self._forget()
 
@@ -308,19 +324,24 @@ class Pieces:
     def _roots(self, units: list[str]) -> np.ndarray:
         """Numbers of the cuts of units without skips."""
         known = self.roots
-        new = [u for u in dict.fromkeys(units) if u not in known]
-        if new:
+        cuts = np.fromiter(map(known.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(cuts < 0)
+        if len(missing):
+            unknown = list(map(units.__getitem__, missing.tolist()))
+            new = list(dict.fromkeys(unknown))
             known.update(zip(new, self._add(new, [()] * len(new)).tolist()))
-        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+            cuts[missing] = list(map(known.__getitem__, unknown))
+        return cuts
 
     def _next(self, cuts: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the occurrences that skip some of the merges made in their cuts, and the cuts they go on to."""
         merges, n = self.cut_made.of(cuts)
-        hit = np.flatnonzero(_skips(np.repeat(keys, n), merges, limit))
-        owner = np.repeat(np.arange(len(cuts)), n)[hit]
-        who, first = np.unique(owner, return_index=True)
-        if not len(who):
-            return who, who
+        hit = _skips(np.repeat(keys, n), merges, limit)
+        if not len(hit):
+            return hit, hit
+        owner = np.searchsorted(np.cumsum(n), hit, side="right")
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        who = owner[first]
         # occurrences that skip the same merges of the same cut go on together; a hash stands for the merges
         skipped = merges[hit]
         summed = np.add.reduceat(_mixed(skipped), first)
@@ -397,15 +418,31 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text whose ids these are, without the space that encoding puts in front."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode()[1:]
+        return b"".join(self._bytes(ids[at : at + _DECODED]) for at in range(0, len(ids), _DECODED)).decode()[1:]
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        """The bytes of pieces; those of the vocabulary lie side by side."""
+        sizes = self.piece_sizes[ids]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.piece_starts[ids] - (ends - sizes), sizes)
+        places += self._counted(len(places))
+        return self.piece_bytes[places].tobytes()
+
+    def _counted(self, n: int) -> np.ndarray:
+        """Numbers from 0 on."""
+        return self.numbers[:n] if n <= len(self.numbers) else np.arange(n)
 
 
 _BUILT: dict[int, Pieces] = {}
+#: The file that was asked for last, and its checksum, which takes time to work out for every text.
+_LATEST: list = [None, 0]
 
 
 def _built(shared) -> Pieces:
     """The model of a broadcast file, built once per Python worker."""
-    which = zlib.crc32(shared.value)
+    if shared.value is not _LATEST[0]:
+        _LATEST[:] = shared.value, zlib.crc32(shared.value)
+    which = _LATEST[1]
     if which not in _BUILT:
         _BUILT.clear()
         _BUILT[which] = Pieces(shared.value)
@@ -508,16 +545,17 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     shared = _shared(docs, path)
     rows = _with_key(docs, id_col, text_col, seed)
 
-    def trip(text: str | None, ids: np.ndarray | None) -> tuple[int, str, str, bool]:
+    def trip(pieces: Pieces, text: str | None, ids: np.ndarray | None) -> tuple[int, str, str, bool]:
         if ids is None:
             return 0, NOTHING, NOTHING, True
-        back = _built(shared).decode(ids)
+        back = pieces.decode(ids)
         digests = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
         return len(ids), *digests, back == text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ids in _encoded_parts(shared, batches, "text", "key", alpha):
-            trips = zip(*map(trip, part.column("text").to_pylist(), ids))
+            pieces = _built(shared)
+            trips = zip(*(trip(pieces, *pair) for pair in zip(part.column("text").to_pylist(), ids)))
             columns = [pa.array(values, kind) for values, (_, kind) in zip(trips, ROUND_TRIPS)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", *[name for name, _ in ROUND_TRIPS]])
 
