@@ -255,3 +255,15 @@ def test_parts_are_laid_out_in_stretches(model, monkeypatch):
     monkeypatch.setattr(cm, "_STRETCH", 10)
     assert [(s.start, s.stop) for s in cm._stretches(parts)] == [(0, 2), (2, 3), (3, 4), (4, 6), (6, 7)]
     assert model.first_costs(parts, closed, laid) == whole
+
+
+def test_weights_of_short_texts_learn(model, monkeypatch):
+    """Every first byte counts for the next one, in texts of a few words as well."""
+    words, model = model
+    rng = np.random.default_rng(5)
+    parts, laid = [rng.integers(0, len(words), n) for n in (100, 9, 30)], cm.Laid(words)
+    learned = model.first_costs(parts, [True] * 3, laid)
+    assert learned == pytest.approx([first_cost(model, [words[k] for k in part], True) for part in parts], rel=2e-4, abs=1e-4)
+    monkeypatch.setattr(cm, "_BLOCK", 1 << 20)
+    fixed = model.first_costs(parts, [True] * 3, laid)
+    assert all(abs(a - b) > 1e-3 for a, b in zip(learned, fixed))
