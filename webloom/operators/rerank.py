@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.operators.link_blocks import LinkBlocks, numbered, shuffles_removed
-from webloom.plans.lineage import discard, materialize
+from webloom.operators.link_blocks import LinkBlocks, numbered
+from webloom.plans.lineage import discard, materialize, shuffles_removed
 from webloom.plans.skew import HotKeys, count_keys, skew_join
 
 # Sweeps planned together between two stored states.
