@@ -67,11 +67,14 @@ class Index:
     def documents(self) -> DataFrame:
         return materialize(ix.term_documents(self.postings), "term_documents")
 
+    @cached_property
+    def n_postings(self) -> int:
+        return self.documents.agg(F.sum("documents_number")).first()[0] or 0
+
     @cached_property
     def scored(self) -> DataFrame:
         scored = scratch_path(self.spark, "scored")
-        n_postings = self.documents.agg(F.sum("documents_number")).first()[0] or 0
-        write_index(ix.score_postings(self.postings, self.corpus, self.documents), scored, n_postings=n_postings)
+        write_index(ix.score_postings(self.postings, self.corpus, self.documents), scored, n_postings=self.n_postings)
         return read_table(self.spark, scored, RANKED_INDEX)
 
     #: Pages of a block of score bounds; the test tables have too few for blocks of the usual size.
@@ -79,7 +82,9 @@ class Index:
 
     @cached_property
     def bounds(self) -> DataFrame:
-        return materialize(topk.block_bounds(self.scored, self.block), "bounds")
+        path = scratch_path(self.spark, "bounds")
+        topk.write_bounds(self.scored, path, self.block, self.n_postings)
+        return read_table(self.spark, path, topk.BOUNDS)
 
     @cached_property
     def bitmaps(self) -> DataFrame:

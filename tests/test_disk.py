@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from webloom.operators import topk
 from webloom.plans.lineage import materialize
 from webloom.sources import layout
 
@@ -17,5 +18,23 @@ def test_writes_leave_no_shuffle_files(spark, tmp_path):
     assert blocks.getAllFiles().size() <= before + 6, shuffled  # of the last count alone
 
 
+def test_an_index_is_written_in_several_goes(spark, tmp_path, monkeypatch):
+    rows = [(f"w{k % 40:02d}" if k % 9 else None, k if k % 7 else None, f"u{k}", "t", 0.5, k / 500, 1 / (k + 1)) for k in range(500)]
+    rows += [("hot", k, "u", None, 0.1, None, None) for k in range(200)] + rows[:30]
+    index = spark.createDataFrame(rows, "word STRING, page_id LONG, url STRING, title STRING, tf DOUBLE, tf_idf DOUBLE, page_rank DOUBLE")
+    monkeypatch.setattr(layout, "POSTINGS_OF_GO", 100)
+    parts = layout.word_ranges(index, len(rows))
+    counts = [index.filter(part).count() for part in parts]
+    assert 3 < len(parts) <= 8 and sum(counts) == len(rows) and max(counts) < 400
+    layout.write_index(index, f"{tmp_path}/index", n_postings=len(rows))
+    topk.write_bounds(index, f"{tmp_path}/bounds", 64, len(rows))
+    stored = spark.read.schema(index.schema).parquet(f"{tmp_path}/index")
+    assert sorted(map(str, stored.collect())) == sorted(map(str, index.collect()))
+    bounds = spark.read.schema(topk.BOUNDS).parquet(f"{tmp_path}/bounds")
+    assert sorted(map(str, bounds.collect())) == sorted(map(str, topk.block_bounds(index, 64).collect()))
+    layout.write_index(index.limit(0), f"{tmp_path}/none", n_postings=500)
+    assert spark.read.schema(index.schema).parquet(f"{tmp_path}/none").count() == 0
+
+
 def _listed(files):
     return [files.apply(k) for k in range(files.size())]

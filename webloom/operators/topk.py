@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from webloom.functions import scoring
 from webloom.functions import text as tx
 from webloom.operators.search import postings_of, top_k
-from webloom.plans.lineage import discard, materialize
+from webloom.plans.lineage import discard, materialize, shuffles_removed
 from webloom.plans.skew import HotKeys, skew_join
+from webloom.sources.layout import word_ranges
 
 #: Pages of a block, by their number, and blocks of each query that are searched to find the threshold.
 BLOCK, PROBES = 4096, 4
 
+BOUNDS = "word STRING, block BIGINT, best DOUBLE, rank DOUBLE, unsure BOOLEAN, n BIGINT"
+
 # Sums of scores in another order differ by less than this.
 _SLACK = 1e-9
 
@@ -43,6 +46,13 @@ def block_bounds(index: DataFrame, size: int = BLOCK) -> DataFrame:
     )
 
 
+def write_bounds(index: DataFrame, path: str, size: int = BLOCK, n_postings: int = 0) -> None:
+    """Store the bounds of an index, in several goes by ranges of words if it has many postings."""
+    for k, part in enumerate(word_ranges(index, n_postings)):
+        with shuffles_removed(index.sparkSession):
+            block_bounds(index.filter(part), size).write.mode("append" if k else "error").parquet(path)
+
+
 def search_batch_bounded(
     index: DataFrame, bounds: DataFrame, queries: DataFrame, k: int = 20, strip_punct: bool = False, size: int = BLOCK, probes: int = PROBES
 ) -> DataFrame:
