@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from webloom.operators import topk
 from webloom.plans.lineage import materialize
-from webloom.sources import layout
+from webloom.sources import layout, segments
+
+PARSED = "page_id BIGINT, url STRING, title STRING, text STRING"
 
 
 def test_writes_leave_no_shuffle_files(spark, tmp_path):
@@ -38,3 +40,15 @@ def test_an_index_is_written_in_several_goes(spark, tmp_path, monkeypatch):
 
 def _listed(files):
     return [files.apply(k) for k in range(files.size())]
+
+
+def test_words_are_looked_for_below_the_join_that_scores(spark, tmp_path):
+    path = str(tmp_path / "index")
+    segments.add_pages(spark.createDataFrame([(k, f"u{k}", "t", f"the w{k}") for k in range(20)], PARSED), path, 0, spread=3)
+    segments.refresh(spark, path, 0)
+    words = spark.createDataFrame([("the",), ("w3",)], "word STRING")
+    found, whole = segments.scored(spark, path, words=words), segments.scored(spark, path)
+    assert sorted(found.collect()) == sorted(whole.filter("word IN ('the', 'w3')").collect()) and found.count() == 21
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {kind: [line.index("Join") for line in plan if f"Join {kind}" in line] for kind in ("Inner", "LeftSemi")}
+    assert depth["LeftSemi"] and max(depth["LeftSemi"]) > max(depth["Inner"])

@@ -19,16 +19,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.functions import scoring
 from webloom.operators import index as ix
-from webloom.plans.lineage import discard_folders, exists, folders
-from webloom.plans.skew import HotKeys, skew_join
+from webloom.operators.search import postings_of
+from webloom.plans.lineage import discard_folders, exists, folders, shuffles_removed
 from webloom.sources import tables
 from webloom.sources.layout import write_index
 
 #: So many segments of a size tier are merged; a tier is as many times larger than the one before.
 FANOUT = 4
 
+# Bytes of text that make a posting, at least: a word, what is after it, and its repeats.
+_POSTING_BYTES = 8
+
 POSTINGS = "word STRING, page_id BIGINT, url STRING, title STRING, tf DOUBLE"
 PAGES = "page_id BIGINT, url STRING"
 _MANIFEST = "segment STRING, n_pages BIGINT, n_postings BIGINT"
@@ -98,20 +100,30 @@ def _publish(spark: SparkSession, path: str, version: int, live: list[Segment])
     rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={version}")
 
 
-def _write_segment(spark: SparkSession, path: str, name: str, postings: DataFrame, pages: DataFrame) -> Segment:
+def _write_counters(counted: DataFrame, path: str) -> None:
+    with shuffles_removed(counted.sparkSession):
+        counted.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(path)
+
+
+def _write_segment(
+    spark: SparkSession, path: str, name: str, postings: DataFrame, pages: DataFrame, n_postings: int, at_once: bool = False
+) -> Segment:
+    """``n_postings``, if only about, is for the number of tasks: what each of them sorts shall fit in its memory."""
     where = f"{path}/segments/{name}"
-    write_index(postings, f"{where}/postings", mode="overwrite")
+    write_index(postings, f"{where}/postings", mode="overwrite", n_postings=n_postings, at_once=at_once)
     pages.select("page_id", "url").write.mode("overwrite").parquet(f"{where}/pages")
     stored = spark.read.schema(POSTINGS).parquet(f"{where}/postings")
-    counted = ix.term_documents(stored)
-    counted.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{where}/term_documents")
+    _write_counters(ix.term_documents(stored), f"{where}/term_documents")
     n_postings = stored.count()
     return Segment(name, spark.read.schema(PAGES).parquet(f"{where}/pages").count(), n_postings)
 
 
-def add_pages(pages: DataFrame, path: str, version: int, text_column: str = "text", merge: bool = True) -> list[Segment]:
+def add_pages(
+    pages: DataFrame, path: str, version: int, text_column: str = "text", merge: bool = True, spread: int | None = None
+) -> list[Segment]:
     """Publish a version of the index with more pages (page_id, url, title, text); returns its segments.
 
+    ``spread`` shares the pages out over that many tasks, for batches of fewer files than cores.
     Versions are numbered by the caller, as by the id of a micro-batch. One that is complete is left as it
     is, so pages that come again with the same number are not indexed twice.
     """
@@ -121,8 +133,9 @@ def add_pages(pages: DataFrame, path: str, version: int, text_column: str = "tex
         return segments(spark, path, version)
     earlier = [v for v in complete if v < version]
     live = segments(spark, path, earlier[-1]) if earlier else []
-    postings = ix.build_postings(pages, F.col(text_column))
-    live.append(_write_segment(spark, path, f"{version:09d}", postings, pages))
+    postings = ix.build_postings(pages if spread is None else pages.repartition(spread), F.col(text_column))
+    n_bytes = pages.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+    live.append(_write_segment(spark, path, f"{version:09d}", postings, pages, n_bytes // _POSTING_BYTES, at_once=True))
     if merge:
         live = _merged(spark, path, version, live)
     _publish(spark, path, version, live)
@@ -139,7 +152,8 @@ def _merged(spark: SparkSession, path: str, version: int, live: list[Segment]) -
         old = [s for s in live if s.tier == full[0]]
         name = f"{version:09d}-{n + 1}"
         postings, pages = _read(spark, path, old, "postings", POSTINGS), _read(spark, path, old, "pages", PAGES)
-        live = [s for s in live if s.tier != full[0]] + [_write_segment(spark, path, name, postings, pages)]
+        merged = _write_segment(spark, path, name, postings, pages, sum(s.n_postings for s in old))
+        live = [s for s in live if s.tier != full[0]] + [merged]
     return live
 
 
@@ -149,8 +163,7 @@ def refresh(spark: SparkSession, path: str, version: int, ranks: DataFrame | Non
         return
     live = segments(spark, path, version)
     where = f"{path}/scores/version={version}"
-    counted = read_counters(spark, path, version)
-    counted.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{where}/term_documents")
+    _write_counters(read_counters(spark, path, version), f"{where}/term_documents")
     if ranks is not None:
         ranks.select("url", "page_rank").write.mode("overwrite").parquet(f"{where}/ranks")
     row = spark.createDataFrame([(sum(s.n_pages for s in live), version, ranks is not None)], _STATISTICS)
@@ -177,20 +190,22 @@ def statistics(spark: SparkSession, path: str) -> Statistics | None:
     return Statistics(version, n_pages, documents, tables.read_table(spark, f"{where}/ranks", RANKS) if ranked else None)
 
 
-def scored(spark: SparkSession, path: str, all_words: bool = False) -> DataFrame:
+def scored(spark: SparkSession, path: str, all_words: bool = False, words: DataFrame | None = None) -> DataFrame:
     """The index as of the newest refresh: (word, page_id, url, title, tf, tf_idf), for the functions of ``operators.search``.
 
     Pass the ranks of ``statistics`` to a search as its pages. A search filters on words, and the filter
-    reaches postings and statistics alike. With ``all_words`` frequent words are joined in slices, for a
-    job that reads the whole index.
+    reaches postings and statistics alike. The most frequent words are scored where their postings lie. With
+    ``all_words`` others of many pages are joined in slices, for a job that reads the whole index. Pass the distinct
+    ``words`` (word) of a table of queries, stored, and no other postings are scored.
     """
     known = statistics(spark, path)
     if known is None:
         return spark.createDataFrame([], tables.INVERTED_INDEX)
-    weights = known.documents.select("word", scoring.idf(F.lit(known.n_pages), F.col("documents_number")).alias("idf"))
-    hot = HotKeys(known.documents, "word", "documents_number") if all_words else None
-    rows = skew_join(read_postings(spark, path, known.version), weights, "word", ["page_id"], hot)
-    return rows.select("word", "page_id", "url", "title", "tf", (F.col("tf") * F.col("idf")).alias("tf_idf"))
+    corpus = spark.range(1).select(F.lit(known.n_pages).cast("long").alias("n_pages"))
+    postings = read_postings(spark, path, known.version)
+    postings = postings if words is None else postings_of(postings, words, documents=known.documents)
+    rows = ix.score_postings(postings, corpus, known.documents, sliced=all_words)
+    return rows.select("word", "page_id", "url", "title", "tf", "tf_idf")
 
 
 def expire(spark: SparkSession, path: str, keep: int = 2) -> None:
