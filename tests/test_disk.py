@@ -1,10 +1,12 @@
 """What large tables would otherwise leave on, or send over, the disks of the workers."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from webloom.operators import topk
 from webloom.plans.lineage import materialize
 from webloom.sources import layout, segments
+from webloom.streaming import jobs
 
 PARSED = "page_id BIGINT, url STRING, title STRING, text STRING"
 
@@ -52,3 +54,15 @@ def test_words_are_looked_for_below_the_join_that_scores(spark, tmp_path):
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     depth = {kind: [line.index("Join") for line in plan if f"Join {kind}" in line] for kind in ("Inner", "LeftSemi")}
     assert depth["LeftSemi"] and max(depth["LeftSemi"]) > max(depth["Inner"])
+
+
+def test_ranks_are_joined_to_pages_and_not_to_postings(spark):
+    rows = [("a", 1, "u", "t", 0.5), ("b", 1, "u", "t", 0.25), ("b", 1, "u", "t", 0.25), (None, 1, "u", None, 1.0)]
+    rows += [("a", None, None, "t", 1.0), ("a", 2, "v", "t", None), ("c", 1, "u", "t", 0.5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["word", "page_id", "url", "title", "tf"])
+    assert [len(r["terms"]) for out in jobs._by_page(iter([batch, batch.slice(0, 0)])) for r in out.to_pylist()] == [3, 1, 1, 1, 1]
+    postings = spark.createDataFrame(rows, jobs.POSTINGS)
+    ranks = spark.createDataFrame([("u", 0.1), ("w", 0.2)], jobs.RANKS)
+    pages = spark.createDataFrame([(1, "u"), (1, "u"), (2, "v"), (None, None)], jobs.INDEXED)
+    got = jobs._ranked(postings, ranks, pages)
+    assert sorted(map(str, got.collect())) == sorted(map(str, postings.join(ranks, "url", "left").select(got.columns).collect()))
